@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from shotgrove.plans import catalog_examples  # noqa: F401
+from shotgrove.plans import catalog_encoding, catalog_examples, catalog_sampling  # noqa: F401
 from shotgrove.plans.registry import QUERIES, SQL  # noqa: F401
