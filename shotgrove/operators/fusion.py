@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotgrove.operators.scoring import class_scores, log_softmax
 from shotgrove.operators.topk import small_table
 
 # Strategy names, clamp of the order parameters, temperature.
@@ -218,3 +219,18 @@ def fuse_each(base: DataFrame, neighbors: DataFrame, candidates: list[str],
         F.col("_base").cast("array<double>") if n == IDENTITY else _fused(n, p, None)).alias("emb"))
         for n in candidates]
     return gathered.select(*kept, F.explode(F.array(*options)).alias("_o")).select(*kept, "_o.candidate", "_o.emb")
+
+
+def search_strategy(base: DataFrame, neighbors: DataFrame, candidates: list[str], centroids: DataFrame,
+                    p: FusionParameters = FusionParameters()) -> DataFrame:
+    """(candidate, n, loss, chosen): cross entropy of each strategy on labelled rows `(guid, gold, emb)`.
+
+    All candidates share one pass; the one with the least loss is chosen, by name on ties.
+    """
+    fused = fuse_each(base, neighbors, candidates, p)
+    logp = log_softmax(class_scores(fused, centroids), ["candidate", "guid"])
+    losses = logp.where(F.col("label_id") == F.col("gold")).groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(-F.col("logp")).alias("loss"))
+    # One row per candidate.
+    first = F.row_number().over(Window.partitionBy().orderBy("loss", "candidate")) == 1
+    return losses.withColumn("chosen", first.cast("int"))
