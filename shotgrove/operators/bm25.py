@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrove.functions import text as X
@@ -107,24 +108,58 @@ def _weighted_queries(terms: DataFrame, df: DataFrame, n_docs: int) -> DataFrame
             .select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")))
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10,
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Documents `(doc_id, dl, terms)` and statistics `(term, df, length)`, with their totals."""
+
+    documents: DataFrame
+    statistics: DataFrame
+    n_docs: int
+    n_words: int
+
+
+def _with_totals(documents: DataFrame, statistics: DataFrame) -> LexicalIndex:
+    row = statistics.where(F.col("term").isNull()).select("df", "length").first()
+    return LexicalIndex(documents, statistics, *(row or (0, 0)))
+
+
+def index_corpus(corpus: DataFrame) -> LexicalIndex:
+    """Index for one search: the statistics are taken now, documents are split into words when scored."""
+    documents = document_rows(corpus)
+    return _with_totals(documents, materialize(term_statistics(documents), "terms"))
+
+
+def write_index(corpus: DataFrame, path: str) -> None:
+    """Store an index that many searches share."""
+    document_rows(corpus).write.mode("overwrite").parquet(f"{path}/documents")
+    documents = corpus.sparkSession.read.parquet(f"{path}/documents")
+    term_statistics(documents).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def open_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return _with_totals(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/statistics"))
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame | LexicalIndex, k: int = 10,
               max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    """The k best documents of `corpus (doc_id, text)` for each of `queries (query_id, text)`.
+    """The k best documents of `corpus (doc_id, text)`, or of an index, for each of `queries (query_id, text)`.
 
-    Only documents that share a word with the query are hits. One pass takes the statistics and one scores.
+    Only documents that share a word with the query are hits.
     """
     asked = query_terms(queries.select("query_id", X.words(F.col("text")).alias("words")))
-    documents = document_rows(corpus)
-    statistics = materialize(term_statistics(documents), "terms")
-    n_docs, length = statistics.where(F.col("term").isNull()).select("df", "length").first() or (0, 0)
-    if not length:
+    index = corpus if isinstance(corpus, LexicalIndex) else index_corpus(corpus)
+    if not index.n_words:
         return topk.ranked(queries.sparkSession.createDataFrame([], topk.HIT), k)
-    weighted = _weighted_queries(asked, statistics, n_docs)
+    weighted = _weighted_queries(asked, index.statistics, index.n_docs)
+    avgdl = index.n_words / index.n_docs
 
     def scorer(table: pa.Table) -> LexicalScorer:
-        return LexicalScorer(table, length / n_docs)
+        return LexicalScorer(table, avgdl)
 
-    if asked.limit(max_broadcast_terms + 1).count() <= max_broadcast_terms:
+    n_terms = asked.limit(max_broadcast_terms + 1).count()
+    if n_terms <= max_broadcast_terms:
         # Holds one value per query term.
-        return topk.search_broadcast(weighted.toArrow(), documents, k, scorer)
-    return topk.search_blocks(weighted, documents, k, scorer)
+        return topk.search_broadcast(weighted.toArrow(), index.documents, k, scorer)
+    stored = materialize(weighted, "queries")
+    n_terms, n_queries = stored.agg(F.sum(F.size("terms")), F.count(F.lit(1))).first()
+    return topk.search_blocks(stored, index.documents, k, scorer, None, n_terms / n_queries, avgdl)

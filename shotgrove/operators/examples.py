@@ -9,8 +9,6 @@ from shotgrove.functions import labels as L
 from shotgrove.functions import text as X
 from shotgrove.tasks import TaskSpec, task as lookup
 
-EXAMPLE_COLUMNS = ("task", "split", "guid", "text_a", "text_b", "label")
-
 
 def _needed_fields(spec: TaskSpec) -> int:
     """Fewest fields with which a row can be read."""

@@ -148,12 +148,12 @@ def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | None) -> Col
 
 def gather(base: DataFrame, neighbors: DataFrame) -> DataFrame:
     """Base rows with the ranks and vectors of their neighbours side by side, k per row."""
-    grouped = neighbors.groupBy("guid").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.col("emb").cast("array<double>").alias("e")))).alias("_n"))
+    grouped = neighbors.groupBy("guid").agg(F.array_sort(F.collect_list(F.struct("rank", "emb"))).alias("_n"))
+    empty = F.array().cast(neighbors.schema["emb"].dataType)
     return base.withColumnRenamed("emb", "_base").join(grouped, "guid", "left").select(
         *[c for c in base.columns if c != "emb"], "_base",
         F.coalesce(F.col("_n.rank"), F.array().cast("array<int>")).alias("_ranks"),
-        F.coalesce(F.flatten("_n.e"), F.array().cast("array<double>")).alias("_flat"))
+        F.coalesce(F.flatten("_n.emb"), empty).alias("_flat"))
 
 
 def fuse(base: DataFrame, neighbors: DataFrame, strategy: str, p: FusionParameters = FusionParameters(),

@@ -77,14 +77,15 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, metric: str, columns:
             max_broadcast_values: int) -> DataFrame:
     queries = queries.select("query_id", "emb", *columns)
     corpus = corpus.select("doc_id", "emb", *columns)
-    few = topk.small_table(queries, max_broadcast_values // max(_width(queries), 1))
+    width = max(_width(queries), 1)
+    few = topk.small_table(queries, max_broadcast_values // width)
 
     def scorer(table: pa.Table) -> VectorScorer:
         return VectorScorer(table, metric)
 
     if few is not None:
         return topk.search_broadcast(few, corpus, k, scorer)
-    return topk.search_blocks(queries, corpus, k, scorer, columns[0] if columns else None)
+    return topk.search_blocks(queries, corpus, k, scorer, columns[0] if columns else None, width, width)
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, metric: str = "ip",
@@ -104,20 +105,19 @@ def _centroid_table(centroids: DataFrame, max_cells: int = 1 << 18) -> tuple[np.
 def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, metric: str = "ip") -> DataFrame:
     """Add `cell`, one row for each of the `n` nearest cells of a vector. A pass without a shuffle."""
     cells, centers = _centroid_table(centroids)
+    step = max(8_000_000 // max(len(cells), 1), 1)
     schema = vectors.select("*", F.lit(0).cast("int").alias("cell")).schema
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch])
-            score = similarity(matrix(table["emb"]), centers, metric)
-            # Stable, so the lower cell wins a tie.
-            order = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            repeated = table.take(pa.array(np.repeat(np.arange(batch.num_rows), order.shape[1])))
-            for out in repeated.append_column(
-                    "cell", pa.array(cells[order.ravel()].astype(np.int32))).to_batches():
-                yield out
+            # Slices keep the scores of rows x cells small.
+            for start in range(0, batch.num_rows, step):
+                table = pa.Table.from_batches([batch.slice(start, step)])
+                rows = np.arange(table.num_rows)
+                best = topk.RunningBest(table.num_rows, min(n, len(cells)))
+                best.offer(rows, cells, similarity(matrix(table["emb"]), centers, metric))
+                repeated = table.take(pa.array(np.repeat(rows, best.k)))
+                yield from repeated.append_column("cell", pa.array(best.ids.ravel(), pa.int32())).to_batches()
 
     return vectors.mapInArrow(assign, schema)
 
@@ -151,10 +151,9 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, centroids: DataFrame, k: int
 
 
 def write_index(corpus: DataFrame, centroids: DataFrame, path: str, metric: str = "ip") -> None:
-    """Store the corpus by cell. Rows of a cell are spread over files, so that a large cell is no one task's."""
+    """Store the corpus by cell. Rebalancing gives a small cell one file and splits a large one."""
     placed = nearest_cells(corpus, centroids, 1, metric)
-    (placed.repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-     .write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows"))
+    placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
 
 

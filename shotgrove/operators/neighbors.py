@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from shotgrove.functions import text as X
 from shotgrove.operators import bm25, knn
 from shotgrove.operators.numbering import row_numbers
+from shotgrove.session import materialize
 from shotgrove.tasks import QUERY_BATCH
 
 
@@ -43,10 +44,11 @@ def retrieve(queries: DataFrame, corpus: DataFrame, method: str, **options) -> D
 def neighbor_rows(queries: DataFrame, hits: DataFrame, corpus: DataFrame) -> DataFrame:
     """(guid, sent_id, rank, doc_id, score, corpus columns): hits with their texts and vectors.
 
-    The corpus has one row per document, so a document that is everyone's neighbour is skew on one side
-    only, which adaptive execution splits.
+    Hits are written first: the search is the dear part, and their true size lets the planner broadcast a
+    short list instead of shuffling the corpus. In a long one, a document that is everyone's neighbour is
+    skew on one side only, which adaptive execution splits.
     """
-    return (hits.join(corpus, "doc_id")
+    return (materialize(hits, "hits").join(corpus, "doc_id")
             .join(queries.select("query_id", "guid", "sent_id"), "query_id").drop("query_id"))
 
 

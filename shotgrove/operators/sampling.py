@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotgrove.operators.numbering import top_per_group
+from shotgrove.session import materialize
 from shotgrove.tasks import SEEDS, SHOTS
 
 DEV_RATE = {"k-shot": 2, "k-shot-10x": 11}
@@ -52,8 +53,11 @@ def draw_full_set(examples: DataFrame, fmt: str = "tsv") -> DataFrame:
 
 
 def with_rows(draws: DataFrame, examples: DataFrame) -> DataFrame:
-    """Put the texts back on the drawn keys."""
-    return draws.join(examples.select("task", "guid", "text_a", "text_b"), ["task", "guid"])
+    """Put the texts back on the drawn keys.
+
+    The keys are written first, so that the planner knows how few they are and leaves the texts in place.
+    """
+    return materialize(draws, "draws").join(examples.select("task", "guid", "text_a", "text_b"), ["task", "guid"])
 
 
 def leaked(splits: DataFrame) -> DataFrame:

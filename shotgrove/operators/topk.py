@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from shotgrove.schema import HIT
 
-# Values (rows x values per row) that a broadcast of queries may hold, and the rows of one block.
+# Values (rows x values per row) that a broadcast of queries and that one block may hold.
 MAX_BROADCAST_VALUES = 4_000_000
-QUERY_BLOCK = 8_192
-CORPUS_BLOCK = 65_536
+QUERY_BLOCK_VALUES = 1_000_000
+CORPUS_BLOCK_VALUES = 32_000_000
 BATCH_ROWS = 4_096
+# Length of all short lists of one task from which a bound is taken first, and the share of rows used for it.
+BOUND_FROM = 1_000_000
+BOUND_SHARE = 1_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -35,24 +38,28 @@ class Scorer(Protocol):
 
 
 class RunningBest:
-    """The best k (score, doc id) of each query so far; on equal scores the lower id wins."""
+    """The best k (score, doc id) of each query so far; on equal scores the lower id wins.
 
-    def __init__(self, n_queries: int, k: int):
+    Scores below `floor` cannot be among the best k of the whole corpus and are left out.
+    """
+
+    def __init__(self, n_queries: int, k: int, floor: np.ndarray | None = None):
         self.k = k
+        self.floor = np.full(n_queries, -np.inf) if floor is None else floor
         self.scores = np.full((n_queries, k), -np.inf)
         self.ids = np.full((n_queries, k), _NO_ID, dtype=np.int64)
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         if scores.size == 0:
             return
-        entering = scores.max(axis=1) >= self.scores[rows].min(axis=1)
+        entering = scores.max(axis=1) >= np.maximum(self.scores[rows].min(axis=1), self.floor[rows])
         for start in range(0, int(entering.sum()), 256):
             chosen = np.flatnonzero(entering)[start:start + 256]
             self._merge(rows[chosen], ids, scores[chosen])
 
     def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         k = self.k
-        every = np.hstack([self.scores[rows], scores])
+        every = np.hstack([self.scores[rows], np.where(scores >= self.floor[rows][:, None], scores, -np.inf)])
         every_id = np.hstack([self.ids[rows], np.broadcast_to(ids, scores.shape)])
         top = np.argpartition(-every, k - 1, axis=1)[:, :k]
         floor = np.take_along_axis(every, top, axis=1).min(axis=1)
@@ -72,8 +79,10 @@ class RunningBest:
              pa.array(self.scores[found], pa.float64())], names=["query_id", "doc_id", "score"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], scorer: Scorer, k: int) -> Iterator[pa.RecordBatch]:
-    best = RunningBest(len(scorer.query_ids), k)
+def _scan(batches: Iterator[pa.RecordBatch], scorer: Scorer, k: int,
+          floors: dict[int, float] | None = None) -> Iterator[pa.RecordBatch]:
+    floor = np.array([floors.get(q, -np.inf) for q in scorer.query_ids.tolist()]) if floors else None
+    best = RunningBest(len(scorer.query_ids), k, floor)
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         waiting.append(batch)
@@ -103,26 +112,45 @@ def small_table(df: DataFrame, max_rows: int) -> pa.Table | None:
     return table if table.num_rows <= max_rows else None
 
 
-def search_broadcast(queries: pa.Table, corpus: DataFrame, k: int,
-                     make_scorer: Callable[[pa.Table], Scorer]) -> DataFrame:
+def _lower_bounds(queries: pa.Table, corpus: DataFrame, k: int, make_scorer: Callable[[pa.Table], Scorer],
+                  share: int) -> dict[int, float]:
+    """The k-th best score of each query within a share of the corpus, at most one row per query.
+
+    The k-th best of the whole corpus is no lower, so the bound removes no result. It only keeps tasks from
+    sending k rows per query each.
+    """
+    part = corpus.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    last = search_broadcast(queries, part, k, make_scorer, bound_from=None).where(F.col("rank") == k).toArrow()
+    return dict(zip(last["query_id"].to_pylist(), last["score"].to_pylist()))
+
+
+def search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, make_scorer: Callable[[pa.Table], Scorer],
+                     bound_from: int | None = BOUND_FROM, bound_share: int = BOUND_SHARE) -> DataFrame:
     """One pass over the corpus where it lies; the only shuffle is of the short lists."""
-    shared = corpus.sparkSession.sparkContext.broadcast(queries)
+    context = corpus.sparkSession.sparkContext
+    floors = None
+    if bound_from is not None and queries.num_rows * k >= bound_from:
+        floors = _lower_bounds(queries, corpus, k, make_scorer, bound_share)
+    shared = context.broadcast((queries, floors))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan(batches, make_scorer(shared.value), k)
+        table, bounds = shared.value
+        yield from _scan(batches, make_scorer(table), k, bounds)
 
     return ranked(corpus.mapInArrow(scan, HIT), k)
 
 
 def search_blocks(queries: DataFrame, corpus: DataFrame, k: int,
                   make_scorer: Callable[[pa.Table], Scorer], cell: str | None = None,
-                  query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+                  query_width: float = 1, corpus_width: float = 1) -> DataFrame:
     """Queries and corpus meet block by block, for any number of queries.
 
     Both sides are cut into hash blocks of bounded size, by cell where `cell` names a column that has to
-    agree. A block of queries is sent to every corpus block of its cell and the other way round, so a cell
+    agree; the widths are the values that a row holds. A block of queries is sent to every corpus block of its cell and the other way round, so a cell
     with a third of all rows becomes many groups. A group emits k rows per query at most.
     """
+    query_block = max(int(QUERY_BLOCK_VALUES / query_width), 1)
+    corpus_block = max(int(CORPUS_BLOCK_VALUES / corpus_width), 1)
     queries = queries if cell else queries.withColumn("_cell", F.lit(0))
     corpus = corpus if cell else corpus.withColumn("_cell", F.lit(0))
     cell = cell or "_cell"

@@ -1,17 +1,19 @@
 """Fusion of neighbour vectors, class scores and losses."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from shotgrove.functions import text as X
 from shotgrove.operators import fusion as U
-from shotgrove.operators import knn, neighbors
+from shotgrove.operators import knn, neighbors, sampling
+from shotgrove.operators import labels as LB
 from shotgrove.operators import scoring as C
 from shotgrove.plans.catalog_encoding import sql_knn
 from shotgrove.plans.catalog_examples import SQL_VOCAB, document_vocab
 from shotgrove.plans.catalog_retrieval import SQL_MEANS, label_means, pair_queries
-from shotgrove.plans.inputs import SQL_TOKENS, labelled, turn_examples, vectors, with_parts
+from shotgrove.plans.inputs import SQL_TOKENS, turn_examples, vectors, with_parts
 from shotgrove.plans.registry import joined, query, rounded, table
-from shotgrove.functions import text as X
-from shotgrove.operators import labels as LB
 
 K = 10
 
@@ -22,9 +24,9 @@ def _base(spark, folder):
 
 def _neighbors(spark, folder):
     """The ten nearest vectors of every vector."""
-    corpus = vectors(spark, folder)
-    hits = knn.knn_exact(vectors(spark, folder, "query_id"), corpus, K)
-    return hits.join(corpus, "doc_id").select(F.col("query_id").alias("guid"), "rank", "emb")
+    queries, corpus = vectors(spark, folder, "query_id"), vectors(spark, folder)
+    asked = queries.select("query_id", F.col("query_id").alias("guid"), F.lit(0).alias("sent_id"))
+    return neighbors.neighbor_rows(asked, knn.knn_exact(queries, corpus, K), corpus).select("guid", "rank", "emb")
 
 
 # Parameters come from the class means: class c gives rank c + 1.
@@ -260,8 +262,6 @@ def kl_regression(spark, folder):
 @query("train_classifier")
 def train_classifier(spark, folder):
     """Predictions of a linear classifier trained on K vectors per class."""
-    from shotgrove.operators import sampling
-
     rows = table(spark, folder, "embeddings").select(
         F.lit("topic").alias("task"), F.col("vec_id").cast("string").alias("guid"),
         F.col("label").cast("string").alias("label"), F.col("embedding").alias("emb"))
@@ -279,9 +279,6 @@ def train_classifier(spark, folder):
 def score_udf(spark, folder):
     """A model given as a function over batches; it scores the first value and the sum."""
     def model(batch):
-        import numpy as np
-        import pandas as pd
-
         emb = np.stack(batch["emb"]).astype("float64")
         return pd.DataFrame({
             "guid": batch["guid"].repeat(2), "label_id": np.tile([0, 1], len(emb)).astype("int32"),

@@ -144,6 +144,15 @@ def bm25_topk(spark, folder):
     return bm25.bm25_topk(asked, corpus, 10)
 
 
+@query("bm25_stored_index", f"""
+    WITH {_SQL_BM25} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10""")
+def bm25_stored_index(spark, folder):
+    asked, corpus = _texts(spark, folder)
+    path = new_table_path(spark, "lexical")
+    bm25.write_index(corpus, path)
+    return bm25.bm25_topk(asked, bm25.open_index(spark, path), 10)
+
+
 @query("bm25_topk_blocks", f"""
     WITH {_SQL_BM25} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10""")
 def bm25_topk_blocks(spark, folder):

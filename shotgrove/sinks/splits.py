@@ -16,9 +16,9 @@ def setting_folder(root: str, mode: str, task: str, k: int, seed: int) -> str:
 def write_splits(rows: DataFrame, path: str) -> None:
     """Write drawn rows `(task, k, seed, split, ...)` as parquet, one folder per setting.
 
-    All settings are one job. Rows of a split stay where they are, so a large one is many files.
+    All settings are one job. Rebalancing gives a small split one file and splits a large one.
     """
-    rows.write.mode("overwrite").partitionBy("task", "k", "seed", "split").parquet(path)
+    rows.hint("rebalance", "task", "k", "seed", "split").write.mode("overwrite").partitionBy("task", "k", "seed", "split").parquet(path)
 
 
 def write_lines(lines: DataFrame, folder: str) -> None:
