@@ -8,31 +8,40 @@ from pyspark.sql import functions as F
 from shotgrove.session import materialize
 
 
+# Rows that one window may sort.
+WINDOW_ROWS = 1_000_000
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: Column, out: str,
-                  name: str = "ranges") -> DataFrame:
+                  window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Add `out`, the sum of `amount` over the rows of the same `keys` up to and including this row.
 
-    Rows are range-partitioned by (keys, order). Every range gets its own window, and the totals of the
-    ranges before it are added. `order` must tell rows apart, so that a large group spans many ranges.
+    The rows are written first and counted. Few take one window. Many are range-partitioned by (keys, order);
+    every range gets its own window, and the totals of the ranges before it are added. `order` must tell rows
+    apart, so that a large group spans many ranges.
     """
+    stored = materialize(df.withColumn("_amount", amount), "totals")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if stored.count() <= window_rows:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
+        return stored.select(*df.columns, F.sum("_amount").over(whole).alias(out))
     ranged = materialize(
-        df.withColumn("_amount", amount)
-        .repartitionByRange(*[F.col(k) for k in keys], *order)
-        .withColumn("_range", F.spark_partition_id()), name)
+        stored.repartitionByRange(*[F.col(k) for k in keys], *order)
+        .withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per key and range.
     offsets = (ranged.groupBy(*keys, "_range").agg(F.sum("_amount").alias("_sum"))
                .select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*upto)
     local = ranged.withColumn("_local", F.sum("_amount").over(inside))
-    joined = local.join(offsets, [*keys, "_range"])
-    return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(out))
+    return local.join(offsets, [*keys, "_range"]).select(
+        *df.columns, (F.col("_local") + F.col("_offset")).alias(out))
 
 
-def row_numbers(df: DataFrame, order: list[Column], out: str, keys: list[str] | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order: list[Column], out: str, keys: list[str] | None = None,
+                window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Number the rows from 1 in `order`, for the whole table or for each key."""
-    return running_total(df, keys or [], order, F.lit(1).cast("bigint"), out, "numbered")
+    return running_total(df, keys or [], order, F.lit(1).cast("bigint"), out, window_rows)
 
 
 # Above this limit the engine no longer trims a ranked window before its shuffle.

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shotgrove.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,8 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables whose rows cost work in each task: texts and vectors.
+_SPREAD = ("documents", "conversations", "embeddings")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(scan) if name in _SPREAD else scan
 
 
 def rounded(value: Column | str) -> Column:
