@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,18 +95,26 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, metric: str
     return _search(queries, corpus, k, metric, [], max_broadcast_values)
 
 
-def _centroid_table(centroids: DataFrame, max_cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids `(cell, emb)` as arrays; their number is the `nlist` of the index."""
-    table = topk.small_table(centroids.select("cell", "emb").orderBy("cell"), max_cells)
+@dataclass(frozen=True)
+class Cells:
+    """The cells of an index: their numbers, ascending, and their centroids."""
+
+    numbers: np.ndarray
+    centers: np.ndarray
+
+
+def load_cells(centroids: DataFrame, max_cells: int = 1 << 18) -> Cells:
+    """Centroids `(cell, emb)` on the driver; their number is the `nlist` of the index."""
+    table = topk.small_table(centroids.select("cell", "emb"), max_cells)
     if table is None:
         raise ValueError(f"more than {max_cells} cells")
-    return table["cell"].to_numpy(), matrix(table["emb"])
+    table = table.sort_by("cell")
+    return Cells(table["cell"].to_numpy(), matrix(table["emb"]))
 
 
-def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, metric: str = "ip") -> DataFrame:
+def nearest_cells(vectors: DataFrame, cells: Cells, n: int, metric: str = "ip") -> DataFrame:
     """Add `cell`, one row for each of the `n` nearest cells of a vector. A pass without a shuffle."""
-    cells, centers = _centroid_table(centroids)
-    step = max(8_000_000 // max(len(cells), 1), 1)
+    step = max(8_000_000 // max(len(cells.numbers), 1), 1)
     schema = vectors.select("*", F.lit(0).cast("int").alias("cell")).schema
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +123,8 @@ def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, metric: str
             for start in range(0, batch.num_rows, step):
                 table = pa.Table.from_batches([batch.slice(start, step)])
                 rows = np.arange(table.num_rows)
-                best = topk.RunningBest(table.num_rows, min(n, len(cells)))
-                best.offer(rows, cells, similarity(matrix(table["emb"]), centers, metric))
+                best = topk.RunningBest(table.num_rows, min(n, len(cells.numbers)))
+                best.offer(rows, cells.numbers, similarity(matrix(table["emb"]), cells.centers, metric))
                 repeated = table.take(pa.array(np.repeat(rows, best.k)))
                 yield from repeated.append_column("cell", pa.array(best.ids.ravel(), pa.int32())).to_batches()
 
@@ -144,15 +153,16 @@ def knn_ivf(queries: DataFrame, corpus: DataFrame, centroids: DataFrame, k: int
 
     `corpus` either has a `cell` already (a stored index) or is assigned to its nearest cell here.
     """
+    cells = load_cells(centroids)
     if "cell" not in corpus.columns:
-        corpus = nearest_cells(corpus.select("doc_id", "emb"), centroids, 1, metric)
-    probes = nearest_cells(queries.select("query_id", "emb"), centroids, nprobe, metric)
+        corpus = nearest_cells(corpus.select("doc_id", "emb"), cells, 1, metric)
+    probes = nearest_cells(queries.select("query_id", "emb"), cells, nprobe, metric)
     return _search(probes, corpus, k, metric, ["cell"], max_broadcast_values)
 
 
 def write_index(corpus: DataFrame, centroids: DataFrame, path: str, metric: str = "ip") -> None:
     """Store the corpus by cell. Rebalancing gives a small cell one file and splits a large one."""
-    placed = nearest_cells(corpus, centroids, 1, metric)
+    placed = nearest_cells(corpus, load_cells(centroids), 1, metric)
     placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
 
@@ -166,7 +176,8 @@ def search_index(queries: DataFrame, path: str, k: int = TOP_K, nprobe: int = NP
                  metric: str = "ip") -> DataFrame:
     """Search a stored index; only the directories of probed cells are read."""
     corpus, centroids = open_index(queries.sparkSession, path)
-    probes = materialize(nearest_cells(queries.select("query_id", "emb"), centroids, nprobe, metric), "probes")
+    cells = load_cells(centroids)
+    probes = materialize(nearest_cells(queries.select("query_id", "emb"), cells, nprobe, metric), "probes")
     touched = [r[0] for r in probes.select("cell").distinct().collect()]  # at most one row per cell
     return _search(probes, corpus.where(F.col("cell").isin(touched)), k, metric, ["cell"],
                    topk.MAX_BROADCAST_VALUES)

@@ -14,6 +14,7 @@ from shotgrove.plans.catalog_examples import SQL_VOCAB, document_vocab
 from shotgrove.plans.catalog_retrieval import SQL_MEANS, label_means, pair_queries
 from shotgrove.plans.inputs import SQL_TOKENS, turn_examples, vectors, with_parts
 from shotgrove.plans.registry import joined, query, rounded, table
+from shotgrove.session import materialize
 
 K = 10
 
@@ -30,28 +31,26 @@ def _neighbors(spark, folder):
 
 
 # Parameters come from the class means: class c gives rank c + 1.
-def _mask(spark, folder):
-    return label_means(spark, folder).select(
-        (F.col("cell") + 1).alias("rank"), (F.col("emb")[0] * 10).alias("m"))
+def _mask(means):
+    return means.select((F.col("cell") + 1).alias("rank"), (F.col("emb")[0] * 10).alias("m"))
 
 
-def _beta(spark, folder):
-    return label_means(spark, folder).select(
-        (F.col("cell") + 1).alias("rank"), F.posexplode("emb").alias("dim", "x")).select(
+def _beta(means):
+    return means.select((F.col("cell") + 1).alias("rank"), F.posexplode("emb").alias("dim", "x")).select(
         "rank", "dim", (F.col("x") * 10).alias("beta"))
 
 
-def _projection(spark, folder):
+def _projection(means):
     """Sum over the classes of mean[i] x mean[j]; dimension x dimension rows."""
-    means = label_means(spark, folder).select("cell", F.posexplode("emb").alias("dim", "x"))
-    other = means.select("cell", F.col("dim").alias("dim_in"), F.col("x").alias("y"))
-    return (means.join(other, "cell").groupBy(F.col("dim").alias("dim_out"), "dim_in")
+    one = means.select("cell", F.posexplode("emb").alias("dim", "x"))
+    other = one.select("cell", F.col("dim").alias("dim_in"), F.col("x").alias("y"))
+    return (one.join(other, "cell").groupBy(F.col("dim").alias("dim_out"), "dim_in")
             .agg(F.sum(F.col("x") * F.col("y")).alias("w")))
 
 
 def _parameters(spark, folder, projection=False):
-    return U.parameters(_mask(spark, folder), _beta(spark, folder),
-                        _projection(spark, folder) if projection else None)
+    means = materialize(label_means(spark, folder), "means")
+    return U.parameters(_mask(means), _beta(means), _projection(means) if projection else None)
 
 
 def _values(fused, *keys):
@@ -117,7 +116,7 @@ for _key, _name in (("fuse_residual_add", "residual_add_cls"), ("fuse_residual_m
 
 @query("ordered_mask", _SQL_NEAR + "\nSELECT rank::INTEGER AS rank, dim::INTEGER AS dim, round(w, 6) AS mask FROM ordered")
 def ordered_mask(spark, folder):
-    return U.ordered_mask(_beta(spark, folder)).select("rank", "dim", rounded("mask").alias("mask"))
+    return U.ordered_mask(_beta(label_means(spark, folder))).select("rank", "dim", rounded("mask").alias("mask"))
 
 
 @query("fuse_dispatch", _SQL_NEAR + """,
