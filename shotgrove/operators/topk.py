@@ -151,20 +151,24 @@ def search_blocks(queries: DataFrame, corpus: DataFrame, k: int,
     """
     query_block = max(int(QUERY_BLOCK_VALUES / query_width), 1)
     corpus_block = max(int(CORPUS_BLOCK_VALUES / corpus_width), 1)
-    queries = queries if cell else queries.withColumn("_cell", F.lit(0))
-    corpus = corpus if cell else corpus.withColumn("_cell", F.lit(0))
-    cell = cell or "_cell"
-    sizes = (corpus.groupBy(cell).agg(F.count(F.lit(1)).alias("_docs"))
-             .join(queries.groupBy(cell).agg(F.count(F.lit(1)).alias("_asks")), cell)
-             .select(cell, F.ceil(F.col("_docs") / corpus_block).cast("int").alias("_doc_blocks"),
-                     F.ceil(F.col("_asks") / query_block).cast("int").alias("_query_blocks")))
-    # One row per cell.
-    sizes = F.broadcast(corpus.sparkSession.createDataFrame(sizes.toArrow()))
+    keys = [cell] if cell else []
+    asks, docs = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) for df in (queries, corpus))
+    doc_blocks = F.ceil(F.col("_n") / corpus_block).cast("int").alias("_doc_blocks")
+    query_blocks = F.ceil(F.col("_n") / query_block).cast("int").alias("_query_blocks")
+    if cell:
+        # One row per cell.
+        counted = docs.select(cell, doc_blocks).join(asks.select(cell, query_blocks), cell)
+        sizes = F.broadcast(corpus.sparkSession.createDataFrame(counted.toArrow()))
+    else:
+        sizes = {**docs.select(doc_blocks).first().asDict(), **asks.select(query_blocks).first().asDict()}
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(sizes, cell) if cell else df.withColumns({c: F.lit(n) for c, n in sizes.items()})
 
     def placed(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return (df.join(sizes, cell)
-                .withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        every = F.explode(F.sequence(F.lit(1), F.col(other)))
+        return (sized(df).where(F.col(other) > 0)
+                .withColumn(mine, (F.pmod(F.xxhash64(key), F.col(own)) + 1).cast("int"))
                 .withColumn(theirs, every).drop("_doc_blocks", "_query_blocks"))
 
     left = placed(queries, "query_id", "_query_blocks", "_doc_blocks", "_qb", "_cb")
@@ -175,7 +179,7 @@ def search_blocks(queries: DataFrame, corpus: DataFrame, k: int,
             return HIT_TABLE
         return pa.Table.from_batches(list(_scan(iter(docs.to_batches(BATCH_ROWS)), make_scorer(asks), k)))
 
-    keys = [cell, "_qb", "_cb"]
+    keys = [*keys, "_qb", "_cb"]
     return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, HIT), k)
 
 

@@ -41,9 +41,11 @@ def _types(result: pa.Table) -> dict[str, str]:
 
 
 def differences(spark, db, query, sql: str, folder: str) -> tuple[list[str], int]:
-    got = query(spark, folder).toArrow()
+    df = query(spark, folder)
+    problems = [f"plan holds {join}" for join in ("CartesianProduct", "NestedLoop")
+                if join in df._jdf.queryExecution().executedPlan().toString()]
+    got = df.toArrow()
     want = db.execute(sql).to_arrow_table()
-    problems = []
     if sorted(got.column_names) != sorted(want.column_names):
         return [f"columns {got.column_names} / {want.column_names}"], got.num_rows
     if _types(got) != _types(want):
