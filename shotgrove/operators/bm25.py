@@ -66,6 +66,7 @@ class LexicalScorer:
         self.terms = [self.vocabulary.get_indexer(t) for t in queries["terms"].to_pylist()]
         self.weights = [np.asarray(w) for w in queries["weights"].to_pylist()]
         self.avgdl = avgdl
+        self.batch_rows = topk.BATCH_ROWS
 
     def _postings(self, batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document positions and term weights by term, with the start of each term."""

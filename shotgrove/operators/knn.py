@@ -40,7 +40,9 @@ def similarity(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
         score = -np.sqrt(np.maximum(squared, 0))
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    return np.round(score, DIGITS) + 0.0
+    np.round(score, DIGITS, out=score)
+    score += 0.0
+    return score
 
 
 class VectorScorer:
@@ -55,6 +57,9 @@ class VectorScorer:
         self.vectors = matrix(queries["emb"])[first]
         self.cells = queries["cell"].to_numpy() if "cell" in queries.column_names else None
         self.metric = metric
+        # Rows of one cell are a small part of a batch.
+        width = max(self.vectors.shape[1], 1)
+        self.batch_rows = topk.BATCH_ROWS if self.cells is None else max(topk.BATCH_ROWS, 4_000_000 // width)
 
     def score(self, batch: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ids, vectors = batch["doc_id"].to_numpy(), matrix(batch["emb"])

@@ -21,6 +21,8 @@ from shotgrove.schema import HIT
 MAX_BROADCAST_VALUES = 4_000_000
 QUERY_BLOCK_VALUES = 1_000_000
 CORPUS_BLOCK_VALUES = 32_000_000
+# A corpus of few blocks is cut finer, down to this, until all cores have one.
+MIN_BLOCK_VALUES = 1_000_000
 BATCH_ROWS = 4_096
 # Length of all short lists of one task from which a bound is taken first, and the share of rows used for it.
 BOUND_FROM = 1_000_000
@@ -32,6 +34,7 @@ class Scorer(Protocol):
     """Scores corpus rows against the queries it was built with."""
 
     query_ids: np.ndarray
+    batch_rows: int  # corpus rows to take at once
 
     def score(self, batch: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Yield (query rows, doc ids, scores by query and doc); -inf marks a pair that is no hit."""
@@ -52,24 +55,36 @@ class RunningBest:
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         if scores.size == 0:
             return
-        entering = scores.max(axis=1) >= np.maximum(self.scores[rows].min(axis=1), self.floor[rows])
+        last, top = self.scores[rows].min(axis=1), scores.max(axis=1)
+        entering = (top > last) & (top >= self.floor[rows])
+        level = np.flatnonzero((top == last) & np.isfinite(last))
+        if level.size:
+            # Equal to the last place: only a lower id gets in.
+            at = last[level][:, None]
+            worst = np.where(self.scores[rows[level]] == at, self.ids[rows[level]], -1).max(axis=1)
+            entering[level] = np.where(scores[level] == at, ids, _NO_ID).min(axis=1) < worst
         for start in range(0, int(entering.sum()), 256):
             chosen = np.flatnonzero(entering)[start:start + 256]
             self._merge(rows[chosen], ids, scores[chosen])
 
     def _merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        k = self.k
-        every = np.hstack([self.scores[rows], np.where(scores >= self.floor[rows][:, None], scores, -np.inf)])
-        every_id = np.hstack([self.ids[rows], np.broadcast_to(ids, scores.shape)])
-        top = np.argpartition(-every, k - 1, axis=1)[:, :k]
-        floor = np.take_along_axis(every, top, axis=1).min(axis=1)
-        self.scores[rows] = np.take_along_axis(every, top, axis=1)
-        self.ids[rows] = np.take_along_axis(every_id, top, axis=1)
+        k, own = self.k, self.ids[rows]
+        if np.isfinite(self.floor[rows]).any():
+            scores = np.where(scores >= self.floor[rows][:, None], scores, -np.inf)
+        every = np.hstack([self.scores[rows], scores])
+        top = np.argpartition(every, every.shape[1] - k, axis=1)[:, -k:]
+        best = np.take_along_axis(every, top, axis=1)
+        last = best.min(axis=1)
+        self.scores[rows] = best
+        self.ids[rows] = np.where(top < k, np.take_along_axis(own, np.minimum(top, k - 1), axis=1),
+                                  ids[np.maximum(top - k, 0)])
         # Where more rows tie at the last place than fit, the lowest ids are kept.
-        tied = np.flatnonzero(((every >= floor[:, None]).sum(axis=1) > k) & np.isfinite(floor))
+        tied = np.flatnonzero(((every >= last[:, None]).sum(axis=1) > k) & np.isfinite(last))
         for r in tied:
-            best = np.lexsort((every_id[r], -every[r]))[:k]
-            self.scores[rows[r]], self.ids[rows[r]] = every[r, best], every_id[r, best]
+            fit = np.flatnonzero(every[r] >= last[r])
+            fit_ids = np.where(fit < k, own[r, np.minimum(fit, k - 1)], ids[np.maximum(fit - k, 0)])
+            chosen = np.lexsort((fit_ids, -every[r, fit]))[:k]
+            self.scores[rows[r]], self.ids[rows[r]] = every[r, fit[chosen]], fit_ids[chosen]
 
     def to_batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         found = np.isfinite(self.scores)
@@ -86,7 +101,7 @@ def _scan(batches: Iterator[pa.RecordBatch], scorer: Scorer, k: int,
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         waiting.append(batch)
-        if sum(b.num_rows for b in waiting) >= BATCH_ROWS:
+        if sum(b.num_rows for b in waiting) >= scorer.batch_rows:
             _offer_all(best, scorer, waiting)
             waiting = []
     if waiting:
@@ -153,7 +168,9 @@ def search_blocks(queries: DataFrame, corpus: DataFrame, k: int,
     corpus_block = max(int(CORPUS_BLOCK_VALUES / corpus_width), 1)
     keys = [cell] if cell else []
     asks, docs = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) for df in (queries, corpus))
-    doc_blocks = F.ceil(F.col("_n") / corpus_block).cast("int").alias("_doc_blocks")
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    finer = F.least(F.lit(cores), F.ceil(F.col("_n") * corpus_width / MIN_BLOCK_VALUES))
+    doc_blocks = F.greatest(F.ceil(F.col("_n") / corpus_block), finer).cast("int").alias("_doc_blocks")
     query_blocks = F.ceil(F.col("_n") / query_block).cast("int").alias("_query_blocks")
     if cell:
         # One row per cell.
