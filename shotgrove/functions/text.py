@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The spellings that a data-frame reader takes as missing.
@@ -30,6 +30,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def explode_once(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFrame:
+    """`keep` and one row per item, without a row for an empty list.
+
+    A plain explode of a computed list makes the optimizer check its size first, which computes it twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def field(fields: Column, position: int) -> Column:
     """Field by position from 0 (negative: from the end); NULL where the row is too short."""
     return F.try_element_at(fields, F.lit(position + 1 if position >= 0 else position))

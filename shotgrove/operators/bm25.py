@@ -23,7 +23,7 @@ MAX_BROADCAST_TERMS = 1_000_000
 
 def postings(corpus: DataFrame) -> DataFrame:
     """(doc_id, term, tf) of `corpus (doc_id, text)`."""
-    return (corpus.select("doc_id", F.explode(X.words(F.col("text"))).alias("term"))
+    return (X.explode_once(corpus, ["doc_id"], X.words(F.col("text")), "term")
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
 
 
@@ -46,13 +46,13 @@ def term_statistics(documents: DataFrame) -> DataFrame:
     Counts are combined in each task before the shuffle.
     """
     terms = F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))
-    return (documents.select("dl", F.explode(terms).alias("term"))
+    return (documents.select("dl", F.explode_outer(terms).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length")))
 
 
 def query_terms(queries: DataFrame, words: str = "words") -> DataFrame:
     """(query_id, term, qtf) of `queries (query_id, words)`."""
-    return (queries.select("query_id", F.explode(words).alias("term"))
+    return (X.explode_once(queries, ["query_id"], F.col(words), "term")
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("int").alias("qtf")))
 
 

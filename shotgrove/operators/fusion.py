@@ -6,6 +6,7 @@ therefore share one pass over the neighbours, and a mixture of strategies is a m
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,6 +127,11 @@ def _pool(ranks: pa.Array, flat: pa.Array, dim: int, weights: np.ndarray | None)
     return out
 
 
+def _run_once(rows: Callable[..., pa.Array]) -> Callable[..., Column]:
+    """A vector function that the optimizer does not copy into filters, where it would run again."""
+    return F.arrow_udf(rows, "array<double>").asNondeterministic()
+
+
 def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | None) -> Column:
     """Column of fused vectors. A name that ends in `_x` fuses before the linear map."""
     before = strategy.endswith("_x")
@@ -133,7 +139,6 @@ def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | None) -> Col
     weights = _weights(name, p)
     projection = p.projection if "residual" in name else None
 
-    @F.arrow_udf("array<double>")
     def fuse_rows(base: pa.Array, ranks: pa.Array, flat: pa.Array) -> pa.Array:
         x = _dense(base)
         pooled = _pool(ranks, flat, x.shape[1], weights)
@@ -143,7 +148,7 @@ def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | None) -> Col
             return _lists(x + pooled)
         return _lists((x + pooled) @ linear.T if before else x @ linear.T + pooled)
 
-    return fuse_rows("_base", "_ranks", "_flat")
+    return _run_once(fuse_rows)("_base", "_ranks", "_flat")
 
 
 def gather(base: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -177,7 +182,6 @@ def fuse_mixture(base: DataFrame, neighbors: DataFrame, architecture: dict[str,
     known = {n: s for n, s in shares.items() if n in STRATEGIES}
     kept_share = sum(s for n, s in shares.items() if n == IDENTITY or n in STRATEGIES)
 
-    @F.arrow_udf("array<double>")
     def mix(vectors: pa.Array, ranks: pa.Array, flat: pa.Array) -> pa.Array:
         x = _dense(vectors)
         out = x * kept_share
@@ -196,7 +200,7 @@ def fuse_mixture(base: DataFrame, neighbors: DataFrame, architecture: dict[str,
         return _lists(out)
 
     kept = [c for c in base.columns if c != "emb"]
-    return gather(base, neighbors).select(*kept, mix("_base", "_ranks", "_flat").alias("emb"))
+    return gather(base, neighbors).select(*kept, _run_once(mix)("_base", "_ranks", "_flat").alias("emb"))
 
 
 def fuse_select(base: DataFrame, neighbors: DataFrame, architecture: dict[str, float],

@@ -55,7 +55,7 @@ def stored_vocab(vocab: DataFrame) -> DataFrame:
 def encode_ids(features: DataFrame, vocab: DataFrame, key: str = "guid", tokens: str = "tokens",
                head_rows: int = HEAD_ROWS) -> DataFrame:
     """(key, ids): token ids in token order; unknown tokens get the id of the unknown token."""
-    rows = features.select(key, F.posexplode(tokens).alias("pos", "token"))
+    rows = features.select(key, F.posexplode_outer(tokens).alias("pos", "token")).where(F.col("pos").isNotNull())
     unknown = F.lit(SPECIAL_TOKENS.index(UNK)).cast("bigint")
     found = _look_up(rows, vocab, "token", "token_id", head_rows)
     return _in_order(found.withColumn("token_id", F.coalesce("token_id", unknown)), key, F.col("token_id"), "ids")

@@ -329,8 +329,8 @@ vocab AS (
 
 
 def document_vocab(spark, folder):
-    rows = table(spark, folder, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token"))
-    return vocab.build_vocab(rows)
+    return vocab.build_vocab(X.explode_once(
+        table(spark, folder, "documents"), [], X.tokens(F.col("text")), "token"))
 
 
 @query("verbalize", f"""

@@ -219,8 +219,8 @@ def label_word_scores(spark, folder):
                                   "task string, label string, word string")
     known = LB.verbalize(words, document_vocab(spark, folder))
     verbalizer = known.select("word", "word_id", F.col("label").cast("int").alias("label_id"))
-    counted = (table(spark, folder, "documents").select(F.col("doc_id").alias("guid"),
-                                                        F.explode(X.tokens(F.col("text"))).alias("word"))
+    documents = table(spark, folder, "documents").withColumnRenamed("doc_id", "guid")
+    counted = (X.explode_once(documents, ["guid"], X.tokens(F.col("text")), "word")
                .groupBy("guid", "word").agg(F.count(F.lit(1)).cast("double").alias("score")))
     scored = counted.join(F.broadcast(verbalizer.select("word", "word_id")), "word")
     return C.label_word_scores(scored, verbalizer)
