@@ -21,16 +21,6 @@ K1, B = 0.9, 0.4
 MAX_BROADCAST_TERMS = 1_000_000
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) of `corpus (doc_id, text)`."""
-    return (X.explode_once(corpus, ["doc_id"], X.words(F.col("text")), "term")
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
-
-
-def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
 def document_rows(corpus: DataFrame) -> DataFrame:
     """(doc_id, dl, terms): the index by document, built without a shuffle.
 
@@ -40,6 +30,16 @@ def document_rows(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", words.alias("terms")).withColumn("dl", F.size("terms"))
 
 
+def postings(documents: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf) of document rows."""
+    return (X.explode_once(documents, ["doc_id", "dl"], F.col("terms"), "term")
+            .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+
+
+def document_frequency(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def term_statistics(documents: DataFrame) -> DataFrame:
     """(term, df, length) in one pass. The row with no term counts all documents and their words.
 

@@ -6,7 +6,7 @@ from shotgrove.operators import bm25, knn, neighbors
 from shotgrove.plans.catalog_encoding import sql_knn
 from shotgrove.plans.inputs import SQL_WORDS, passages, turn_examples, vectors, with_parts
 from shotgrove.plans.registry import joined, query, rounded, table
-from shotgrove.session import new_table_path
+from shotgrove.session import materialize, new_table_path
 
 
 def _queries(spark, folder):
@@ -108,11 +108,8 @@ sums AS (SELECT COUNT(*) AS n_docs, AVG(dl) AS avgdl FROM lengths)"""
     SELECT p.doc_id, p.term, p.tf::INTEGER AS tf, f.df, l.dl::INTEGER AS dl
     FROM posted p JOIN freq f ON f.term = p.term JOIN lengths l ON l.doc_id = p.doc_id""")
 def bm25_index(spark, folder):
-    _, corpus = _texts(spark, folder)
-    documents = bm25.document_rows(corpus)
-    posted = bm25.postings(corpus)
-    return (posted.join(bm25.document_frequency(posted), "term").join(documents.select("doc_id", "dl"), "doc_id")
-            .select("doc_id", "term", "tf", "df", "dl"))
+    posted = materialize(bm25.postings(bm25.document_rows(_texts(spark, folder)[1])), "postings")
+    return posted.join(bm25.document_frequency(posted), "term").select("doc_id", "term", "tf", "df", "dl")
 
 
 @query("bm25_statistics", f"""

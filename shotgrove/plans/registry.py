@@ -27,8 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# Tables whose rows cost work in each task: texts and vectors.
-_SPREAD = ("documents", "conversations", "embeddings")
+# Tables whose rows cost work in each task.
+_SPREAD = ("documents", "conversations", "embeddings", "lineitem", "orders")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
