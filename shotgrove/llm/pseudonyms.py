@@ -170,9 +170,9 @@ def _date(value: Column, key: str) -> Column:
     m, n = _DAY_PARTS
     new = _number_feistel(F.floor(day / n), F.pmod(day, F.lit(n)), (m, n), "date", key, ROUNDS)
     moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), (new["a"] * n + new["b"]).cast("int"))
-    text = (F.when(year_first, F.concat_ws(sign, *[F.date_format(moved, p) for p in ("yyyy", "MM", "dd")]))
-            .when(month_first, F.date_format(moved, "MM/dd/yyyy"))
-            .otherwise(F.concat_ws(sign, *[F.date_format(moved, p) for p in ("dd", "MM", "yyyy")])))
+    year, month, dom = (F.date_format(moved, p) for p in ("yyyy", "MM", "dd"))
+    text = (F.when(year_first, F.concat(year, sign, month, sign, dom)).when(month_first, F.concat(month, sign, dom, sign, year))
+            .otherwise(F.concat(dom, sign, month, sign, year)))
     return F.when((day >= 0) & (day < m * n), text)
 
 
