@@ -40,3 +40,8 @@ def text_or_empty(df: DataFrame) -> Column:
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo `divisor`; 0 for a missing key."""
     return F.coalesce(F.crc32(key.cast("string")) % divisor, F.lit(0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrove.llm.common import read
+from shotgrove.llm.common import let, read
 
 KEY = "corpus-pseudonyms"
 ROUNDS = 8
@@ -59,13 +59,15 @@ def _byte(digest: Column, position: Column) -> Column:
 def _shifted(half: Column, digest: Column, alphabets: tuple[str, ...]) -> Column:
     """Every character moved within its alphabet by a byte of the digest; others stay."""
     def move(i: Column) -> Column:
-        c = F.substring(half, i, F.lit(1))
-        moved = c
-        for letters in alphabets:
-            at = F.instr(F.lit(letters), c)
-            to = F.pmod(at - 1 + _byte(digest, i), F.lit(len(letters))) + 1
-            moved = F.when(at > 0, F.substring(F.lit(letters), to.cast("int"), F.lit(1))).otherwise(moved)
-        return moved
+        def moved(c: Column) -> Column:
+            result = c
+            for letters in alphabets:
+                at = F.instr(F.lit(letters), c)
+                to = F.pmod(at - 1 + _byte(digest, i), F.lit(len(letters))) + 1
+                result = F.when(at > 0, F.substring(F.lit(letters), to.cast("int"), F.lit(1))).otherwise(result)
+            return result
+
+        return let(F.substring(half, i, F.lit(1)), moved)
 
     places = F.when(F.length(half) > 0, F.sequence(F.lit(1), F.length(half))).otherwise(F.array().cast("array<int>"))
     return F.array_join(F.transform(places, move), "")
@@ -80,11 +82,13 @@ def permuted(value: Column, kind: str, key: str = KEY, alphabets: tuple[str, ...
 
     def step(state: Column, i: Column) -> Column:
         even = i % 2 == 0
-        moved = _shifted(F.when(even, state["a"]).otherwise(state["b"]),
-                         _hash(key, kind, i, F.concat_ws("\x1f", F.length(value).cast("string"), F.when(
-                             even, state["b"]).otherwise(state["a"]))), alphabets)
-        return F.struct(F.when(even, moved).otherwise(state["a"]).alias("a"),
-                        F.when(even, state["b"]).otherwise(moved).alias("b"))
+
+        def turned(half: Column, other: Column) -> Column:
+            digest = _hash(key, kind, i, F.concat_ws("\x1f", F.length(value).cast("string"), other))
+            return let(half, lambda h: let(digest, lambda d: _shifted(h, d, alphabets)))
+
+        return F.when(even, F.struct(turned(state["a"], state["b"]).alias("a"), state["b"].alias("b"))).otherwise(
+            F.struct(state["a"].alias("a"), turned(state["b"], state["a"]).alias("b")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step,
                        lambda end: F.concat(end["a"], end["b"]))
@@ -129,31 +133,41 @@ def refilled(value: Column, digits: Column) -> Column:
 
 def _card(value: Column, key: str) -> Column:
     """The first digit and the format stay, the check digit follows from the rest."""
-    digits = digits_of(value)
-    body = F.concat(F.substring(digits, 1, 1), permuted(
-        F.substring(digits, F.lit(2), F.length(digits) - 2), "card", key, _ALPHABETS[:1]))
-    check = F.pmod(10 - F.pmod(_luhn_sum(body, 0), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, refilled(value, F.concat(body, check)))
+    def changed(digits: Column) -> Column:
+        body = F.concat(F.substring(digits, 1, 1), permuted(
+            F.substring(digits, F.lit(2), F.length(digits) - 2), "card", key, _ALPHABETS[:1]))
+        whole = let(body, lambda b: F.concat(
+            b, F.pmod(10 - F.pmod(_luhn_sum(b, 0), F.lit(10)), F.lit(10)).cast("string")))
+        return F.when(_luhn_sum(digits, 1) % 10 == 0, let(whole, lambda w: refilled(value, w)))
+
+    return let(digits_of(value), changed)
 
 
 def _ipv4(value: Column, key: str) -> Column:
-    octets = F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
-    new = _number_feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (65536, 65536), "ipv4", key, ROUNDS)
-    text = F.concat_ws(".", *[(part.bitwiseAND(F.lit(255)) if low else F.shiftright(part, 8)).cast("string")
-                              for part in (new["a"], new["b"]) for low in (False, True)])
-    return F.when(F.array_max(octets) <= 255, text)
+    def changed(octets: Column) -> Column:
+        new = _number_feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (65536, 65536), "ipv4", key,
+                              ROUNDS)
+        text = let(new, lambda n: F.concat_ws(".", *[
+            (part.bitwiseAND(F.lit(255)) if low else F.shiftright(part, 8)).cast("string")
+            for part in (n["a"], n["b"]) for low in (False, True)]))
+        return F.when(F.array_max(octets) <= 255, text)
+
+    return let(F.transform(F.split(value, r"\."), lambda o: o.cast("int")), changed)
 
 
 def _phone(value: Column, key: str) -> Column:
     """The country code stays."""
-    digits = digits_of(value)
-    new = permuted(F.substring(digits, F.length(digits) - 9, F.lit(10)), "phone", key, _ALPHABETS[:1])
-    return refilled(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new))
+    def changed(digits: Column) -> Column:
+        new = permuted(F.substring(digits, F.length(digits) - 9, F.lit(10)), "phone", key, _ALPHABETS[:1])
+        return let(F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), new),
+                   lambda d: refilled(value, d))
+
+    return let(digits_of(value), changed)
 
 
 def _ssn(value: Column, key: str) -> Column:
     valid = ~value.rlike("^(?:000|666|9..)|^...-00|0000$")
-    return F.when(valid, refilled(value, permuted(digits_of(value), "ssn", key, _ALPHABETS[:1])))
+    return F.when(valid, let(permuted(digits_of(value), "ssn", key, _ALPHABETS[:1]), lambda d: refilled(value, d)))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -166,14 +180,21 @@ def _date(value: Column, key: str) -> Column:
         "-", F.substring(value, 7, 4), F.lpad(F.when(month_first, first).otherwise(second).cast("string"), 2, "0"),
         F.lpad(F.when(month_first, second).otherwise(first).cast("string"), 2, "0")))
     date = F.try_to_date(iso, "yyyy-MM-dd")
-    day = F.datediff(date, F.lit(_FIRST_DAY).cast("date"))
     m, n = _DAY_PARTS
-    new = _number_feistel(F.floor(day / n), F.pmod(day, F.lit(n)), (m, n), "date", key, ROUNDS)
-    moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), (new["a"] * n + new["b"]).cast("int"))
-    year, month, dom = (F.date_format(moved, p) for p in ("yyyy", "MM", "dd"))
-    text = (F.when(year_first, F.concat(year, sign, month, sign, dom)).when(month_first, F.concat(month, sign, dom, sign, year))
-            .otherwise(F.concat(dom, sign, month, sign, year)))
-    return F.when((day >= 0) & (day < m * n), text)
+    origin = F.lit(_FIRST_DAY).cast("date")
+
+    def changed(day: Column) -> Column:
+        new = _number_feistel(F.floor(day / n), F.pmod(day, F.lit(n)), (m, n), "date", key, ROUNDS)
+        moved = F.date_add(origin, let(new, lambda x: (x["a"] * n + x["b"]).cast("int")))
+        return F.when((day >= 0) & (day < m * n), let(moved, written))
+
+    def written(moved: Column) -> Column:
+        year, month, dom = (F.date_format(moved, p) for p in ("yyyy", "MM", "dd"))
+        return (F.when(year_first, F.concat(year, sign, month, sign, dom))
+                .when(month_first, F.concat(month, sign, dom, sign, year))
+                .otherwise(F.concat(dom, sign, month, sign, year)))
+
+    return let(F.datediff(date, origin), changed)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -198,8 +219,8 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     """Struct (kind, text); the kind is NULL for a value that fails its validation, the text is then the value."""
     result = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"))
     for kind in reversed(KINDS):
-        text = _MAKERS[kind](value, key)
-        found = F.struct(F.when(text.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(text, value).alias("text"))
+        found = let(_MAKERS[kind](value, key), lambda text, k=kind: F.struct(
+            F.when(text.isNotNull(), F.lit(k)).alias("kind"), F.coalesce(text, value).alias("text")))
         result = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), found).otherwise(result)
     return result
 
