@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrove.llm.common import hinted, only_ids, read, without_ids
+from shotgrove.llm.common import hinted, let, only_ids, read, without_ids
 from shotgrove.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,27 +43,29 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the list of shingle hashes in order, repeated ones included; empty without words."""
-    df = df.withColumn("_hashes", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
-    n = F.size("_hashes")
-    several = F.transform(F.sequence(F.lit(0), n - WORDS),
-                          lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WORDS)]))
-    empty = F.array().cast("array<bigint>")
-    return df.withColumn(out, F.when(n >= WORDS, several).when(n > 0, F.array(F.xxhash64("_hashes")))
-                         .otherwise(empty)).drop("_hashes")
+def shingles(text: Column) -> Column:
+    """Shingle hashes in order, repeated ones included; empty without words."""
+    def joined(hashes: Column) -> Column:
+        n = F.size(hashes)
+        several = F.transform(F.sequence(F.lit(0), n - WORDS),
+                              lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WORDS)]))
+        return F.when(n >= WORDS, several).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(
+            F.array().cast("array<bigint>"))
 
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), joined)
 
-def simhash(shingles: Column) -> Column:
+
+def simhash(shingle_list: Column) -> Column:
     """Bit b is set where most shingle hashes have it set."""
-    def bit(i: Column) -> Column:
-        votes = F.aggregate(shingles, F.lit(0), lambda s, h: s + F.call_function(
+    def bit(hashes: Column, i: Column) -> Column:
+        votes = F.aggregate(hashes, F.lit(0), lambda s, h: s + F.call_function(
             "shiftright", h, i).bitwiseAND(F.lit(1)).cast("int") * 2 - 1)
         return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(
             F.lit(0).cast("bigint"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"),
-                       lambda bits, i: bits.bitwiseOR(bit(i)))
+    return let(shingle_list, lambda hashes: F.aggregate(
+        F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"),
+        lambda bits, i: bits.bitwiseOR(bit(hashes, i))))
 
 
 def block_layout() -> list[tuple[int, int]]:
@@ -94,7 +96,7 @@ def weighted_similarity(left: Column, right: Column) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    named = with_shingles(items.select(F.col("item_id"), F.col("text").alias("_text")), "_text", "item_list")
+    named = items.select("item_id", shingles(F.col("text")).alias("item_list"))
     return (named.where(F.size("item_list") > 0)
             .select("item_id", "item_list", F.size("item_list").alias("size"), simhash(F.col("item_list")).alias("mark")))
 
@@ -102,8 +104,8 @@ def item_shingles(items: DataFrame) -> DataFrame:
 def windows(documents: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, start, size): where windows of an item's size can be similar to it."""
     seeds = materialize(items.select("size", "item_id", F.posexplode("item_list").alias("item_at", "hash")), "seeds")
-    places = with_shingles(documents, "text", "list").select(
-        "doc_id", "digest", F.posexplode("list").alias("at", "hash"))
+    # The outer kind, as the plain one works the list out twice to check its size.
+    places = documents.select("doc_id", "digest", F.posexplode_outer(shingles(F.col("text"))).alias("at", "hash"))
     common = places.join(hinted(seeds), "hash").select(
         "doc_id", "digest", "item_id", "size", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"))
     # First per beginning, so that what is gathered is one list of beginnings.
@@ -119,8 +121,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     rows = documents.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
     items = materialize(item_shingles(benchmark), "items")
     found = materialize(windows(rows, items, similarity), "windows")
-    texts = with_shingles(only_ids(rows, materialize(found.select("doc_id").distinct(), "suspects")), "text", "list")
-    marked = (texts.select("doc_id", "digest", "list")
+    texts = only_ids(rows, materialize(found.select("doc_id").distinct(), "suspects"))
+    marked = (texts.select("doc_id", "digest", shingles(F.col("text")).alias("list"))
               .join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("digest", "_digest"),
                     (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
               .select("doc_id", "start", "size", F.slice("list", F.col("start") + 1, F.col("size")).alias("window")))
@@ -154,9 +156,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return without_ids(docs, materialize(hits.select("doc_id").distinct(), "contaminated"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{u}', '{l}'), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{u}', '{l}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _SHINGLES = """CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END"""
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END"""
 
 SQL = f"""
 WITH dw AS (SELECT doc_id, {_WORDS.format(u=UPPER, l=LOWER)} AS words FROM documents),
