@@ -7,6 +7,7 @@ from shotgrove.llm.bpe import op6_bpe
 from shotgrove.llm.common import Query
 from shotgrove.llm.jaccard_join import op3_jaccard_join
 from shotgrove.llm.language_id import op10_language_id
+from shotgrove.llm.lm_scoring import op9_lm_scoring
 from shotgrove.llm.merkle import op1_fingerprints
 from shotgrove.llm.pseudonyms import op2_pseudonyms
 from shotgrove.llm.sharding import op4_sharding
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op6_bpe": op6_bpe,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 
