@@ -8,7 +8,8 @@ Two documents link when the distinct five-word shingles of their texts have a Ja
 3. Tiles: a similar pair shares a shingle among the first fifth of its shingles in any common order. Here common
    shingles come last. Documents of different components that share such a shingle meet in the tile of that shingle
    and of a size band (sizes within 1.25 of each other; large tiles are cut into blocks that meet two by two). There
-   bit counts of hashed bitmaps bound the overlap from above. Pairs that can reach 0.8 go to
+   bit counts of hashed bitmaps bound the overlap from above. The lowest shingles have tiles as well: a pair that
+   shares some of them is taken from the tile of the lowest one alone. Pairs that can reach 0.8 go to
 4. exact intersection of the sorted shingle arrays. Links make components.
 
 No link between different texts is lost: the tiles hold every pair of documents that steps 1 and 2 left in different
@@ -35,19 +36,19 @@ from shotgrove.llm.shingle_sets import set_id, shingle_sets
 from shotgrove.session import materialize
 
 PERCENT = 80
+_POPCOUNT = np.bitwise_count
 
 # Lowest shingle hashes of a document that look for a star.
-STARS = 6
+LOWEST = 8
 
-# A shingle is common if tasks count it in so many documents, or in one of so many.
-COMMON_DOCUMENTS, COMMON_SHARE = 200, 2000
-# Documents that share a shingle in one batch before the batch reports it.
-COMMON_IN_BATCH = 3
+# A shingle is common if the batches that hold it twice or more count so many documents; of more than COMMON_SHINGLES
+# such shingles the most frequent ones are taken.
+COMMON_DOCUMENTS, COMMON_SHINGLES = 6, 500_000
 
 # Rows of a tile's block, and band edges: sizes grow by 1 / 0.8.
 BLOCK_ROWS = 500
 BAND = math.log(100 / PERCENT)
-MIN_BITS, MAX_BITS = 64, 1 << 14
+MIN_BITS, MAX_BITS = 64, 1 << 15
 
 
 def prefix_size(n: int) -> int:
@@ -60,8 +61,8 @@ def band_of(n: int) -> int:
 
 
 def band_bits(band: int) -> int:
-    """Bitmap width of a band, a power of two near the size."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << round(math.log2(math.exp(band * BAND)) + 0.5)))
+    """Bitmap width of a band, a power of two of three to six times the size: few bits are shared by chance."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(3 * math.exp(band * BAND)))))
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
@@ -86,7 +87,7 @@ def _described(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterato
                 ids.append(0), lowest.append([]), prefixes.append([]), bitmaps.append(b"")
                 continue
             ids.append(set_id(values))
-            lowest.append(values[:STARS])
+            lowest.append(values[:LOWEST])
             at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
             late = common[at] == values if len(common) else np.zeros(n, dtype=bool)
             size = prefix_size(n)
@@ -105,7 +106,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not sets:
             continue
         shingle, count = np.unique(np.concatenate(sets), return_counts=True)
-        keep = count >= COMMON_IN_BATCH
+        keep = count >= 2
         yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(count[keep].astype(np.int64))],
                                          names=["shingle", "n"])
 
@@ -121,9 +122,15 @@ def describe(texts: DataFrame) -> DataFrame:
     """(doc_id, n, h, lowest, prefix, bits) of (doc_id, text)."""
     tally = texts.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     tally = materialize(tally.where(F.col("n") >= COMMON_DOCUMENTS), "common")
-    # At most COMMON_SHARE times the mean number of shingles of a document.
-    least = max(COMMON_DOCUMENTS, texts.count() // COMMON_SHARE)
-    common = np.sort(np.array(tally.where(F.col("n") >= least).toArrow().column("shingle"), dtype=np.int64))
+    bins = tally.groupBy(F.floor(F.log2("n") * 4).alias("bin")).agg(
+        F.count("*").alias("shingles"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
+    least, taken = 1 << 62, 0
+    for row in bins:  # some hundred at most
+        taken += row["shingles"]
+        if taken > COMMON_SHINGLES:
+            break
+        least = row["least"]
+    common = np.sort(np.asarray(tally.where(F.col("n") >= least).toArrow().column("shingle"), dtype=np.int64))
     shared = texts.sparkSession.sparkContext.broadcast(common)
     return texts.mapInArrow(lambda batches: _described(batches, shared.value),
                             "doc_id long, n long, h long, lowest array<long>, prefix array<long>, bits binary")
@@ -156,6 +163,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_intersected, "a long, b long")
 
 
+def overlap_bound(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No more shingles can be common: those whose bit the other bitmap lacks are not. One row of words each."""
+    return np.minimum(n - _POPCOUNT(x & ~y).sum(axis=1, dtype=np.int64),
+                      m - _POPCOUNT(y & ~x).sum(axis=1, dtype=np.int64))
+
+
+def _folded(value: bytes, words: int) -> np.ndarray:
+    """A bitmap in a smaller width."""
+    return np.bitwise_or.reduce(np.frombuffer(value, dtype=np.uint64).reshape(-1, words), axis=0)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+        good = np.zeros(batch.num_rows, dtype=bool)
+        for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+            words = min(len(x), len(y)) // 8
+            good[i] = similar(overlap_bound(n[i:i + 1], m[i:i + 1], _folded(x, words)[None], _folded(y, words)[None]),
+                              n[i:i + 1], m[i:i + 1])[0]
+        yield batch.select(["a", "b"]).filter(pa.array(good))
+
+
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a similarity of 0.8."""
+    left = sets.select(F.col("doc_id").alias("a"), "n", F.col("bits").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+            .mapInArrow(_bounded, "a long, b long"))
+
+
 def star_pairs(sets: DataFrame) -> DataFrame:
     """Each document with the smallest document that shares one of its lowest shingles and has a fitting size."""
     rows = sets.select("doc_id", "n", F.explode("lowest").alias("shingle"))
@@ -176,15 +213,19 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
     by two: a row of block i lies in the tiles (i, j) and (j, i) with the smaller number first.
     """
     labelled = sets.join(labels, sets["doc_id"] == labels["node"], "left").select(
-        "doc_id", "n", "bits", "prefix", F.coalesce("component", "doc_id").alias("component"))
+        "doc_id", "n", "lowest", "prefix", F.coalesce("component", "doc_id").alias("component"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND) + 1e-9).cast("int")
-    posted = labelled.select("doc_id", "component", "n", band.alias("own"), F.explode("prefix").alias("shingle"))
+    marked = F.concat(
+        F.transform("prefix", lambda s: F.struct(s.alias("shingle"), F.lit(True).alias("first"))),
+        F.transform(F.array_except("lowest", "prefix"), lambda s: F.struct(s.alias("shingle"), F.lit(False).alias("first"))))
+    posted = labelled.select("doc_id", "component", "n", band.alias("own"), F.explode(marked).alias("p")).select(
+        "doc_id", "component", "n", "own", "p.shingle", "p.first")
     several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = materialize(several.where("low < high").select(F.col("shingle").alias("_shingle")), "several")
     few = hinted(several, 300_000)
     met = posted.join(few, F.col("shingle") == F.col("_shingle")).drop("_shingle")
     guests = F.explode(F.array("own", F.col("own") - 1)).alias("band")
-    placed = materialize(met.select("doc_id", "component", "n", "own", "shingle", guests), "placed")
+    placed = materialize(met.select("doc_id", "component", "n", "own", "shingle", "first", guests), "placed")
     counts = placed.groupBy("band", "shingle").agg(
         F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.max((F.col("own") == F.col("band")).cast("int")).alias("owned"))
@@ -195,24 +236,26 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
     spread = inside.withColumn("_mine", mine).withColumn(
         "_meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("band", "shingle", F.least("_mine", "_meets").alias("block"),
-                          F.greatest("_mine", "_meets").alias("other"), "doc_id", "component", "n", "own")
-    bits = sets.select("doc_id", "bits")
-    return keyed.join(bits, "doc_id").select(*_TILE_ORDER, "doc_id", "component", "n", "own", "bits")
-
-
-_POPCOUNT = np.bitwise_count
+                          F.greatest("_mine", "_meets").alias("other"), "doc_id", "component", "n", "own", "first")
+    marks = sets.select("doc_id", "lowest", "bits")
+    return keyed.join(marks, "doc_id").select(
+        *_TILE_ORDER, "doc_id", "component", "n", "own", "first", "lowest", "bits")
 
 
 def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one band's rows, in tile order, that may be similar."""
     band = table.column("band")[0].as_py()
     keys = [table.column(c).to_numpy() for c in _TILE_ORDER[1:]]
-    doc, comp, n, own = (table.column(c).to_numpy() for c in ("doc_id", "component", "n", "own"))
+    doc, comp, n, own, first = (table.column(c).to_numpy() for c in ("doc_id", "component", "n", "own", "first"))
     words = band_bits(band) // 64
     bits = np.zeros((len(doc), words), dtype=np.uint64)
     for i, value in enumerate(table.column("bits").to_pylist()):
-        mine = np.frombuffer(value, dtype=np.uint64)
-        bits[i] = np.bitwise_or.reduce(mine.reshape(-1, words), axis=0)  # a guest's wider bitmap is folded
+        bits[i] = _folded(value, words)  # a guest's may be wider
+    lists = table.column("lowest").combine_chunks()
+    lowest = np.zeros((len(doc), LOWEST), dtype=np.int64)
+    lengths = lists.value_lengths().to_numpy()
+    lowest[np.arange(LOWEST) < lengths[:, None]] = lists.flatten().to_numpy()
+    lowest = np.where(np.arange(LOWEST) < lengths[:, None], lowest, lowest[:, :1])  # short lists repeat their first
     here = np.arange(len(doc))
     step = 1
     while True:
@@ -229,9 +272,12 @@ def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, j = here[good], there[good]
         for s in range(0, len(i), 20_000):
             x, y = i[s:s + 20_000], j[s:s + 20_000]
-            bound = np.minimum(n[x] - _POPCOUNT(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64),
-                               n[y] - _POPCOUNT(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
-            keep = similar(bound, n[x], n[y])
+            keep = similar(overlap_bound(n[x], n[y], bits[x], bits[y]), n[x], n[y])
+            x, y = x[keep], y[keep]
+            # The lowest common one of the lowest shingles, if there is any, decides which tile gives the pair.
+            common = (lowest[x][:, :, None] == lowest[y][:, None, :]).any(axis=2)
+            least = np.where(common, lowest[x], np.iinfo(np.int64).max).min(axis=1)
+            keep = np.where(common.any(axis=1), least == keys[0][x], first[x] & first[y])
             if keep.any():
                 yield np.minimum(doc[x[keep]], doc[y[keep]]), np.maximum(doc[x[keep]], doc[y[keep]])
         step += 1
@@ -280,7 +326,8 @@ def linked(documents: DataFrame) -> DataFrame:
     copies = classes.where("members > 1").select("n", "h", "first")
     rest = materialize(ids.join(copies, ["n", "h"]).where("doc_id > first").select("doc_id"), "copies")
     own = without_ids(sets.where("n > 0 AND doc_id IS NOT NULL"), rest)
-    links = materialize(verified(materialize(star_pairs(own), "stars"), texts), "star-links")
+    stars = materialize(bounded(star_pairs(own), own), "stars")
+    links = materialize(verified(stars, texts), "star-links")
     labels = components(links)
     more = materialize(verified(materialize(tile_pairs(own, labels), "candidates"), texts), "tile-links")
     if not more.isEmpty():
