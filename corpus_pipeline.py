@@ -11,11 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shotgrove.llm.bpe import encode_documents
+from shotgrove.llm.decontaminate import drop_contaminated
+from shotgrove.llm.jaccard_join import keep_one_of_each
 from shotgrove.llm.language_id import keep_known
+from shotgrove.llm.pseudonyms import hide_personal_data
 from shotgrove.session import materialize
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", keep_known),
+    ("jaccard_join", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("pseudonyms", hide_personal_data),
     ("bpe", encode_documents),
 ]
 
