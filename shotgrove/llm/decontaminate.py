@@ -76,14 +76,14 @@ def block_layout() -> list[tuple[int, int]]:
 
 def block_keys(fingerprint: Column, near: bool) -> Column:
     """Structs (block, value); with `near` all values up to BLOCK_DISTANCE bits away."""
-    keys = []
-    for block, (low, width) in enumerate(block_layout()):
+    def block_part(block: int, low: int, width: int) -> Column:
         value = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
         flips = [sum(1 << b for b in chosen) for size in range(BLOCK_DISTANCE + 1)
                  for chosen in combinations(range(width), size)] if near else [0]
-        values = F.transform(F.array(*map(F.lit, flips)), lambda flip, v=value: v.bitwiseXOR(flip))
-        keys.append(F.transform(values, lambda v, b=block: F.struct(F.lit(b).alias("block"), v.alias("value"))))
-    return F.concat(*keys)
+        return F.transform(F.array(*map(F.lit, flips)), lambda flip: F.struct(
+            F.lit(block).alias("block"), value.bitwiseXOR(flip).alias("value")))
+
+    return F.concat(*[block_part(block, low, width) for block, (low, width) in enumerate(block_layout())])
 
 
 def weighted_similarity(left: Column, right: Column) -> Column:

@@ -2,8 +2,8 @@ r"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
 
 A paragraph is a line, a section eight consecutive paragraphs. A paragraph's node is the SHA-256 of its text, a
 section's that of its paragraphs' nodes, the root that of the sections' nodes: equal texts have equal roots, and where
-roots differ only differing branches need to be followed to find the edit. Below a paragraph lie its pieces (up to 32
-characters of a sentence), each with a short code of its hash and its length, so that the likeness of two
+roots differ only differing branches need to be followed to find the edit. Below a paragraph lie its pieces (some
+words of a sentence), each with a short code of its hash and its length, so that the likeness of two
 fingerprints can be read from the fingerprints alone: the share of characters in common pieces, of all pieces.
 
 The fingerprint is a string `root:pieces`, sixteen hexadecimal digits per piece, in order. All of it is computed from
@@ -25,7 +25,9 @@ from shotgrove.llm.common import hinted, read, text_or_empty
 from shotgrove.session import materialize
 
 SECTION_PARAGRAPHS = 8
-PIECE_PATTERN = r"[^.!?\n]{1,32}[.!?]*\s*|[.!?]+\s*|\n+"
+# A piece ends after a sentence sign, after white space that follows one of a few letters and digits, or after 48
+# characters, so that an insertion changes the pieces around it only.
+PIECE_PATTERN = r"[^\n]{1,48}?(?:[.!?]+\s*|(?<=[ent037])\s+|\n+|$)|[^\n]{1,48}|\n+"
 
 # Bits of a piece's code that hold its length.
 LENGTH_BITS = 20

@@ -217,10 +217,13 @@ _MAKERS = {"email": _email, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "date":
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """Struct (kind, text); the kind is NULL for a value that fails its validation, the text is then the value."""
+    def named(kind: str):
+        return lambda text: F.struct(F.when(text.isNotNull(), F.lit(kind)).alias("kind"),
+                                     F.coalesce(text, value).alias("text"))
+
     result = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"))
     for kind in reversed(KINDS):
-        found = let(_MAKERS[kind](value, key), lambda text, k=kind: F.struct(
-            F.when(text.isNotNull(), F.lit(k)).alias("kind"), F.coalesce(text, value).alias("text")))
+        found = let(_MAKERS[kind](value, key), named(kind))
         result = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), found).otherwise(result)
     return result
 
