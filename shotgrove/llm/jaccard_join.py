@@ -332,7 +332,8 @@ def linked(documents: DataFrame) -> DataFrame:
     more = materialize(verified(materialize(tile_pairs(own, labels), "candidates"), texts), "tile-links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    known = ids.join(copies, ["n", "h"], "left").withColumn("node", F.coalesce("first", "doc_id"))
+    known = ids.join(copies, ["n", "h"], "left").withColumn(
+        "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
     return known.join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
