@@ -81,8 +81,9 @@ def _width(queries: DataFrame) -> int:
 
 def _search(queries: DataFrame, corpus: DataFrame, k: int, metric: str, columns: list[str],
             max_broadcast_values: int) -> DataFrame:
-    queries = queries.select("query_id", "emb", *columns)
-    corpus = corpus.select("doc_id", "emb", *columns)
+    # A row without a vector is nobody's neighbour and has none.
+    queries = queries.select("query_id", "emb", *columns).where(F.col("emb").isNotNull())
+    corpus = corpus.select("doc_id", "emb", *columns).where(F.col("emb").isNotNull())
     width = max(_width(queries), 1)
     few = topk.small_table(queries, max_broadcast_values // width)
 

@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotgrove.functions import labels as L
+from shotgrove.tasks import TASKS
 
 
-def label_ids(examples: DataFrame, label_list: DataFrame, strict: bool = True) -> DataFrame:
+def label_ids(examples: DataFrame, label_list: DataFrame, strict: bool = True, number: str | None = None) -> DataFrame:
     """Add `label_id`, the position in the label list `(task, label, label_id)`.
 
+    Regression tasks have no list: their `label_id` is NULL, and their label as a number goes to the column
+    `number`, if it is named.
+
     A missing label stays missing. An unknown label fails the job, or is -1 if not strict. The label list
     is configuration with one row per class, hence the broadcast.
     """
     known = F.broadcast(label_list.select("task", "label", F.col("label_id").cast("int").alias("_id")))
     unknown = F.lit(-1) if not strict else F.raise_error(
         F.concat(F.lit("unknown label "), F.col("label"))).cast("int")
-    resolved = F.when(F.col("label").isNull(), F.lit(None).cast("int")).otherwise(F.coalesce("_id", unknown))
+    scored = F.col("task").isin(*(s.name for s in TASKS.values() if s.mode == "regression"))
+    resolved = F.when(F.col("label").isNull() | scored, F.lit(None).cast("int")).otherwise(F.coalesce("_id", unknown))
+    value = [F.when(scored, F.col("label").cast("double")).alias(number)] if number else []
     return examples.join(known, ["task", "label"], "left").select(
-        *examples.columns, resolved.alias("label_id"))
+        *examples.columns, resolved.alias("label_id"), *value)
 
 
 def label_distribution(examples: DataFrame, order_key: str) -> DataFrame:

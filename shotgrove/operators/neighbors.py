@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +16,7 @@ from shotgrove.functions import text as X
 from shotgrove.operators import bm25, knn
 from shotgrove.operators.numbering import row_numbers
 from shotgrove.session import materialize
-from shotgrove.tasks import QUERY_BATCH
+from shotgrove.tasks import QUERY_BATCH, TOP_K
 
 
 def number_queries(sentences: DataFrame) -> DataFrame:
@@ -46,9 +49,10 @@ def neighbor_rows(queries: DataFrame, hits: DataFrame, corpus: DataFrame) -> Dat
 
     Hits are written first: the search is the dear part, and their true size lets the planner broadcast a
     short list instead of shuffling the corpus. In a long one, a document that is everyone's neighbour is
-    skew on one side only, which adaptive execution splits.
+    skew on one side only, which adaptive execution splits. A hit whose document is not in `corpus` keeps its
+    rank, with NULL in the corpus columns.
     """
-    return (materialize(hits, "hits").join(corpus, "doc_id")
+    return (materialize(hits, "hits").join(corpus, "doc_id", "left")
             .join(queries.select("query_id", "guid", "sent_id"), "query_id").drop("query_id"))
 
 
@@ -77,30 +81,52 @@ def parse_hits(raw: DataFrame, column: str = "raw", field: str = "contents") ->
 
 
 class NeighborCache:
-    """Neighbours kept in a table, so that every query is searched once.
+    """Neighbours kept in a table, so that every query is searched once for each setting.
 
-    A new query is one whose id is not in the table yet; its hits are appended.
+    A setting is the method, its options but k, and the caller's version of the corpus. A query is served from the
+    table if it was searched to at least the asked depth; otherwise it is searched again. The row of rank 0 says that
+    a query was searched, so queries without any hit are remembered. A batch that was appended twice counts once.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    SCHEMA = "query_id bigint, rank int, doc_id bigint, score double, setting string, depth int"
+
+    def __init__(self, spark: SparkSession, path: str, version: str = ""):
+        self.spark, self.path, self.version = spark, path, version
 
-    def read(self) -> DataFrame | None:
+    def _setting(self, method: str, options: dict) -> str:
+        parts = pickle.dumps((method, self.version, sorted(options.items())))
+        return f"{method}-{hashlib.md5(parts).hexdigest()}"
+
+    def read(self) -> DataFrame:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
         except AnalysisException:
-            return None
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def _depths(self, setting: str) -> DataFrame:
+        searched = self.read().where((F.col("setting") == setting) & (F.col("rank") == 0))
+        return searched.groupBy("query_id").agg(F.max("depth").alias("_depth"))
 
-    def missing(self, queries: DataFrame) -> DataFrame:
-        kept = self.read()
-        return queries if kept is None else queries.join(kept.select("query_id").distinct(), "query_id", "left_anti")
+    def missing(self, queries: DataFrame, method: str, k: int = TOP_K, **options) -> DataFrame:
+        kept = self._depths(self._setting(method, options)).where(F.col("_depth") >= k)
+        return queries.join(kept, "query_id", "left_anti")
 
-    def fetch(self, queries: DataFrame, corpus: DataFrame, method: str, **options) -> DataFrame:
-        """Hits of `queries`; only those not seen before are searched."""
-        new = self.missing(queries)
+    def fetch(self, queries: DataFrame, corpus: DataFrame, method: str, k: int = TOP_K, **options) -> DataFrame:
+        """Hits of `queries`; only those not searched before to this depth are searched."""
+        setting = self._setting(method, options)
+        new = materialize(self.missing(queries, method, k, **options), "new-queries")
         if not new.isEmpty():
-            retrieve(new, corpus, method, **options).write.mode("append").parquet(self.path)
-        return self.read().join(queries.select("query_id"), "query_id", "left_semi")
+            kept = [F.lit(setting).alias("setting"), F.lit(k).alias("depth")]
+            hits = retrieve(new, corpus, method, k=k, **options).select(
+                "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score", *kept)
+            searched = new.select("query_id").distinct().select(
+                "query_id", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("doc_id"),
+                F.lit(None).cast("double").alias("score"), *kept)
+            hits.unionByName(searched).write.mode("append").parquet(self.path)
+        found = self.read().where((F.col("setting") == setting) & F.col("rank").between(1, k))
+        return (found.join(self._depths(setting), "query_id").where(F.col("depth") == F.col("_depth"))
+                .dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "doc_id", "score")
+                .join(queries.select("query_id"), "query_id", "left_semi"))
 
 
 def fit_encoder(texts: DataFrame, dim: int = 256) -> PipelineModel:

@@ -34,8 +34,13 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: C
                .select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*upto)
     local = ranged.withColumn("_local", F.sum("_amount").over(inside))
-    return local.join(offsets, [*keys, "_range"]).select(
-        *df.columns, (F.col("_local") + F.col("_offset")).alias(out))
+    # Null-safe: rows without a key are a group like any other.
+    named = offsets.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+                           F.col("_range").alias("_of"), "_offset")
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return local.join(named, same).select(*df.columns, (F.col("_local") + F.col("_offset")).alias(out))
 
 
 def row_numbers(df: DataFrame, order: list[Column], out: str, keys: list[str] | None = None,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotgrove.functions.labels import binarize
 from shotgrove.operators.numbering import top_per_group
 from shotgrove.operators.topk import small_table
 from shotgrove.session import materialize
-from shotgrove.tasks import SEEDS, SHOTS
+from shotgrove.tasks import MEDIANS, SEEDS, SHOTS
 
 DEV_RATE = {"k-shot": 2, "k-shot-10x": 11}
 FULL_SET_DEV = 100
@@ -53,12 +54,20 @@ def _cut_keys(rows: DataFrame, seeds: tuple[int, ...], limit: int, cut_from: int
 
 def _ranked(examples: DataFrame, seeds: tuple[int, ...], limit: int, cut_from: int = CUT_FROM_ROWS) -> DataFrame:
     """Keys of the first `limit` examples of each class; texts are left out, and most keys are not sorted."""
-    rows = examples.select("task", "guid", "label")
+    rows = examples.select("task", "guid", sampling_class().alias("label"))
     keys = _cut_keys(rows, seeds, limit, cut_from)
     return top_per_group(seed_grid(rows, seeds) if keys is None else keys, ["task", "seed", "label"],
                          [F.col("shuffle_key"), F.col("guid")], limit, "draw", ["guid"])
 
 
+def sampling_class() -> Column:
+    """The label, or the half of the scores that it lies in for tasks with scores."""
+    result = F.col("label")
+    for task, median in MEDIANS.items():
+        result = F.when(F.col("task") == task, binarize(F.col("label"), median).cast("string")).otherwise(result)
+    return result
+
+
 def draw_splits(examples: DataFrame, k: int = SHOTS, seeds: tuple[int, ...] = SEEDS,
                 mode: str = "k-shot", cut_from: int = CUT_FROM_ROWS) -> DataFrame:
     """(task, seed, split, label, draw, guid): K train examples per class and the next ones for dev.
@@ -74,18 +83,19 @@ def draw_splits(examples: DataFrame, k: int = SHOTS, seeds: tuple[int, ...] = SE
 def draw_full_set(examples: DataFrame, fmt: str = "tsv") -> DataFrame:
     """K = 0: everything trains. Dev repeats the first 100 per class (tsv) or everything (csv)."""
     seeds = (0,)
-    train = seed_grid(examples.select("task", "guid", "label"), seeds).select(
+    train = seed_grid(examples.select("task", "guid", sampling_class().alias("label")), seeds).select(
         "task", "seed", F.lit("train").alias("split"), "label", "guid")
     dev = train if fmt == "csv" else _ranked(examples, seeds, FULL_SET_DEV)
     return train.unionByName(dev.select("task", "seed", F.lit("dev").alias("split"), "label", "guid"))
 
 
 def with_rows(draws: DataFrame, examples: DataFrame) -> DataFrame:
-    """Put the texts back on the drawn keys.
+    """Put the texts and the examples' own labels back on the drawn keys; what they were drawn by is `class`.
 
     The keys are written first, so that the planner knows how few they are and leaves the texts in place.
     """
-    return materialize(draws, "draws").join(examples.select("task", "guid", "text_a", "text_b"), ["task", "guid"])
+    texts = examples.select("task", "guid", "text_a", "text_b", "label")
+    return materialize(draws.withColumnRenamed("label", "class"), "draws").join(texts, ["task", "guid"])
 
 
 def leaked(splits: DataFrame) -> DataFrame:

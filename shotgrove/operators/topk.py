@@ -55,6 +55,7 @@ class RunningBest:
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         if scores.size == 0:
             return
+        scores = np.where(np.isnan(scores), -np.inf, scores)  # a vector with NaN is nobody's neighbour
         last, top = self.scores[rows].min(axis=1), scores.max(axis=1)
         entering = (top > last) & (top >= self.floor[rows])
         level = np.flatnonzero((top == last) & np.isfinite(last))

@@ -54,8 +54,8 @@ def stored_vocab(vocab: DataFrame) -> DataFrame:
 
 def encode_ids(features: DataFrame, vocab: DataFrame, key: str = "guid", tokens: str = "tokens",
                head_rows: int = HEAD_ROWS) -> DataFrame:
-    """(key, ids): token ids in token order; unknown tokens get the id of the unknown token."""
-    rows = features.select(key, F.posexplode_outer(tokens).alias("pos", "token")).where(F.col("pos").isNotNull())
+    """(key, ids): token ids in token order; unknown tokens get the id of the unknown token, no tokens an empty list."""
+    rows = features.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
     unknown = F.lit(SPECIAL_TOKENS.index(UNK)).cast("bigint")
     found = _look_up(rows, vocab, "token", "token_id", head_rows)
     return _in_order(found.withColumn("token_id", F.coalesce("token_id", unknown)), key, F.col("token_id"), "ids")
@@ -64,15 +64,16 @@ def encode_ids(features: DataFrame, vocab: DataFrame, key: str = "guid", tokens:
 def decode_ids(encoded: DataFrame, vocab: DataFrame, key: str = "guid", ids: str = "ids",
                head_rows: int = HEAD_ROWS) -> DataFrame:
     """(key, text): tokens of the ids, joined by a space."""
-    rows = encoded.select(key, F.posexplode(ids).alias("pos", "token_id"))
+    rows = encoded.select(key, F.posexplode_outer(ids).alias("pos", "token_id"))
     found = _look_up(rows, vocab, "token_id", "token", head_rows)
     ordered = _in_order(found, key, F.col("token"), "tokens")
     return ordered.select(key, F.array_join("tokens", " ").alias("text"))
 
 
 def _in_order(rows: DataFrame, key: str, value: Column, out: str) -> DataFrame:
-    """Back to one row per key; a group is the tokens of one input row."""
-    gathered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))).alias("_g"))
+    """Back to one row per key; a group is the tokens of one input row, a row without a position an empty one."""
+    placed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v"))))
+    gathered = rows.groupBy(key).agg(F.array_sort(placed).alias("_g"))
     return gathered.select(key, F.transform("_g", lambda x: x["v"]).alias(out))
 
 

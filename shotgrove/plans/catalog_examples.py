@@ -103,12 +103,12 @@ def scan_named_record(spark, folder):
 
 @query("scan_qa_json", """
     SELECT doc_id || '-0' AS qas_id, source AS title, lang AS question_text, text AS context_text,
-           left(text, 20) AS answer_text, 0 AS answer_start, 0 AS impossible FROM documents
+           text AS answer_text, 0 AS answer_start, 0 AS impossible FROM documents
     UNION ALL
     SELECT doc_id || '-1', source, lang || '?', text, '', -1, 1 FROM documents""")
 def scan_qa_json(spark, folder):
     def question(number, text, impossible):
-        answer = F.array(F.struct(F.left(F.col("text"), F.lit(20)).alias("text"), F.lit(0).alias("answer_start")))
+        answer = F.array(F.struct(F.col("text"), F.lit(0).alias("answer_start")))
         return F.struct(F.concat(F.col("doc_id"), F.lit(f"-{number}")).alias("id"), text.alias("question"),
                         F.lit(impossible).alias("is_impossible"), answer.alias("answers"))
 
@@ -312,10 +312,13 @@ def bounded_to_probs(spark, folder):
 
 
 @query("probs_to_bounded", """
-    SELECT p_partkey, round(exp(ln(CAST(p_size AS DOUBLE) / 50)) * 5, 6) AS score FROM part WHERE p_size > 0""")
+    SELECT p_partkey, CASE WHEN p_size = 0 THEN 0.0 ELSE round(exp(ln(CAST(p_size AS DOUBLE) / 50)) * 5, 6) END AS score
+    FROM part""")
 def probs_to_bounded(spark, folder):
-    logp = F.ln(L.to_probability(F.col("p_size").cast("double") / 10))
-    return table(spark, folder, "part").where(F.col("p_size") > 0).select(
+    probability = L.to_probability(F.col("p_size").cast("double") / 10)
+    # The logarithm of no chance at all; the engine's own is NULL there.
+    logp = F.when(probability == 0, F.lit(float("-inf"))).otherwise(F.ln(probability))
+    return table(spark, folder, "part").select(
         "p_partkey", rounded(L.from_log_probability(logp)).alias("score"))
 
 
