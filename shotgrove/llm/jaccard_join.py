@@ -5,8 +5,8 @@ Two documents link when the distinct five-word shingles of their texts have a Ja
 1. Equal sets are one class; its smallest document stands for it.
 2. Stars: documents that share one of their lowest shingle hashes are compared with the smallest document that shares
    it. This joins groups of near copies without pairs inside the group.
-3. Tiles: a similar pair shares a shingle among the first fifth of its shingles in any common order. Here common
-   shingles come last. Documents of different components that share such a shingle meet in the tile of that shingle
+3. Tiles: a similar pair shares a twentieth of its shingles among the first quarter in any common order. Here common
+   shingles come last, and documents that share fewer with any other are left out. Documents of different components that share such a shingle meet in the tile of that shingle
    and of a size band (sizes within 1.25 of each other; large tiles are cut into blocks that meet two by two). There
    bit counts of hashed bitmaps bound the overlap from above. The lowest shingles have tiles as well: a pair that
    shares some of them is taken from the tile of the lowest one alone. Pairs that can reach 0.8 go to
@@ -51,9 +51,17 @@ BAND = math.log(100 / PERCENT)
 MIN_BITS, MAX_BITS = 64, 1 << 15
 
 
+# One more shingle has to be common in the prefixes for every so many shingles of a set.
+PER_COMMON = 20
+
+
 def prefix_size(n: int) -> int:
-    """A set of n shares one of its first so many shingles with every set that is similar to it."""
-    return n - -(-PERCENT * n // 100) + 1
+    """Of the first so many shingles two similar sets have at least 1 + m // PER_COMMON in common.
+
+    m is the smaller size. The last but l - 1 of the common shingles has at least o - l of them behind it, where o is
+    the overlap, so the first l lie among the first n - o + l; o is at least eight tenths of either size.
+    """
+    return n - -(-PERCENT * n // 100) + 1 + n // PER_COMMON
 
 
 def band_of(n: int) -> int:
@@ -222,8 +230,13 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
         "doc_id", "component", "n", "own", "p.shingle", "p.first")
     several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = materialize(several.where("low < high").select(F.col("shingle").alias("_shingle")), "several")
-    few = hinted(several, 300_000)
-    met = posted.join(few, F.col("shingle") == F.col("_shingle")).drop("_shingle")
+    few = hinted(several, 1_000_000)
+    met = materialize(posted.join(few, F.col("shingle") == F.col("_shingle")).drop("_shingle"), "met")
+    # A document with fewer shared shingles than it has in common with the smallest similar set has no link left.
+    needed = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / PER_COMMON)
+    enough = met.where("first").groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(
+        F.col("shared") >= needed)
+    met = only_ids(met, materialize(enough.select("doc_id"), "enough"))
     guests = F.explode(F.array("own", F.col("own") - 1)).alias("band")
     placed = materialize(met.select("doc_id", "component", "n", "own", "shingle", "first", guests), "placed")
     counts = placed.groupBy("band", "shingle").agg(
