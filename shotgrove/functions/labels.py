@@ -23,13 +23,13 @@ def binarize(score: Column, median: float = MEDIANS["sts-b"]) -> Column:
 RAW_LABEL_POSITION = {"cola": 1, "mrpc": 0}
 
 
-def raw_line_label(task: str, line: Column) -> Column:
-    """Label of a raw line for sampling.
+def raw_line_label(task: str, line: Column, halves: bool = True) -> Column:
+    """Label of a raw line for sampling; a score is replaced by its half, unless `halves` is off.
 
     The line is stripped before it is split, so trailing empty fields vanish; the readers keep them.
     """
     label = X.field(X.split_line(X.strip(line)), RAW_LABEL_POSITION.get(task, -1))
-    return binarize(label).cast("string") if task in MEDIANS else label
+    return binarize(label).cast("string") if halves and task in MEDIANS else label
 
 
 def to_probability(score: Column, bounds: tuple[float, float] = BOUNDS["sts-b"]) -> Column:

@@ -182,6 +182,26 @@ def encode_features(spark, folder):
                            F.col("truncated").cast("int").alias("truncated"), "mask_pos")
 
 
+@query("token_type_gate", with_parts("turns") + f""",
+    n AS (SELECT guid, 2 + len({SQL_TOKENS.format('text_a')}) AS a, 1 + len({SQL_TOKENS.format('text_b')}) AS b
+          FROM turns)
+    SELECT guid, g.gate, CASE WHEN g.gate = 'on' THEN greatest(0, least(a + b, 64) - a) END::INTEGER AS second_tokens,
+           CASE WHEN g.gate = 'on' THEN 64 ELSE 0 END AS n_segment_ids
+    FROM n CROSS JOIN (VALUES ('on'), ('off')) AS g(gate)""")
+def token_type_gate(spark, folder):
+    """Features with the segment column, and for encoders without segments without it."""
+    rows = N.plain_tokens(turn_examples(spark, folder))
+
+    def features(gate):
+        made = N.fix_length(rows, 64, segments=gate == "on", prompt=False)
+        ids = F.col("segment_ids") if "segment_ids" in made.columns else F.lit(None).cast("array<int>")
+        return made.select("guid", F.lit(gate).alias("gate"),
+                           F.aggregate(ids, F.lit(0), lambda n, s: n + s).alias("second_tokens"),
+                           F.coalesce(F.size(ids), F.lit(0)).alias("n_segment_ids"))
+
+    return features("on").unionByName(features("off"))
+
+
 @query("input_text_echo", with_parts("quality", "turns") + """
     SELECT guid, concat_ws(' ', text_a, text_b) AS input_text
     FROM (SELECT * FROM quality UNION ALL SELECT * FROM turns)""")

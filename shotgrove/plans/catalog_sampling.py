@@ -81,12 +81,13 @@ def kshot_rows(spark, folder):
     return S.with_rows(S.draw_splits(examples), examples).select("seed", "split", "label", "guid", "text_a")
 
 
-@query("split_leakage_check", with_parts("quality", "language") + """
-    SELECT mode, COUNT(guid) AS n_leaked FROM (VALUES ('full-set'), ('k-shot')) AS m(mode)
-    LEFT JOIN (SELECT 'full-set' AS kind, guid, row_number() OVER (
-                   PARTITION BY label ORDER BY md5('0:' || task || ':' || guid), guid) AS draw FROM language) r
-      ON r.kind = m.mode AND r.draw <= 100
-    GROUP BY mode""")
+@query("split_leakage_check", with_parts("quality", "language") + ",\n" + _RANKED.format("quality") + """,
+    dev AS (SELECT guid FROM (SELECT guid, row_number() OVER (
+                PARTITION BY label ORDER BY md5('0:' || task || ':' || guid), guid) AS draw FROM language)
+            WHERE draw <= 100)
+    SELECT 'k-shot' AS mode, count(*) AS n_leaked FROM ranked t JOIN ranked d ON t.seed = d.seed AND t.guid = d.guid
+    WHERE t.draw <= 16 AND d.draw > 16 AND d.draw <= 32
+    UNION ALL SELECT 'full-set', count(*) FROM language t JOIN dev d ON t.guid = d.guid""")
 def split_leakage_check(spark, folder):
     shots = S.leaked(S.draw_splits(quality_examples(spark, folder)))
     full = S.leaked(S.draw_full_set(language_examples(spark, folder)))
