@@ -226,12 +226,14 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
     marked = F.concat(
         F.transform("prefix", lambda s: F.struct(s.alias("shingle"), F.lit(True).alias("first"))),
         F.transform(F.array_except("lowest", "prefix"), lambda s: F.struct(s.alias("shingle"), F.lit(False).alias("first"))))
-    posted = labelled.select("doc_id", "component", "n", band.alias("own"), F.explode(marked).alias("p")).select(
-        "doc_id", "component", "n", "own", "p.shingle", "p.first")
+    # Narrow rows, as there is one for every fourth shingle of all documents.
+    posted = labelled.select("doc_id", "component", F.explode(marked).alias("p")).select(
+        "doc_id", "component", "p.shingle", "p.first")
     several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = materialize(several.where("low < high").select(F.col("shingle").alias("_shingle")), "several")
-    few = hinted(several, 1_000_000)
-    met = materialize(posted.join(few, F.col("shingle") == F.col("_shingle")).drop("_shingle"), "met")
+    few = hinted(several, 50_000)
+    met = materialize(posted.drop("component").join(few, F.col("shingle") == F.col("_shingle")).drop("_shingle"), "met")
+    met = met.join(labelled.select("doc_id", "component", "n", band.alias("own")), "doc_id")
     # A document with fewer shared shingles than it has in common with the smallest similar set has no link left.
     needed = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / PER_COMMON)
     enough = met.where("first").groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(
