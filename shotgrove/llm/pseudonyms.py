@@ -39,7 +39,8 @@ KINDS = tuple(PATTERNS)
 _UNION = "|".join(PATTERNS[k] for k in KINDS if k != "date") + "|" + (
     r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}[/-][0-9]{2}[/-][0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|"
     r"[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\p{L}\p{N}/-])")
-_MAYBE = r"[0-9]{2}|@"
+# Every pattern implies one of these.
+_MAYBE = r"[0-9][ .-]?[0-9]|@|AKIA[0-9A-Z]{16}|[0-9a-fA-F]{32}"
 
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 # Days from 1900-01-01 to 2099-12-31 are 17 x 4297.
