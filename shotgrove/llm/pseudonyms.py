@@ -9,6 +9,10 @@ Kinds: payment cards (13 to 19 digits, Luhn), IPv4 addresses, phone numbers, soc
 to 2099 (year first, or day and month first), e-mail addresses (the local part), access tokens (32 or more hexadecimal
 digits, or AKIA keys). What fails its validation is left alone.
 
+Cards are looked for last, in what stands between the other values: a run of digit groups, one blank or hyphen apart,
+is cut at group boundaries into the stretches that pass Luhn, usual layouts first, so years and numbers beside a card
+neither hide it nor become part of it.
+
 Defined results: NULL stays NULL, texts without values stay as they are. Values next to each other, at either end or
 repeated are all replaced. Long texts are processed whole. Further columns are kept.
 """
@@ -28,17 +32,26 @@ PATTERNS = {
     "ipv4": r"(?<![\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{N}])",
     "phone": (r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
               r"(?![\p{L}\p{N}])"),
-    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "date": (r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}[/-][0-9]{2}[/-][0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1[0-9]{4})"
-             r"(?![\p{L}\p{N}/-])"),
+    # Shapes that fail their validation would cut a card in two, so hyphens only join what can be valid.
+    "ssn": (r"(?<![\p{L}\p{N}-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\p{L}\p{N}-])"),
+    "date": (r"(?<![\p{L}\p{N}./-])(?:(?:19|20)[0-9]{2}(?:-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|"
+             r"/[0-9]{2}/[0-9]{2})(?=[Tt][0-9]{2}|(?![\p{L}\p{N}/-]))|"
+             r"(?:[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|"
+             r"(?:0[1-9]|[12][0-9]|3[01])-(?:0[1-9]|1[0-2])-(?:19|20)[0-9]{2})(?![\p{L}\p{N}/-]))"),
     "card": r"(?<![\p{L}\p{N}-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}-])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
 }
 KINDS = tuple(PATTERNS)
-# The date's group number depends on its place in the union, so its separator is spelled out there.
-_UNION = "|".join(PATTERNS[k] for k in KINDS if k != "date") + "|" + (
-    r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}[/-][0-9]{2}[/-][0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|"
-    r"[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\p{L}\p{N}/-])")
+_UNION = "|".join(PATTERNS[k] for k in KINDS if k != "card")
+# Digit groups one blank or hyphen apart, however many, and what follows where it forbids an end there. Possessive, so
+# that the matcher neither goes back nor goes deep.
+_GROUPS = r"(?<![\p{L}\p{N}-])[0-9]++(?:[ -][0-9]++)*+[\p{L}\p{N}-]?+"
+_MAYBE_CARD = r"[0-9](?:[ -]?[0-9]){12}"
+# Usual layouts with one kind of separator, from a major issuer; the others are only cards where no such one is.
+_LAYOUT = r"[0-9]{13,19}|" + "|".join(
+    "[0-9]{4}S[0-9]{4}S[0-9]{4}S[0-9]{4}|[0-9]{4}S[0-9]{6}S[0-9]{4,5}".replace("S", sign) for sign in " -")
+_USUAL = rf"^(?=[3-6]|2[2-7])(?:{_LAYOUT})$"
+CARD_DIGITS = (13, 19)
 # Every pattern implies one of these.
 _MAYBE = r"[0-9][ .-]?[0-9]|@|AKIA[0-9A-Z]{16}|[0-9a-fA-F]{32}"
 
@@ -144,6 +157,71 @@ def _card(value: Column, key: str) -> Column:
     return let(digits_of(value), changed)
 
 
+def _card_stretches(tokens: Column, tail: Column) -> Column:
+    """Structs (first, last, text) of the cards among digit groups; every group but the last has its separator."""
+    m = F.size(tokens)
+
+    def text(i: Column, j: Column) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(tokens, i, j - i + 1), ""), "[ -]$", "")
+
+    def ends(i: Column) -> Column:
+        return F.transform(F.sequence(i, F.least(m, i + CARD_DIGITS[1] - 1)), lambda j: F.struct(
+            i.alias("first"), j.alias("last"), text(i, j).alias("text")))
+
+    def may_end(c: Column) -> Column:
+        after = F.get(tokens, c["last"] - 1)
+        return F.when(c["last"] < m, after.endswith(" ")).otherwise((tail == "") & ~after.endswith("-"))
+
+    starts = F.filter(F.sequence(F.lit(1), m), lambda i: (i == 1) | F.get(tokens, i - 2).endswith(" "))
+    valid = F.filter(F.flatten(F.transform(starts, ends)), lambda c: may_end(c) & let(
+        digits_of(c["text"]), lambda d: F.length(d).between(*CARD_DIGITS) & (_luhn_sum(d, 1) % 10 == 0)))
+
+    def chosen(usual: Column, others: Column) -> Column:
+        free = F.filter(others, lambda c: ~F.exists(
+            usual, lambda u: (u["first"] <= c["last"]) & (u["last"] >= c["first"])))
+        # Of those that begin together the longest comes first; one that overlaps the taken ones is left out.
+        ordered = F.array_sort(F.concat(usual, free), lambda x, y: F.when(
+            x["first"] == y["first"], y["last"] - x["last"]).otherwise(x["first"] - y["first"]))
+        return F.aggregate(ordered, F.filter(ordered, lambda c: F.lit(False)), lambda taken, c: F.when(
+            F.coalesce(F.get(taken, F.size(taken) - 1)["last"], F.lit(0)) < c["first"],
+            F.concat(taken, F.array(c))).otherwise(taken))
+
+    return let(valid, lambda v: let(F.filter(v, lambda c: c["text"].rlike(_USUAL)), lambda usual: let(
+        F.filter(v, lambda c: ~c["text"].rlike(_USUAL)), lambda others: chosen(usual, others))))
+
+
+def _without_cards(run: Column, key: str) -> Column:
+    """Struct (text, n) of a run of digit groups: its cards replaced, and how many there were."""
+    def written(tokens: Column, tail: Column) -> Column:
+        def put(state: Column, c: Column) -> Column:
+            between = F.array_join(F.slice(tokens, state["next"], c["first"] - state["next"]), "")
+            sign = F.regexp_extract(F.get(tokens, c["last"] - 1), "[ -]$", 0)
+            return F.struct(F.concat(state["text"], between, _card(c["text"], key), sign).alias("text"),
+                            (c["last"] + 1).alias("next"), (state["n"] + 1).alias("n"))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"), F.lit(0).alias("n"))
+        return F.aggregate(_card_stretches(tokens, tail), start, put, lambda end: F.struct(
+            F.concat(end["text"], F.array_join(F.slice(tokens, end["next"], F.size(tokens)), ""), tail).alias("text"),
+            end["n"].alias("n")))
+
+    found = let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), lambda tokens: let(
+        F.substring(run, F.length(F.array_join(tokens, "")) + 1, F.length(run)), lambda tail: written(tokens, tail)))
+    # A hyphen at the end belongs to the last token, and forbids an end there.
+    return F.when(run.rlike(_MAYBE_CARD), found).otherwise(F.struct(run.alias("text"), F.lit(0).alias("n")))
+
+
+def cards_replaced(text: Column, key: str = KEY) -> Column:
+    """Struct (text, n): `text`, which holds no values of other kinds, with its cards replaced, and their number."""
+    def spliced(new: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(text, _GROUPS, -1), new, lambda b, n: F.concat(
+            b, F.coalesce(n["text"], F.lit("")))), "")
+        return F.struct(joined.alias("text"), F.aggregate(new, F.lit(0), lambda s, n: s + n["n"]).alias("n"))
+
+    runs = F.transform(F.regexp_extract_all(text, F.lit(_GROUPS), F.lit(0)), lambda run: _without_cards(run, key))
+    return F.when(text.rlike(_MAYBE_CARD), let(runs, spliced)).otherwise(
+        F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+
 def _ipv4(value: Column, key: str) -> Column:
     def changed(octets: Column) -> Column:
         new = _number_feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], (65536, 65536), "ipv4", key,
@@ -232,20 +310,23 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 def pseudonymize(df: DataFrame, key: str = KEY, text: str = "text", out: str = "_private") -> DataFrame:
     """Replace the values in `text`; add `out`, the list of the kinds that were replaced.
 
-    Only texts with something found are cut into values and what stands between them.
+    Only texts that may hold something are cut into values and what stands between them.
     """
     whole = F.col(text)
-    found = F.when(whole.rlike(_MAYBE), F.regexp_extract_all(whole, F.lit(_UNION), F.lit(0)))
-    df = df.withColumn("_values", found)
-    df = df.withColumn("_values", F.when(F.size("_values") > 0, F.col("_values")))
-    df = df.withColumn("_new", F.transform("_values", lambda v: pseudonym(v, key)))
-    between = F.split(whole, _UNION, -1)
-    spliced = F.array_join(F.zip_with(between, F.transform("_new", lambda n: n["text"]),
-                                      lambda b, n: F.concat(b, F.coalesce(n, F.lit("")))), "")
-    kinds = F.filter(F.transform("_new", lambda n: n["kind"]), lambda k: k.isNotNull())
-    return (df.withColumns({text: F.when(F.col("_new").isNull(), whole).otherwise(spliced),
-                            out: F.coalesce(kinds, F.array().cast("array<string>"))})
-            .drop("_values", "_new"))
+    maybe = whole.rlike(_MAYBE)
+    values = F.transform(F.regexp_extract_all(whole, F.lit(_UNION), F.lit(0)), lambda v: pseudonym(v, key))
+    df = df.withColumn("_new", F.when(maybe, values))
+    df = df.withColumn("_between", F.when(maybe, F.transform(
+        F.split(whole, _UNION, -1), lambda piece: cards_replaced(piece, key))))
+    spliced = F.array_join(F.zip_with("_between", "_new", lambda b, n: F.concat(
+        b["text"], F.coalesce(n["text"], F.lit("")))), "")
+    # In the order of the text: the cards of a piece come before the value behind it.
+    kinds = F.flatten(F.zip_with("_between", "_new", lambda b, n: F.concat(
+        F.array_repeat(F.lit("card"), b["n"]), F.when(n["kind"].isNotNull(), F.array(n["kind"])).otherwise(
+            F.array().cast("array<string>")))))
+    df = df.withColumn(out, F.coalesce(kinds, F.array().cast("array<string>")))
+    return (df.withColumn(text, F.when(F.size(out) > 0, spliced).otherwise(whole))
+            .drop("_between", "_new"))
 
 
 def op2_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
