@@ -7,12 +7,13 @@ missed. Candidates within the radius are verified by the weighted similarity of
 it occurs): the sum of the lesser over the sum of the greater counts.
 
 Windows are only fingerprinted where they can match: a window that is similar by 0.8 holds at least eight tenths of the
-item's shingles, so (document, item) pairs with fewer common shingles are left out without loss, and windows begin
-where a common shingle puts the beginning of the item. Items are queries against all documents; their shingles are
+item's shingles, so (document, item) pairs with fewer common shingles are left out without loss. Windows begin where a
+common shingle puts the beginning of the item, and at the common shingles themselves: a window can slide right to its
+first common shingle without losing any, so no other window is more similar than all of these. Items are queries against all documents; their shingles are
 broadcast while they are few, and joined by shuffle otherwise. All of it is column expressions.
 
 Defined results: NULL and empty texts, and items without words, match nothing. A text of fewer than five words has one
-shingle. A window is cut off at the document's end. Equal windows: the first one counts. Equal items each get their
+shingle. A window is cut off at the document's end. Equal windows: the first of these counts. Equal items each get their
 rows. Rows that repeat a document's id are looked at as one document's texts. Other columns are not read.
 """
 
@@ -106,14 +107,21 @@ def windows(documents: DataFrame, items: DataFrame, similarity: float = SIMILARI
     seeds = materialize(items.select("size", "item_id", F.posexplode("item_list").alias("item_at", "hash")), "seeds")
     # The outer kind, as the plain one works the list out twice to check its size.
     places = documents.select("doc_id", "digest", F.posexplode_outer(shingles(F.col("text"))).alias("at", "hash"))
-    common = places.join(hinted(seeds), "hash").select(
-        "doc_id", "digest", "item_id", "size", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"))
+    anchor = F.greatest(F.col("at") - F.col("item_at"), F.lit(0))
+    common = places.join(hinted(seeds), "hash").select("doc_id", "digest", "item_id", "size", F.explode(F.array(
+        F.struct(anchor.alias("start"), F.lit(1).alias("n"), F.lit(False).alias("held")),
+        F.struct(F.col("at").alias("start"), F.lit(0).alias("n"), F.lit(True).alias("held")))).alias("b"))
     # First per beginning, so that what is gathered is one list of beginnings.
-    counted = common.groupBy("doc_id", "digest", "item_id", "size", "start").agg(F.count("*").alias("n"))
+    counted = common.groupBy("doc_id", "digest", "item_id", "size", F.col("b.start").alias("start")).agg(
+        F.sum("b.n").alias("n"), F.max("b.held").alias("held"))
     enough = (counted.groupBy("doc_id", "digest", "item_id", "size")
-              .agg(F.sum("n").alias("n"), F.collect_list("start").alias("starts"))
+              .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > 0, F.col("start"))).alias("anchors"),
+                   F.sort_array(F.collect_list(F.when(F.col("held"), F.col("start")))).alias("held"))
               .where(F.col("n") >= similarity * F.col("size")))
-    return enough.select("doc_id", "digest", "size", F.explode("starts").alias("start")).distinct()
+    # A window from a common shingle on must hold enough of them: the last one needed lies within it.
+    need = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
+    full = F.filter("held", lambda at, k: F.get(F.col("held"), k + need - 1) < at + F.col("size"))
+    return enough.select("doc_id", "digest", "size", F.explode(F.array_union("anchors", full)).alias("start")).distinct()
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

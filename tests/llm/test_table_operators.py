@@ -118,6 +118,34 @@ def test_decontamination(spark, docs, tmp_path):
     assert decontaminate.contaminated(frame.limit(0), spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0
 
 
+def best_of_all_windows(text, item):
+    """The greatest similarity over every start."""
+    have, want = shingles(text), collections.Counter(shingles(item))
+    size, best = sum(want.values()), 0
+    for start in range(len(have)):
+        window = collections.Counter(have[start:start + size])
+        shared = sum((window & want).values())
+        best = max(best, shared / (sum(window.values()) + size - shared))
+    return round(best, 6)
+
+
+def test_windows_of_copies_edited_at_both_ends(spark):
+    """The best window begins at none of the places where a common shingle puts the item's beginning."""
+    rng = random.Random(8)
+    items, texts = [], []
+    for i, (n, inserted) in enumerate([(59, 2), (59, 1), (80, 3), (100, 6), (100, 4), (120, 5)]):
+        item = [f"i{i}q{rng.randrange(10 ** 6)}" for _ in range(n)]
+        copy = ["first", *item[1:n // 2], *(f"new{i}x{k}" for k in range(inserted)), *item[n // 2:-1], "last"]
+        noise = [[f"z{rng.randrange(10 ** 6)}" for _ in range(40)] for _ in range(2)]
+        items.append((i, " ".join(item)))
+        texts.append((i, " ".join([*noise[0], *copy, *noise[1]])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(
+        spark.createDataFrame(texts, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()}
+    best = {(i, i): best_of_all_windows(text, item) for (i, text), (_, item) in zip(texts, items)}
+    assert got == {pair: s for pair, s in best.items() if s >= 0.8} and (0, 0) in got
+
+
 def test_multi_index_finds_all_within_the_radius(spark):
     rng = random.Random(2)
     base = rng.getrandbits(64)
