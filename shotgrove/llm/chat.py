@@ -3,10 +3,13 @@
 A template is any function from a list of turns to a string. The turns are rendered one prefix after the other; what
 the next output adds to the one before is the span of the new turn. A probe text in its place shows where the turn's
 text lies in that span. A template whose output does not begin with the output before has rewritten history: such
-conversations are marked, and their spans stay open.
+conversations are marked, and the spans of the new turn and of all text that was rewritten stay open.
 
-Long conversations are rendered in segments of at most `SEGMENT` turns (the template is told which is the first), so
-time and memory per turn are bounded; Spark hands the turns over in order and a conversation is never held whole.
+A template sees the whole prefix at every turn, so a conversation is one segment, held whole, and its rendering grows
+with the square of its turns. Only templates declared `turnwise`, which write every turn by itself, are rendered in
+segments of at most `SEGMENT` turns (the template is told which is the first): joined, these are the template's output
+of the whole. Time and memory per turn are then bounded, and a conversation is never held whole. Spark hands the turns
+over in order.
 
 Defined results: NULL texts and roles are empty. Turns with equal numbers are ordered by role and text, NULL numbers
 come first, repeated rows are turns of their own. Texts may hold anything, template signs included. An empty table
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +44,13 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*) </turn>\n", re.DOTALL)
 
 
+def turnwise(template: Template) -> Template:
+    """Declare that the output is the joined outputs of the turns, each of which depends on its turn alone."""
+    template.turnwise = True
+    return template
+
+
+@turnwise
 def marked_template(turns: list[Turn], first: bool) -> str:
     """`### role: text </turn>` lines; backslash, `#` and `<` in texts get a backslash before them."""
     return "".join(f"### {_ROLE_CONTROL.sub(r'\\\g<0>', role)}: {_CONTROL.sub(r'\\\g<0>', text)} </turn>\n"
@@ -63,14 +74,19 @@ def unescape(text: str) -> str:
 
 
 class Segment:
-    """Successive prefixes of some turns, rendered one by one."""
+    """Successive prefixes of some turns, rendered one by one; of all turns unless the template is turnwise."""
 
-    def __init__(self, template: Template, first: bool) -> None:
+    def __init__(self, template: Template, first: bool, segment: int) -> None:
         self.template, self.first = template, first
+        self.limit = segment if getattr(template, "turnwise", False) else None
         self.turns: list[Turn] = []
         self.output = ""
         self.spans: list[tuple[int, int] | None] = []
 
+    @property
+    def full(self) -> bool:
+        return len(self.turns) == self.limit
+
     def add(self, role: str, text: str) -> None:
         self.turns.append((role, text))
         after = self.template(self.turns, self.first)
@@ -79,18 +95,21 @@ class Segment:
         tail = len(probe) - begin - len(PROBE)
         good = (begin >= len(self.output) and after.startswith(self.output) and probe[:begin] == after[:begin]
                 and probe[begin + len(PROBE):] == after[len(after) - tail:])
+        if not after.startswith(self.output):
+            kept = len(commonprefix([after, self.output]))
+            self.spans = [s if s is not None and s[1] <= kept else None for s in self.spans]
         self.spans.append((begin, len(after) - tail) if good else None)
         self.output = after
 
 
 def format_turns(turns: Iterator[Turn], template: Template = marked_template, segment: int = SEGMENT
                  ) -> Iterator[tuple[str, list[tuple[int, int] | None], list[Turn]]]:
-    """For each segment its output, the span of every turn's text in it, and the turns."""
-    current = Segment(template, True)
+    """For each segment (one, unless the template is turnwise) its output, the span of every turn's text in it, and the turns."""
+    current = Segment(template, True, segment)
     for role, text in turns:
-        if len(current.turns) == segment:
+        if current.full:
             yield current.output, current.spans, current.turns
-            current = Segment(template, False)
+            current = Segment(template, False, segment)
         current.add(role, text)
     if current.turns:
         yield current.output, current.spans, current.turns
@@ -145,10 +164,10 @@ def _conversations(batches: Iterator[pa.RecordBatch], template: Template, segmen
             yield conv_id, True, number, current.output, current.spans, current.turns
             current = None
         if not begun or current is None:
-            current, number, conv_id, begun = Segment(template, True), 0, conv, True
-        elif len(current.turns) == segment:
+            current, number, conv_id, begun = Segment(template, True, segment), 0, conv, True
+        elif current.full:
             yield conv_id, False, number, current.output, current.spans, current.turns
-            current, number = Segment(template, False), number + 1
+            current, number = Segment(template, False, segment), number + 1
         current.add(role or "", text or "")
     if begun:
         yield conv_id, True, number, current.output, current.spans, current.turns

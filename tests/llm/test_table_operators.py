@@ -277,6 +277,35 @@ def test_templates_that_rewrite_history():
     assert [text[a:b] for a, b in spans] == ["a", "b", "c"] and chat.parse_marked(text) == turns
 
 
+def last_answer_only(turns, first):
+    last = max((i for i, (r, _) in enumerate(turns) if r == "assistant"), default=-1)
+    return "".join(f"[{i}/{r}]{t if r == 'user' or i == last else ''}\n" for i, (r, t) in enumerate(turns))
+
+
+def counted_users(turns, first):
+    """Rewrites nothing, but every turn is written after how many came before."""
+    return "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
+
+
+def test_long_conversations_see_the_whole_prefix(spark):
+    turns = [(("user", "assistant")[i % 2], f"text {i}") for i in range(60)]
+    for template in (last_answer_only, counted_users):
+        ((output, spans, seen),) = chat.format_turns(iter(turns), template)
+        assert output == template(turns, True) and seen == turns
+        for (begin, end), (_, text) in ((s, t) for s, t in zip(spans, turns) if s is not None):
+            assert output[begin:end] == text
+        # Answers but the first rewrite the one before, at every place; users' spans behind it are open.
+        assert (None in spans) == (template is last_answer_only)
+    frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)],
+                                  "conv_id long, turn long, role string, text string")
+    for template in (last_answer_only, counted_users, chat.marked_template):
+        parts = sorted(chat.format_conversations(frame, template).collect(), key=lambda p: p.segment)
+        assert "".join(p.formatted for p in parts) == template(turns, True)
+        assert len(parts) == (3 if template is chat.marked_template else 1)
+    swapped = chat.format_turns(iter(turns[:24] + [("assistant", "late")]), last_answer_only)
+    assert [s for _, s, _ in swapped][0][23:] == [None, None]
+
+
 @pytest.mark.parametrize("head", [500_000, 4])
 def test_language_model(spark, docs, head):
     rng = random.Random(4)
