@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F  # noqa: F401
+
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
