@@ -1,7 +1,7 @@
 """Token ids of whole texts, word by word.
 
-For a tokenizer whose tokens hold no white space, white space is a forced boundary: texts are cut there, and each
-distinct word is encoded once per worker.
+For a tokenizer whose tokens hold no white space, white space is a forced boundary: texts are cut there, and between
+plain letters and ASCII signs where no token holds such a pair. Each distinct fragment is encoded once per worker.
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 
 from shotgrove.llm.bpe import WHITE_SPACE, codec
+from shotgrove.llm.byte_merges import MAX_BYTES, Merges, plain_bytes
 from shotgrove.llm.byte_runs import LOWER, distinct, edges, joined, slices
 
-# Distinct words that a worker remembers, some 200 bytes each. A full memory is emptied.
-REMEMBERED = 400_000
+# Distinct fragments that a worker remembers, some 200 bytes each. A full memory is emptied.
+REMEMBERED = 500_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[ord(c) for c in WHITE_SPACE]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[:0x80] = True
+_SIGN[[ord("'"), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
 
 
 class WordIds:
@@ -27,11 +31,23 @@ class WordIds:
         if not own.drops_space:
             raise ValueError(f"{path}: tokens with white space")
         self.tokenizer = own.tokenizer
+        self.merges = Merges(path) if own.cuts_signs else None
         # A-Z may be lower-cased first where the tokenizer does so itself.
         self.lowers = self._encoded(["ABC xYZ"]) == self._encoded(["abc xyz"])
         self.remembered = remembered
         self._forget()
 
+    def _parted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of plain letters and ASCII signs cut where one kind follows the other; not those with an apostrophe."""
+        if self.merges is None or not len(starts):
+            return starts, ends
+        letters = plain_bytes(data)
+        simple = np.logical_and.reduceat(letters | _SIGN[data] | _SPACE[data], starts)
+        changes = np.flatnonzero(letters[1:] != letters[:-1]) + 1
+        changes = changes[~_SPACE[data[changes]] & ~_SPACE[data[changes - 1]]]
+        changes = changes[simple[np.searchsorted(starts, changes, side="right") - 1]]
+        return np.sort(np.concatenate([starts, changes])), np.sort(np.concatenate([ends, changes]))
+
     @staticmethod
     @functools.lru_cache(maxsize=2)
     def of(path: str) -> WordIds:
@@ -49,19 +65,31 @@ class WordIds:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        for first in range(0, len(words), 10_000):
-            part = words[first:first + 10_000]
+        """Remember the ids of words not met before: plain ones by merges, others by the library."""
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum(sizes) - sizes
+        plain = np.zeros(len(words), dtype=bool)
+        if self.merges is not None and len(words):
+            plain = (np.add.reduceat(plain_bytes(data), starts, dtype=np.int64) == sizes) & (sizes <= MAX_BYTES)
+        self._keep([w for w, p in zip(words, plain) if p],
+                   *(self.merges.apply(data, starts[plain], sizes[plain]) if plain.any() else ((), ())))
+        others = [w for w, p in zip(words, plain) if not p]
+        for first in range(0, len(others), 10_000):
+            part = others[first:first + 10_000]
             lists = self._encoded([w.decode() for w in part])
-            at = len(self.known)
-            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            total = int(sizes.sum())
-            self.starts, self.sizes = (_room(a, at + len(part)) for a in (self.starts, self.sizes))
-            self.pool = _room(self.pool, self.used + total)
-            self.sizes[at:at + len(part)] = sizes
-            self.starts[at:at + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.pool[self.used:self.used + total] = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=total)
-            self.used += total
-            self.known.update(zip(part, range(at, at + len(part))))
+            self._keep(part, [i for ids in lists for i in ids], list(map(len, lists)))
+
+    def _keep(self, words: list[bytes], ids, counts) -> None:
+        at, total = len(self.known), len(ids)
+        counts = np.asarray(counts, dtype=np.int64)
+        self.starts, self.sizes = (_room(a, at + len(words)) for a in (self.starts, self.sizes))
+        self.pool = _room(self.pool, self.used + total)
+        self.sizes[at:at + len(words)] = counts
+        self.starts[at:at + len(words)] = self.used + np.cumsum(counts) - counts
+        self.pool[self.used:self.used + total] = ids
+        self.used += total
+        self.known.update(zip(words, range(at, at + len(words))))
 
     def _places(self, words: list[bytes]) -> np.ndarray:
         """Where the distinct words are among the remembered ones."""
@@ -81,7 +109,10 @@ class WordIds:
             starts, ends = edges(inside)
             # A special token's string must not come into being by lower-casing.
             plain = self.lowers and not any(b"<|" in p for p in parts)
-            values, codes = distinct(LOWER[data] if plain else data, inside, ends - starts)
+            if plain:
+                data = LOWER[data]
+                starts, ends = self._parted(data, starts, ends)
+            values, codes = distinct(data, inside, ends - starts)
             place = self._places(values.to_pylist())[codes]
             sizes = self.sizes[place]
             upto = np.cumsum(sizes)

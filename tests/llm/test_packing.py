@@ -136,3 +136,20 @@ def test_long_texts_in_slices(library, monkeypatch):
     texts = ["a short one", "word and more words, " * 30, "x" * 300 + " end", "", "last"]
     found = dict(WordIds(default_path()).encode([t.encode() for t in texts]))
     assert {i: v.tolist() for i, v in found.items()} == {i: library(t)[:-1] for i, t in enumerate(texts)}
+
+
+def test_merges_like_the_library(library):
+    """Random plain words, of frequent and of rare pairs, up to the longest that merges take."""
+    from shotgrove.llm.byte_merges import MAX_BYTES, Merges, plain_bytes
+
+    rng = np.random.default_rng(7)
+    words = set()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoinshr", "aäeéoöuüßñçþÿ", "al"):
+        words |= {"".join(rng.choice(list(letters), int(rng.integers(1, 16)))) for _ in range(2000)}
+    words = sorted(w for w in words if len(w.encode()) <= MAX_BYTES)
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    assert plain_bytes(data).all()
+    sizes = np.array([len(w.encode()) for w in words])
+    ids, counts = Merges(default_path()).apply(data, np.cumsum(sizes) - sizes, sizes)
+    found = np.split(ids, np.cumsum(counts)[:-1])
+    assert [f.tolist() for f in found] == [library(w)[:-1] for w in words]
