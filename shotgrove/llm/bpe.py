@@ -36,7 +36,8 @@ REMEMBERED = 250_000
 # Characters whose fragments are looked up at once.
 GROUP_CHARS = 1_000_000
 
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# Without U+0130, whose lower case is a letter and a sign.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 SIGNS = "\x00-\x08\x0e-\x1f!-&(-@\\[-`{-\x7f"
 
 
