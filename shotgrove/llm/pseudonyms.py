@@ -1,12 +1,13 @@
 r"""Format-preserving pseudonyms for personal data in texts, by keyed Feistel networks.
 
 Found and validated values are permuted within their format: a card number becomes a card number with a right check
-digit, a date a date, an address of four octets another one, letters stay letters and digits digits. The permutation
+digit, a social security number a valid one, a date a date, an address of four octets another one, letters stay
+letters and digits digits. The permutation
 depends on the key and the kind alone, so equal values stay linked across documents while nothing is stored, and no
 two values of a kind share a pseudonym. Everything is column expressions.
 
 Kinds: payment cards (13 to 19 digits, Luhn), IPv4 addresses, phone numbers, social security numbers, dates from 1900
-to 2099 (year first, or day and month first), e-mail addresses (the local part), access tokens (32 or more hexadecimal
+to 2099 (year first, or day and month first), e-mail addresses (the local part; a hash stands for one beyond ASCII), access tokens (32 or more hexadecimal
 digits, or AKIA keys). What fails its validation is left alone.
 
 Cards are looked for last, in what stands between the other values: a run of digit groups, one blank or hyphen apart,
@@ -22,8 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrove.llm.common import let, read
+from shotgrove.llm.common import free_name, let, read
 
+# For trials only; see configured_key().
 KEY = "corpus-pseudonyms"
 ROUNDS = 8
 
@@ -245,8 +247,24 @@ def _phone(value: Column, key: str) -> Column:
 
 
 def _ssn(value: Column, key: str) -> Column:
+    """Permuted among the valid numbers: area and group on one side, serial number on the other."""
+    areas, groups, serials = 898, 99, 9999  # 001 to 899 without 666
+
+    def written(new: Column) -> Column:
+        index = F.floor(new["a"] / groups)
+        area = index + F.when(index >= 665, 2).otherwise(1)
+        return F.concat(*[F.lpad(part.cast("string"), width, "0") for part, width in (
+            (area, 3), (F.pmod(new["a"], F.lit(groups)) + 1, 2), (new["b"] + 1, 4))])
+
+    def changed(digits: Column) -> Column:
+        area = F.substring(digits, 1, 3).cast("int")
+        index = area - F.when(area > 666, 2).otherwise(1)
+        new = _number_feistel(index * groups + F.substring(digits, 4, 2).cast("int") - 1,
+                              F.substring(digits, 6, 4).cast("int") - 1, (areas * groups, serials), "ssn", key, ROUNDS)
+        return let(let(new, written), lambda d: refilled(value, d))
+
     valid = ~value.rlike("^(?:000|666|9..)|^...-00|0000$")
-    return F.when(valid, let(permuted(digits_of(value), "ssn", key, _ALPHABETS[:1]), lambda d: refilled(value, d)))
+    return F.when(valid, let(digits_of(value), changed))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -277,9 +295,11 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _email(value: Column, key: str) -> Column:
-    """The domain stays, and so do characters that are no ASCII letter or digit."""
+    """The domain stays, and so do signs in the local part. One with other letters than ASCII becomes a keyed hash."""
     at = F.instr(value, "@")
-    return F.concat(permuted(F.substring(value, F.lit(1), at - 1), "email", key),
+    local = F.substring(value, F.lit(1), at - 1)
+    hashed = F.substring(F.sha2(F.concat(F.lit(f"{key}:email:"), local), 256), 1, 20)
+    return F.concat(F.when(local.rlike("[^\\x00-\\x7f]"), hashed).otherwise(permuted(local, "email", key)),
                     F.substring(value, at, F.length(value)))
 
 
@@ -315,31 +335,38 @@ def pseudonymize(df: DataFrame, key: str = KEY, text: str = "text", out: str = "
     whole = F.col(text)
     maybe = whole.rlike(_MAYBE)
     values = F.transform(F.regexp_extract_all(whole, F.lit(_UNION), F.lit(0)), lambda v: pseudonym(v, key))
-    df = df.withColumn("_new", F.when(maybe, values))
-    df = df.withColumn("_between", F.when(maybe, F.transform(
+    new, between = free_name(df, "_new"), free_name(df, "_between")
+    df = df.withColumn(new, F.when(maybe, values))
+    df = df.withColumn(between, F.when(maybe, F.transform(
         F.split(whole, _UNION, -1), lambda piece: cards_replaced(piece, key))))
-    spliced = F.array_join(F.zip_with("_between", "_new", lambda b, n: F.concat(
+    spliced = F.array_join(F.zip_with(between, new, lambda b, n: F.concat(
         b["text"], F.coalesce(n["text"], F.lit("")))), "")
     # In the order of the text: the cards of a piece come before the value behind it.
-    kinds = F.flatten(F.zip_with("_between", "_new", lambda b, n: F.concat(
+    kinds = F.flatten(F.zip_with(between, new, lambda b, n: F.concat(
         F.array_repeat(F.lit("card"), b["n"]), F.when(n["kind"].isNotNull(), F.array(n["kind"])).otherwise(
             F.array().cast("array<string>")))))
     df = df.withColumn(out, F.coalesce(kinds, F.array().cast("array<string>")))
-    return (df.withColumn(text, F.when(F.size(out) > 0, spliced).otherwise(whole))
-            .drop("_between", "_new"))
+    return df.withColumn(text, F.when(F.size(out) > 0, spliced).otherwise(whole)).drop(new, between)
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The key of `spark.shotgrove.pseudonyms.key`. Without it a public one is taken, which anyone can undo."""
+    return spark.conf.get("spark.shotgrove.pseudonyms.key", KEY)
 
 
 def op2_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    found = pseudonymize(read(spark, folder, "documents").select("doc_id", "text"), out="kinds")
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    found = pseudonymize(documents, configured_key(spark), out="kinds")
     return found.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_values"),
                         F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: texts with pseudonyms; n_chars follows the text."""
-    found = pseudonymize(docs)
+    private = free_name(docs, "_private")
+    found = pseudonymize(docs, configured_key(spark), out=private)
     if "n_chars" in docs.columns:
-        changed = F.size("_private") > 0
+        changed = F.size(private) > 0
         found = found.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
                                  .cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
