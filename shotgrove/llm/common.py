@@ -22,15 +22,23 @@ def hinted(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= rows else stored
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """`stem`, made longer until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of `df` whose key is not in the one column of `ids`; rows without a key stay."""
-    gone = ids.toDF("_gone_id")
-    return df.join(hinted(gone, rows), df[key] == F.col("_gone_id"), "left_anti")
+    name = free_name(df, "_gone_id")
+    return df.join(hinted(ids.toDF(name), rows), df[key] == F.col(name), "left_anti")
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", rows: int = BROADCAST_ROWS) -> DataFrame:
-    kept = ids.toDF("_kept_id")
-    return df.join(hinted(kept, rows), df[key] == F.col("_kept_id"), "left_semi")
+    name = free_name(df, "_kept_id")
+    return df.join(hinted(ids.toDF(name), rows), df[key] == F.col(name), "left_semi")
 
 
 def text_or_empty(df: DataFrame) -> Column:

@@ -2,8 +2,8 @@
 
 Two documents link when the distinct five-word shingles of their texts have a Jaccard similarity of 0.8 or more.
 
-1. Equal sets are one class; its smallest document stands for it.
-2. Stars: documents that share one of their lowest shingle hashes are compared with the smallest document that shares
+1. Equal sets are one class and one node; one of its rows stands for it.
+2. Stars: documents that share one of their lowest shingle hashes are compared with one of those that share
    it. This joins groups of near copies without pairs inside the group.
 3. Tiles: a similar pair shares a twentieth of its shingles among the first quarter in any common order. Here common
    shingles come last, and documents that share fewer with any other are left out. Documents of different components that share such a shingle meet in the tile of that shingle
@@ -17,7 +17,8 @@ components and that can be similar. Which shingles count as common only changes
 
 Defined results: NULL and empty texts, and texts without words, have an empty set and link with nothing. A text of
 fewer than five words has one shingle. Documents with a NULL id get a NULL component. Rows with the same id are one
-document. Shingles are compared by 64-bit hashes. Further columns are not read.
+document: their texts are linked, but one without words keeps its id. Shingles are compared by 64-bit hashes, and so
+are sets, which are the nodes of the graph. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrove.llm.common import hinted, only_ids, read, without_ids
+from shotgrove.llm.common import free_name, hinted, only_ids, read, without_ids
 from shotgrove.llm.graph import components
-from shotgrove.llm.shingle_sets import set_id, shingle_sets
+from shotgrove.llm.shingle_sets import set_id, shingle_sets, text_slices
 from shotgrove.session import materialize
 
 PERCENT = 80
@@ -50,6 +51,8 @@ BLOCK_ROWS = 500
 BAND = math.log(100 / PERCENT)
 MIN_BITS, MAX_BITS = 64, 1 << 15
 
+# Words of bitmaps, of eight bytes each, that are gathered for one side of the pairs compared at once.
+GATHERED_WORDS = 1 << 19
 
 # One more shingle has to be common in the prefixes for every so many shingles of a set.
 PER_COMMON = 20
@@ -79,14 +82,12 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(marks, bitorder="little")
 
 
-_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()),
+_SET_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("h", pa.int64()),
                         ("lowest", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def _described(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in text_slices(whole)):
         sizes, ids, lowest, prefixes, bitmaps = [], [], [], [], []
         for values in shingle_sets(batch.column("text")):
             n = len(values)
@@ -103,31 +104,37 @@ def _described(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterato
             prefixes.append(np.concatenate([first, values[late][:size - len(first)]]))
             bitmaps.append(bitmap(values, band_bits(band_of(n))).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(
-                (sizes, ids, lowest, prefixes, bitmaps), list(_SET_ARROW)[1:]))], schema=_SET_ARROW)
+            [batch.column("doc_id"), batch.column("digest"), *(pa.array(c, f.type) for c, f in zip(
+                (sizes, ids, lowest, prefixes, bitmaps), list(_SET_ARROW)[2:]))], schema=_SET_ARROW)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that a batch holds in several documents, with their number."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
-        if not sets:
+        parts = [np.concatenate(list(shingle_sets(part.column("text")))) for part in text_slices(batch)]
+        if not parts:
             continue
-        shingle, count = np.unique(np.concatenate(sets), return_counts=True)
-        keep = count >= 2
-        yield pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(count[keep].astype(np.int64))],
-                                         names=["shingle", "n"])
+        values = np.concatenate(parts)
+        del parts
+        values.sort()
+        first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+        count = np.diff(first, append=len(values))
+        first, count = first[count >= 2], count[count >= 2]
+        yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(count)], names=["shingle", "n"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [v.tobytes() for v in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())],
-                                         names=["doc_id", "shingles"])
+    for batch in (part for whole in batches for part in text_slices(whole)):
+        ids, packed = [], []
+        for values in shingle_sets(batch.column("text")):
+            ids.append(set_id(values) if len(values) else 0)
+            packed.append(values.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())],
+                                         names=["node", "shingles"])
 
 
 def describe(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, h, lowest, prefix, bits) of (doc_id, text)."""
+    """(doc_id, digest, n, h, lowest, prefix, bits) of (doc_id, text); the digest is the text's."""
     tally = texts.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     tally = materialize(tally.where(F.col("n") >= COMMON_DOCUMENTS), "common")
     bins = tally.groupBy(F.floor(F.log2("n") * 4).alias("bin")).agg(
@@ -140,8 +147,9 @@ def describe(texts: DataFrame) -> DataFrame:
         least = row["least"]
     common = np.sort(np.asarray(tally.where(F.col("n") >= least).toArrow().column("shingle"), dtype=np.int64))
     shared = texts.sparkSession.sparkContext.broadcast(common)
-    return texts.mapInArrow(lambda batches: _described(batches, shared.value),
-                            "doc_id long, n long, h long, lowest array<long>, prefix array<long>, bits binary")
+    named = texts.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return named.mapInArrow(lambda batches: _described(batches, shared.value),
+                            "doc_id long, digest long, n long, h long, lowest array<long>, prefix array<long>, bits binary")
 
 
 def similar(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -162,12 +170,18 @@ def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    arrays = materialize(only_ids(texts, wanted).mapInArrow(_arrays, "doc_id long, shingles binary"), "arrays")
-    left = arrays.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = arrays.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar, by exact intersection.
+
+    `holders (node, first)` names a document that holds each set.
+    """
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    held = materialize(holders.join(hinted(wanted), "node").select("first").distinct(), "holders")
+    # A document may occur again, with the same or another text.
+    arrays = only_ids(only_ids(texts, held).mapInArrow(_arrays, "node long, shingles binary"), wanted, "node")
+    arrays = materialize(arrays.groupBy("node").agg(F.first("shingles").alias("shingles")), "arrays")
+    left = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_intersected, "a long, b long")
 
 
@@ -195,18 +209,18 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow a similarity of 0.8."""
-    left = sets.select(F.col("doc_id").alias("a"), "n", F.col("bits").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    left = sets.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
             .mapInArrow(_bounded, "a long, b long"))
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
-    """Each document with the smallest document that shares one of its lowest shingles and has a fitting size."""
-    rows = sets.select("doc_id", "n", F.explode("lowest").alias("shingle"))
-    least = rows.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("rows"))
+    """Each set with the smallest one that shares one of its lowest shingles and has a fitting size."""
+    rows = sets.select("node", "n", F.explode("lowest").alias("shingle"))
+    least = rows.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("rows"))
     pairs = rows.join(least.where("rows > 1"), "shingle").select(
-        F.col("least.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("least.n").alias("m"), "n")
+        F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("m"), "n")
     fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("a") < F.col("b"))
     return pairs.where(fits).select("a", "b").distinct()
 
@@ -215,53 +229,53 @@ _TILE_ORDER = ["band", "shingle", "block", "other"]
 
 
 def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows (band, shingle, block, other, doc_id, component, n, bits) of all tiles with several components.
+    """Rows (band, shingle, block, other, node, component, n, bits) of all tiles with several components.
 
     A document is in the tile of its band, and as a guest in the next smaller band's. Blocks of a large tile meet two
     by two: a row of block i lies in the tiles (i, j) and (j, i) with the smaller number first.
     """
-    labelled = sets.join(labels, sets["doc_id"] == labels["node"], "left").select(
-        "doc_id", "n", "lowest", "prefix", F.coalesce("component", "doc_id").alias("component"))
+    labelled = sets.join(labels.withColumnRenamed("node", "_labelled"), F.col("node") == F.col("_labelled"), "left").select(
+        "node", "n", "lowest", "prefix", F.coalesce("component", "node").alias("component"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND) + 1e-9).cast("int")
     marked = F.concat(
         F.transform("prefix", lambda s: F.struct(s.alias("shingle"), F.lit(True).alias("first"))),
         F.transform(F.array_except("lowest", "prefix"), lambda s: F.struct(s.alias("shingle"), F.lit(False).alias("first"))))
     # Narrow rows, as there is one for every fourth shingle of all documents.
-    posted = labelled.select("doc_id", "component", F.explode(marked).alias("p")).select(
-        "doc_id", "component", "p.shingle", "p.first")
+    posted = labelled.select("node", "component", F.explode(marked).alias("p")).select(
+        "node", "component", "p.shingle", "p.first")
     several = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = materialize(several.where("low < high").select(F.col("shingle").alias("_shingle")), "several")
     few = hinted(several, 50_000)
     met = materialize(posted.drop("component").join(few, F.col("shingle") == F.col("_shingle")).drop("_shingle"), "met")
-    met = met.join(labelled.select("doc_id", "component", "n", band.alias("own")), "doc_id")
+    met = met.join(labelled.select("node", "component", "n", band.alias("own")), "node")
     # A document with fewer shared shingles than it has in common with the smallest similar set has no link left.
     needed = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / PER_COMMON)
-    enough = met.where("first").groupBy("doc_id", "n").agg(F.count("*").alias("shared")).where(
+    enough = met.where("first").groupBy("node", "n").agg(F.count("*").alias("shared")).where(
         F.col("shared") >= needed)
-    met = only_ids(met, materialize(enough.select("doc_id"), "enough"))
+    met = only_ids(met, materialize(enough.select("node"), "enough"), "node")
     guests = F.explode(F.array("own", F.col("own") - 1)).alias("band")
-    placed = materialize(met.select("doc_id", "component", "n", "own", "shingle", "first", guests), "placed")
+    placed = materialize(met.select("node", "component", "n", "own", "shingle", "first", guests), "placed")
     counts = placed.groupBy("band", "shingle").agg(
         F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.max((F.col("own") == F.col("band")).cast("int")).alias("owned"))
     tiles = counts.where("low < high AND owned = 1").select(
         "band", "shingle", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"))
     inside = placed.join(tiles, ["band", "shingle"])
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = inside.withColumn("_mine", mine).withColumn(
         "_meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("band", "shingle", F.least("_mine", "_meets").alias("block"),
-                          F.greatest("_mine", "_meets").alias("other"), "doc_id", "component", "n", "own", "first")
-    marks = sets.select("doc_id", "lowest", "bits")
-    return keyed.join(marks, "doc_id").select(
-        *_TILE_ORDER, "doc_id", "component", "n", "own", "first", "lowest", "bits")
+                          F.greatest("_mine", "_meets").alias("other"), "node", "component", "n", "own", "first")
+    marks = sets.select("node", "lowest", "bits")
+    return keyed.join(marks, "node").select(
+        *_TILE_ORDER, "node", "component", "n", "own", "first", "lowest", "bits")
 
 
 def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one band's rows, in tile order, that may be similar."""
     band = table.column("band")[0].as_py()
     keys = [table.column(c).to_numpy() for c in _TILE_ORDER[1:]]
-    doc, comp, n, own, first = (table.column(c).to_numpy() for c in ("doc_id", "component", "n", "own", "first"))
+    doc, comp, n, own, first = (table.column(c).to_numpy() for c in ("node", "component", "n", "own", "first"))
     words = band_bits(band) // 64
     bits = np.zeros((len(doc), words), dtype=np.uint64)
     for i, value in enumerate(table.column("bits").to_pylist()):
@@ -285,8 +299,9 @@ def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         good = (comp[here] != comp[there]) & ((own[here] == band) | (own[there] == band))
         good &= 100 * np.minimum(n[here], n[there]) >= PERCENT * np.maximum(n[here], n[there])
         i, j = here[good], there[good]
-        for s in range(0, len(i), 20_000):
-            x, y = i[s:s + 20_000], j[s:s + 20_000]
+        size = max(1, GATHERED_WORDS // words)
+        for s in range(0, len(i), size):
+            x, y = i[s:s + size], j[s:s + size]
             keep = similar(overlap_bound(n[x], n[y], bits[x], bits[y]), n[x], n[y])
             x, y = x[keep], y[keep]
             # The lowest common one of the lowest shingles, if there is any, decides which tile gives the pair.
@@ -327,30 +342,66 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tile_pairs(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = tile_rows(sets, labels, block_rows)
-    ordered = rows.repartition(*_TILE_ORDER).sortWithinPartitions(*_TILE_ORDER, "n", "doc_id")
+    ordered = rows.repartition(*_TILE_ORDER).sortWithinPartitions(*_TILE_ORDER, "n", "node")
     return ordered.mapInArrow(_compared, "a long, b long").distinct()
 
 
-def linked(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of all rows of (doc_id, text)."""
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(describe(texts), "sets")
+def one_row_of_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets as nodes: one row (node, n, lowest, prefix, bits) for each of the `classes (n, h, first, members)`."""
+    several = classes.where("members > 1").select("n", "h", "first")
     ids = sets.select("doc_id", "n", "h")
-    classes = materialize(ids.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h").agg(
+    of_first = materialize(ids.join(several, ["n", "h"]).select("doc_id", "h", (F.col("doc_id") > F.col("first")).alias(
+        "copy")), "copies")
+    gone = of_first.where("copy").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"))
+    kept = sets.where("n > 0 AND doc_id IS NOT NULL").join(
+        hinted(gone), (F.col("doc_id") == F.col("_doc_id")) & (F.col("h") == F.col("_h")), "left_anti")
+    repeated = materialize(of_first.where("NOT copy").groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")
+                           .select("h"), "repeated")
+    if not repeated.isEmpty():  # the same row again
+        once = only_ids(kept, repeated, "h").groupBy("h").agg(
+            *[F.first(c).alias(c) for c in kept.columns if c != "h"]).select(*kept.columns)
+        kept = without_ids(kept, repeated, "h").unionByName(once)
+    return kept.select(F.col("h").alias("node"), "n", "lowest", "prefix", "bits")
+
+
+def set_components(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): `rows (doc_id, digest, n, h)` of all texts, `classes (n, h, first, members)` of equal sets
+    with the smallest document, and links (a, b) between the sets h that are similar, enough for all components."""
+    sets = materialize(describe(texts), "sets")
+    rows = sets.select("doc_id", "digest", "n", "h")
+    classes = materialize(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h").agg(
         F.min("doc_id").alias("first"), F.count("*").alias("members")), "classes")
-    copies = classes.where("members > 1").select("n", "h", "first")
-    rest = materialize(ids.join(copies, ["n", "h"]).where("doc_id > first").select("doc_id"), "copies")
-    own = without_ids(sets.where("n > 0 AND doc_id IS NOT NULL"), rest)
+    holders = classes.select(F.col("h").alias("node"), "first")
+    own = materialize(one_row_of_each(sets, classes), "nodes")
     stars = materialize(bounded(star_pairs(own), own), "stars")
-    links = materialize(verified(stars, texts), "star-links")
+    links = materialize(verified(stars, texts, holders), "star-links")
+    more = materialize(tile_pairs(own, components(links)), "candidates")
+    return rows, classes, links.union(materialize(verified(more, texts, holders), "tile-links"))
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def linked(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all rows of (doc_id, text)."""
+    rows, classes, links = set_components(_texts(documents))
+    # Rows of one id are one document, whatever their texts.
+    sharing = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("h").alias("low"), F.max("h").alias("high"))
+    sharing = materialize(sharing.where("low < high").select(F.col("doc_id").alias("_doc_id"), "low"), "sharing")
+    if not sharing.isEmpty():
+        same = rows.where("n > 0").join(hinted(sharing), F.col("doc_id") == F.col("_doc_id")).where("low < h")
+        links = links.union(same.select(F.col("low").alias("a"), F.col("h").alias("b")).distinct())
     labels = components(links)
-    more = materialize(verified(materialize(tile_pairs(own, labels), "candidates"), texts), "tile-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    known = ids.join(copies, ["n", "h"], "left").withColumn(
-        "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
-    return known.join(labels, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    placed = classes.join(labels, F.col("h") == F.col("node"), "left").select(
+        "n", "h", "first", "members", "component")
+    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
+    named = placed.join(least, "component", "left").where("members > 1 OR component IS NOT NULL").select(
+        "n", "h", F.coalesce("least", "first").alias("_component"))
+    known = rows.join(named, ["n", "h"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -358,6 +409,43 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: the smallest document of each component stays."""
-    found = linked(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return without_ids(docs, materialize(found, "copies-to-drop"))
+    """Pipeline stage: of each group of similar texts the row with the smallest id stays.
+
+    Groups are made of texts here, so a text stays although another one under its id is a copy. Rows without an id, and
+    texts without words, stay.
+    """
+    rows, classes, links = set_components(_texts(docs))
+    labels = components(links)
+    placed = classes.join(labels, F.col("h") == F.col("node"), "left").select(
+        "n", "h", "first", "members", F.coalesce("component", "h").alias("component"))
+    best = placed.groupBy("component").agg(F.min(F.struct("first", "h")).alias("best"), F.count("*").alias("sets"),
+                                           F.sum("members").alias("members")).where("members > 1")
+    chosen = materialize(placed.drop("members").join(best, "component").select(
+        "n", "h", F.col("best.first").alias("first"), F.col("best.h").alias("kept")), "chosen")
+    judged = rows.join(chosen, ["n", "h"]).where("doc_id IS NOT NULL")
+    judged = materialize(judged.groupBy("doc_id", "digest").agg(
+        F.max((F.col("h") == F.col("kept")) & (F.col("doc_id") == F.col("first"))).alias("stays"),
+        F.count("*").alias("rows")), "judged")
+    least = judged.where("stays").groupBy("doc_id").agg(F.min("digest").alias("least")).withColumnRenamed("doc_id", "_id")
+    judged = materialize(judged.join(least, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", "digest", "rows", F.coalesce(F.col("stays") & (F.col("digest") == F.col("least")), F.lit(False)).alias(
+            "stays")), "judged")
+    left = _by_key(docs, judged.where("NOT stays"), "left_anti")
+    again = materialize(judged.where("stays AND rows > 1"), "again")
+    if again.isEmpty():
+        return left
+    # The kept row occurs more than once.
+    key = [free_name(docs, "_id"), free_name(docs, "_digest")]
+    once = _by_key(left, again, "left_semi").withColumns(dict(zip(key, _key(docs)))).dropDuplicates(key).drop(*key)
+    return _by_key(left, again, "left_anti").unionByName(once)
+
+
+def _key(docs: DataFrame) -> tuple[Column, Column]:
+    return docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"].cast("string"))
+
+
+def _by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    names = [free_name(docs, "_gone_id"), free_name(docs, "_gone_digest")]
+    doc_id, digest = _key(docs)
+    return docs.join(hinted(keys.select("doc_id", "digest").toDF(*names)),
+                     (doc_id == F.col(names[0])) & (digest == F.col(names[1])), how)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrove.llm.common import read, remainder
+from shotgrove.llm.common import free_name, read, remainder
 from shotgrove.operators.numbering import top_per_group
 
 UNKNOWN = "und"
@@ -121,5 +121,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go."""
-    return (identify(docs, learn(learning_rows(docs)), out="_language")
-            .where(~F.col("_language.rejected")).select(*[docs[c] for c in docs.columns]))
+    found = free_name(docs, "_language")
+    return (identify(docs, learn(learning_rows(docs)), out=found)
+            .where(~F.col(found)["rejected"]).select(*docs.columns))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORDS = 5
@@ -89,6 +90,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 8 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes of text, so that what is worked out for one part stays small."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For every text the sorted distinct shingle hashes (int64)."""
     texts = text_bytes(column)

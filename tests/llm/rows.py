@@ -32,7 +32,8 @@ def documents(spark):
 
 def with_clashes(df):
     """Further columns with the names that operators use inside."""
-    extra = ("n", "h", "bits", "lowest", "prefix", "digest", "list", "language", "component", "row", "kinds")
+    extra = ("n", "h", "bits", "lowest", "prefix", "digest", "list", "language", "component", "row", "kinds",
+             "_new", "_between", "_private", "_language", "_gone_id", "_kept_id", "_gone_digest", "_id", "_digest")
     for name in extra:
         df = df.withColumn(name, df["source"])
     return df

@@ -63,13 +63,18 @@ def test_jaccard_join_is_brute_force(spark, block_rows, monkeypatch):
 
 def test_tiles_alone_lose_no_link(spark):
     """Without any star, and with every shingle common, the tiles still give all links."""
-    texts = families(5)
+    texts = {i: t for t, i in {t: i for i, t in families(5).items()}.items()}  # equal texts are one node
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
     sets = jaccard_join.materialize(jaccard_join.describe(frame), "sets")
     nobody = spark.createDataFrame([], "node long, component long")
-    pairs = {(r.a, r.b) for r in jaccard_join.verified(jaccard_join.tile_pairs(sets, nobody, 4), frame).collect()}
+    own = sets.where("n > 0").select(F.col("h").alias("node"), "n", "lowest", "prefix", "bits").distinct()
+    holders = sets.select(F.col("h").alias("node"), F.col("doc_id").alias("first"))
+    links = jaccard_join.verified(jaccard_join.tile_pairs(own, nobody, 4), frame, holders).collect()
+    of = {r.h: r.doc_id for r in sets.collect()}
+    assert len(of) == len(texts)
+    pairs = {tuple(sorted((of[r.a], of[r.b]))) for r in links}
     found = {i: set(shingles(t)) for i, t in texts.items()}
-    want = {(a, b) for a, b in itertools.combinations(found, 2)
+    want = {(a, b) for a, b in itertools.combinations(sorted(found), 2)
             if 100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b])}
     assert pairs == want
 
@@ -87,6 +92,20 @@ def test_jaccard_awkward_rows(spark, docs):
     assert jaccard_join.linked(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """An id with two texts: both have their links, and only what is a copy goes."""
+    base = [f"w{i}" for i in range(30)]
+    a, b = " ".join(base), " ".join(f"v{w}" for w in base)
+    near = b + " more"
+    rows = [(1, a, "x"), (5, a.upper(), "x"), (5, b, "x"), (9, near, "x"), (9, near, "x"), (20, "other text", "x"),
+            (20, "other text", "y"), (21, "\tother TEXT", "x"), (30, None, "x"), (30, "", "x"), (None, a, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _gone_id string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.linked(frame).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (20, 20), (21, 20), (30, 30), (None, None)}
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one_of_each(spark, frame, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (20, "other text"), (30, None), (30, ""), (None, a)], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(5, 5), (900, 901), (901, 900)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

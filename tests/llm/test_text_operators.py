@@ -49,7 +49,7 @@ def test_bpe_is_the_librarys(spark, folder, docs):
     texts = [r.text for r in docs.select("text").collect()]
     texts += [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     texts += ["<|endoftext|> a<|startoftext|>b", "<|ENDOFTEXT|>", "don't,'s it''ll x'", "é,  x y 1²3",
-              "a_b-c/d 12,3.4", "İΣ ΑΣ", "…“q”…!", "\x1c a \x00 b"]
+              "a_b-c/d 12,3.4", "İΣ ΑΣ", "İ.", "(İ)", "a İ, b", "DİNİ-X", "…“q”…!", "\x1c a \x00 b"]
     own = bpe.Codec(bpe.default_path(), remembered=50)
     for text, (n, ids, decoded) in zip(texts, own.pieces(texts)):
         want = tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -207,3 +207,34 @@ def test_differing_paragraphs(spark):
     frame = spark.createDataFrame([(left, left.replace("p13", "x")), (left, left), ("", "a\nb")], "l string, r string")
     trees = merkle.with_tree(merkle.with_tree(frame, "l", "l"), "r", "r")
     assert [r[0] for r in trees.select(merkle.differing_paragraphs("l", "r")).collect()] == [[13], [], [0, 1]]
+
+
+def test_bpe_of_every_letter_beside_signs():
+    """All letters that fragments are cut at, with signs around them."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    letters = [c for c in map(chr, range(0x250)) if re.fullmatch(f"[{bpe.LETTERS}]", c)]
+    texts = [f"{left}{c}{right}" for c in letters for left in ("", "(", "x") for right in (".", "-Y", "")]
+    for text, (n, ids, _) in zip(texts, bpe.Codec(bpe.default_path()).pieces(texts)):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want))), text
+
+
+def test_pseudonyms_stay_valid(spark):
+    """Numbers become valid numbers, no two alike; letters of any script go; stages keep every column."""
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899) for g in (1, 50, 99) for s in (1, 777, 9999)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "doc_id long, text string")
+    new = [r.text for r in pseudonyms.pseudonymize(df).orderBy("doc_id").collect()]
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", n) for n in new)
+    assert len(set(new)) == len(numbers) and sum(a == b for a, b in zip(new, numbers)) < 2
+    mails = spark.createDataFrame([(1, "иван@example.com"), (2, "x 李雷@example.com, иван@example.com")],
+                                  "doc_id long, text string")
+    first, second = [r.text for r in pseudonyms.pseudonymize(mails).orderBy("doc_id").collect()]
+    assert "иван" not in first + second and "李雷" not in second and first in second and first.endswith("@example.com")
+    spark.conf.set("spark.shotgrove.pseudonyms.key", "another")
+    try:
+        other = pseudonyms.hide_personal_data(spark, df, "").orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.shotgrove.pseudonyms.key")
+    assert [r.text for r in other] != new
