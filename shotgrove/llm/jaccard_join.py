@@ -3,7 +3,7 @@
 Two documents link when the distinct five-word shingles of their texts have a Jaccard similarity of 0.8 or more.
 
 1. Equal sets are one class and one node; one of its rows stands for it.
-2. Stars: documents that share one of their lowest shingle hashes are compared with one of those that share
+2. Stars: documents that share one of their lowest shingle hashes are compared with the smallest document that shares
    it. This joins groups of near copies without pairs inside the group.
 3. Tiles: a similar pair shares a twentieth of its shingles among the first quarter in any common order. Here common
    shingles come last, and documents that share fewer with any other are left out. Documents of different components that share such a shingle meet in the tile of that shingle
@@ -216,12 +216,16 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with the smallest one that shares one of its lowest shingles and has a fitting size."""
-    rows = sets.select("node", "n", F.explode("lowest").alias("shingle"))
-    least = rows.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("rows"))
+    """Each set with the one of the smallest document that shares one of its lowest shingles and has a fitting size.
+
+    Copies mostly follow what they were made from, so the smallest document is near to more of them than another copy.
+    """
+    rows = sets.select("node", "first", "n", F.explode("lowest").alias("shingle"))
+    least = rows.groupBy("shingle").agg(
+        F.min(F.struct("first", "node", "n")).alias("least"), F.count("*").alias("rows"))
     pairs = rows.join(least.where("rows > 1"), "shingle").select(
         F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.n").alias("m"), "n")
-    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("a") < F.col("b"))
+    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
     return pairs.where(fits).select("a", "b").distinct()
 
 
@@ -347,7 +351,7 @@ def tile_pairs(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
 
 
 def one_row_of_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """The sets as nodes: one row (node, n, lowest, prefix, bits) for each of the `classes (n, h, first, members)`."""
+    """The sets as nodes: one row (node, first, n, lowest, prefix, bits) for each of the `classes (n, h, first, members)`."""
     several = classes.where("members > 1").select("n", "h", "first")
     ids = sets.select("doc_id", "n", "h")
     of_first = materialize(ids.join(several, ["n", "h"]).select("doc_id", "h", (F.col("doc_id") > F.col("first")).alias(
@@ -361,7 +365,7 @@ def one_row_of_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
         once = only_ids(kept, repeated, "h").groupBy("h").agg(
             *[F.first(c).alias(c) for c in kept.columns if c != "h"]).select(*kept.columns)
         kept = without_ids(kept, repeated, "h").unionByName(once)
-    return kept.select(F.col("h").alias("node"), "n", "lowest", "prefix", "bits")
+    return kept.select(F.col("h").alias("node"), F.col("doc_id").alias("first"), "n", "lowest", "prefix", "bits")
 
 
 def set_components(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
