@@ -153,9 +153,11 @@ def bm25_stored_index(spark, folder):
 @query("bm25_topk_blocks", f"""
     WITH {_SQL_BM25} SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10""")
 def bm25_topk_blocks(spark, folder):
-    """The way taken when there are too many queries to broadcast."""
+    """The way taken when there are many postings: bounds, and blocks of frequent terms."""
     asked, corpus = _texts(spark, folder)
-    return bm25.bm25_topk(asked, corpus, 10, max_broadcast_terms=0)
+    path = new_table_path(spark, "lexical")
+    bm25.write_index(corpus, path, block_postings=64)
+    return bm25.bm25_topk(asked, bm25.open_index(spark, path), 10, plain_postings=0, bound_postings=200)
 
 
 @query("retriever_switch", with_parts("v") + ",\n" + sql_knn(5) + f", {_SQL_BM25}" + """
@@ -186,14 +188,16 @@ def pair_queries(spark, folder):
 @query("attach_neighbors", with_parts("v") + ",\n" + sql_knn(4) + """,
     pairs AS (SELECT a.vec_id AS guid, unnest([0, 1]) AS sent_id, unnest([a.vec_id, b.vec_id]) AS q
               FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
-    SELECT p.guid, COUNT(*) AS n, string_agg(d.text, '|' ORDER BY p.sent_id, k.rank) AS texts
-    FROM pairs p JOIN knn k ON k.query_id = p.q JOIN documents d ON d.doc_id = k.doc_id GROUP BY p.guid""")
+    SELECT p.guid, COUNT(*) AS n, string_agg(COALESCE(d.text, ''), '|' ORDER BY p.sent_id, k.rank) AS texts
+    FROM pairs p JOIN knn k ON k.query_id = p.q LEFT JOIN documents d ON d.doc_id = k.doc_id GROUP BY p.guid""")
 def attach_neighbors(spark, folder):
+    """A neighbour without a passage keeps its place, with an empty text."""
     queries = pair_queries(spark, folder)
     hits = knn.knn_exact(queries, vectors(spark, folder), 4)
     rows = neighbors.neighbor_rows(queries, hits, passages(spark, folder).select("doc_id", "text"))
     return neighbors.attach_neighbors(rows).select(
-        "guid", F.size("neighbor_texts").cast("bigint").alias("n"), F.array_join("neighbor_texts", "|").alias("texts"))
+        "guid", F.size("neighbor_texts").cast("bigint").alias("n"),
+        F.array_join("neighbor_texts", "|", "").alias("texts"))
 
 
 @query("neighbor_cache", with_parts("v") + ",\n" + sql_knn(8) + "\nSELECT query_id, rank, doc_id, score FROM knn")

@@ -149,21 +149,70 @@ def prose():
     return asked, docs + ["", "..."]
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_lexical(spark, prose, limit, monkeypatch):
-    monkeypatch.setattr(topk, "CORPUS_BLOCK_VALUES", 800)
-    monkeypatch.setattr(topk, "QUERY_BLOCK_VALUES", 40)
+BOUNDED = {"plain_postings": 0, "bound_postings": 40}
+
+
+@pytest.mark.parametrize("options", [{}, BOUNDED, {"plain_postings": 0, "bound_postings": 1}])
+def test_lexical(spark, prose, options):
     asked, docs = prose
-    got = bm25.bm25_topk(texts(spark, asked, "query_id"), texts(spark, docs, "doc_id").repartition(4), 6, limit)
+    got = bm25.bm25_topk(texts(spark, asked, "query_id"), texts(spark, docs, "doc_id").repartition(4), 6, **options)
     assert found(got) == brute_bm25(asked, docs, 6)
 
 
-def test_lexical_over_a_stored_index(spark, prose, tmp_path):
+@pytest.mark.parametrize("options", [{}, BOUNDED])
+def test_lexical_over_a_stored_index(spark, prose, tmp_path, options):
     asked, docs = prose
-    bm25.write_index(texts(spark, docs, "doc_id"), str(tmp_path / "ix"))
+    bm25.write_index(texts(spark, docs, "doc_id"), str(tmp_path / "ix"), buckets=8, block_postings=20)
     index = bm25.open_index(spark, str(tmp_path / "ix"))
     assert index.n_docs == len(docs)
-    assert found(bm25.bm25_topk(texts(spark, asked, "query_id"), index, 6)) == brute_bm25(asked, docs, 6)
+    held = {r["term"]: r for r in index.blocks.groupBy("term").agg(
+        F.count("*").alias("blocks"), F.max("held").alias("most"), F.sum("held").alias("df")).collect()}
+    assert held["the"]["df"] == 240 and held["the"]["blocks"] >= 8 and max(r["most"] for r in held.values()) < 120
+    assert found(bm25.bm25_topk(texts(spark, asked, "query_id"), index, 6, **options)) == brute_bm25(asked, docs, 6)
+
+
+def test_lexical_reads_the_buckets_of_asked_terms(spark, prose, tmp_path):
+    bm25.write_index(texts(spark, prose[1], "doc_id"), str(tmp_path / "ix"), buckets=16)
+    index = bm25.open_index(spark, str(tmp_path / "ix"))
+    asked = bm25.materialize(bm25.query_terms(spark.createDataFrame([(1, ["w1", "w2"])], "query_id long, words array<string>")),
+                             "asked")
+    wanted = bm25.materialize(bm25.weighted_terms(asked, index), "weighted")
+    scored = bm25._scored(index, wanted)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower() and "Python" not in plan and "Arrow" not in plan
+    scored.collect()
+    ran = scored._jdf.queryExecution().executedPlan()
+    scans = [s for s in _leaves(ran) if s.nodeName().startswith("Scan parquet") and s.metrics().contains("numPartitions")]
+    assert scans and min(s.metrics().apply("numPartitions").value() for s in scans) <= 2
+    assert "posted" not in bm25.weighted_terms(asked, index)._jdf.queryExecution().executedPlan().toString().split(
+        "ReadSchema")[1].split("\n")[0]
+
+
+def _leaves(plan):
+    """Leaves of a plan that ran, through the stages of adaptive execution."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _leaves(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return _leaves(plan.plan())
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    return [leaf for child in children for leaf in _leaves(child)] if children else [plan]
+
+
+def test_lexical_bounds_leave_frequent_terms_unread(spark):
+    """Of the word that all documents hold, only the blocks of documents with the rare words are read."""
+    docs = [f"the w{i % 50} x{i}" for i in range(2000)]
+    asked = texts(spark, ["the x7", "the x9 x11"], "query_id")
+    got = bm25.bm25_topk(asked, texts(spark, docs, "doc_id"), 1, plain_postings=0, bound_postings=10)
+    assert found(got) == brute_bm25(["the x7", "the x9 x11"], docs, 1)
+
+
+def test_lexical_with_missing_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "a"), (4, "a a"), (4, "b")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "query_id long, text string")
+    for options in ({}, BOUNDED):
+        got = bm25.bm25_topk(asked, docs, 5, **options).collect()
+        assert {r["query_id"] for r in got} == {1} and {r["doc_id"] for r in got} == {1, None, 4}
+        assert len({(r["doc_id"], r["rank"]) for r in got}) == len(got)
 
 
 def test_lexical_without_words(spark):
