@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,17 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.astype(np.float64).reshape(len(column), -1)
 
 
+def usable(table: pa.Table, width: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows whose `emb` has `width` numbers, and these as a matrix. NULL, NaN and other lengths make no vector."""
+    lists = table["emb"]
+    table = table.filter(pc.fill_null(pc.equal(pc.list_value_length(lists), width), False))
+    if not table.num_rows:
+        return table, np.zeros((0, width))
+    vectors = matrix(table["emb"])
+    numbers = ~np.isnan(vectors).any(axis=1)
+    return (table, vectors) if numbers.all() else (table.filter(pa.array(numbers)), vectors[numbers])
+
+
 def similarity(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     """Scores by (left row, right row), larger is nearer: "ip", "cosine" or "l2" (negative distance)."""
     product = left @ right.T
@@ -48,13 +60,15 @@ def similarity(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
 class VectorScorer:
     """Queries `(query_id, emb[, cell])` against rows `(doc_id, emb[, cell])`.
 
-    With cells, a query is compared only with the rows of the cells it probes.
+    With cells, a query is compared only with the rows of the cells it probes. Rows without a vector of `dim` numbers
+    have no neighbours and are nobody's.
     """
 
-    def __init__(self, queries: pa.Table, metric: str):
+    def __init__(self, queries: pa.Table, metric: str, dim: int):
+        queries, vectors = usable(queries, dim)
         ids = queries["query_id"].to_numpy()
         self.query_ids, first, self.owner = np.unique(ids, return_index=True, return_inverse=True)
-        self.vectors = matrix(queries["emb"])[first]
+        self.vectors, self.dim = vectors[first], dim
         self.cells = queries["cell"].to_numpy() if "cell" in queries.column_names else None
         self.metric = metric
         # Rows of one cell are a small part of a batch.
@@ -62,7 +76,8 @@ class VectorScorer:
         self.batch_rows = topk.BATCH_ROWS if self.cells is None else max(topk.BATCH_ROWS, 4_000_000 // width)
 
     def score(self, batch: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ids, vectors = batch["doc_id"].to_numpy(), matrix(batch["emb"])
+        batch, vectors = usable(batch, self.dim)
+        ids = batch["doc_id"].to_numpy()
         if self.cells is None:
             pairs = [(np.arange(len(self.query_ids)), slice(None))]
         else:
@@ -74,25 +89,20 @@ class VectorScorer:
                 yield part, ids[docs], similarity(self.vectors[part], vectors[docs], self.metric)
 
 
-def _width(queries: DataFrame) -> int:
-    first = queries.select(F.size("emb")).first()
-    return first[0] if first else 1
-
-
 def _search(queries: DataFrame, corpus: DataFrame, k: int, metric: str, columns: list[str],
             max_broadcast_values: int) -> DataFrame:
-    # A row without a vector is nobody's neighbour and has none.
-    queries = queries.select("query_id", "emb", *columns).where(F.col("emb").isNotNull())
-    corpus = corpus.select("doc_id", "emb", *columns).where(F.col("emb").isNotNull())
-    width = max(_width(queries), 1)
-    few = topk.small_table(queries, max_broadcast_values // width)
+    """Rows whose vector is missing, holds NULL or NaN, or is not as long as the longest of the queries have no part."""
+    named = F.col("query_id").isNotNull()
+    queries = queries.select("query_id", "emb", *columns).where(F.col("emb").isNotNull() & named)
+    corpus = corpus.select("doc_id", "emb", *columns).where(F.col("emb").isNotNull() & F.col("doc_id").isNotNull())
+    width, rows = queries.agg(F.coalesce(F.max(F.size("emb")), F.lit(0)), F.count(F.lit(1))).first()
 
     def scorer(table: pa.Table) -> VectorScorer:
-        return VectorScorer(table, metric)
+        return VectorScorer(table, metric, width)
 
-    if few is not None:
-        return topk.search_broadcast(few, corpus, k, scorer)
-    return topk.search_blocks(queries, corpus, k, scorer, columns[0] if columns else None, width, width)
+    if rows * width <= max_broadcast_values:
+        return topk.search_broadcast(queries.toArrow(), corpus, k, scorer)
+    return topk.search_chunks(materialize(queries, "queries"), corpus, k, scorer, rows, width)
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, metric: str = "ip",
@@ -119,7 +129,11 @@ def load_cells(centroids: DataFrame, max_cells: int = 1 << 18) -> Cells:
 
 
 def nearest_cells(vectors: DataFrame, cells: Cells, n: int, metric: str = "ip") -> DataFrame:
-    """Add `cell`, one row for each of the `n` nearest cells of a vector. A pass without a shuffle."""
+    """Add `cell`, one row for each of the `n` nearest cells of a vector. A pass without a shuffle.
+
+    A row without a vector of the centroids' length has no cell and is left out.
+    """
+    width = cells.centers.shape[1]
     step = max(8_000_000 // max(len(cells.numbers), 1), 1)
     schema = vectors.select("*", F.lit(0).cast("int").alias("cell")).schema
 
@@ -127,12 +141,13 @@ def nearest_cells(vectors: DataFrame, cells: Cells, n: int, metric: str = "ip")
         for batch in batches:
             # Slices keep the scores of rows x cells small.
             for start in range(0, batch.num_rows, step):
-                table = pa.Table.from_batches([batch.slice(start, step)])
+                table, own = usable(pa.Table.from_batches([batch.slice(start, step)]), width)
                 rows = np.arange(table.num_rows)
                 best = topk.RunningBest(table.num_rows, min(n, len(cells.numbers)))
-                best.offer(rows, cells.numbers, similarity(matrix(table["emb"]), cells.centers, metric))
-                repeated = table.take(pa.array(np.repeat(rows, best.k)))
-                yield from repeated.append_column("cell", pa.array(best.ids.ravel(), pa.int32())).to_batches()
+                best.offer(rows, cells.numbers, similarity(own, cells.centers, metric))
+                found = np.isfinite(best.scores)  # a vector of infinite numbers may have no cell
+                repeated = table.take(pa.array(np.repeat(rows, found.sum(axis=1))))
+                yield from repeated.append_column("cell", pa.array(best.ids[found], pa.int32())).to_batches()
 
     return vectors.mapInArrow(assign, schema)
 
@@ -179,14 +194,22 @@ def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def search_index(queries: DataFrame, path: str, k: int = TOP_K, nprobe: int = NPROBE,
-                 metric: str = "ip") -> DataFrame:
-    """Search a stored index; only the directories of probed cells are read."""
+                 metric: str = "ip", max_broadcast_values: int = topk.MAX_BROADCAST_VALUES) -> DataFrame:
+    """Search a stored index; only the folders of probed cells are read.
+
+    The probed cells, one row for each cell of the index at most, are joined on the partition column, which prunes the
+    folders when the query runs.
+    """
     corpus, centroids = open_index(queries.sparkSession, path)
     cells = load_cells(centroids)
     probes = materialize(nearest_cells(queries.select("query_id", "emb"), cells, nprobe, metric), "probes")
-    touched = [r[0] for r in probes.select("cell").distinct().collect()]  # at most one row per cell
-    return _search(probes, corpus.where(F.col("cell").isin(touched)), k, metric, ["cell"],
-                   topk.MAX_BROADCAST_VALUES)
+    return _search(probes, probed_rows(corpus, probes), k, metric, ["cell"], max_broadcast_values)
+
+
+def probed_rows(corpus: DataFrame, probes: DataFrame) -> DataFrame:
+    """The rows of a stored `corpus` in the cells of `probes`. The comparison tells the planner of a selection."""
+    touched = materialize(probes.select("cell").distinct(), "cells").where(F.col("cell") >= 0)
+    return corpus.join(F.broadcast(touched), "cell", "left_semi")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Best k corpus rows per query, without emitting all pairs.
 
 Every task scores blocks of its corpus rows against a block of queries and keeps a running best k per
-query; a window over these short lists gives the final rank. Which rows meet is decided by Spark: few
-queries are broadcast after their size is checked, many are joined with the corpus block by block.
+query; a window over these short lists gives the final rank. The corpus is never moved: few queries are broadcast
+after their size is checked, many are cut into chunks that are broadcast one after the other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,13 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotgrove.schema import HIT
+from shotgrove.session import materialize
 
-# Values (rows x values per row) that a broadcast of queries and that one block may hold.
+# Values (rows x values per row) that a broadcast of queries, and that a chunk of them with their lists, may hold.
 MAX_BROADCAST_VALUES = 4_000_000
-QUERY_BLOCK_VALUES = 1_000_000
-CORPUS_BLOCK_VALUES = 32_000_000
-# A corpus of few blocks is cut finer, down to this, until all cores have one.
-MIN_BLOCK_VALUES = 1_000_000
+CHUNK_VALUES = 8_000_000
 BATCH_ROWS = 4_096
 # Length of all short lists of one task from which a bound is taken first, and the share of rows used for it.
 BOUND_FROM = 1_000_000
@@ -156,50 +155,18 @@ def search_broadcast(queries: pa.Table, corpus: DataFrame, k: int, make_scorer:
     return ranked(corpus.mapInArrow(scan, HIT), k)
 
 
-def search_blocks(queries: DataFrame, corpus: DataFrame, k: int,
-                  make_scorer: Callable[[pa.Table], Scorer], cell: str | None = None,
-                  query_width: float = 1, corpus_width: float = 1) -> DataFrame:
-    """Queries and corpus meet block by block, for any number of queries.
+def search_chunks(queries: DataFrame, corpus: DataFrame, k: int, make_scorer: Callable[[pa.Table], Scorer],
+                  rows: int, width: float = 1, chunk_values: int = CHUNK_VALUES) -> DataFrame:
+    """Any number of queries against a corpus that stays where it lies.
 
-    Both sides are cut into hash blocks of bounded size, by cell where `cell` names a column that has to
-    agree; the widths are the values that a row holds. A block of queries is sent to every corpus block of its cell and the other way round, so a cell
-    with a third of all rows becomes many groups. A group emits k rows per query at most.
+    Written `queries` are cut into hash chunks by query id. Each chunk is broadcast, makes one pass over the corpus, and
+    its hits are written before the next one starts, so that the driver and the tasks hold one chunk at a time: the
+    queries' values and the k best of each count towards its size. `rows` is the number of queries.
     """
-    query_block = max(int(QUERY_BLOCK_VALUES / query_width), 1)
-    corpus_block = max(int(CORPUS_BLOCK_VALUES / corpus_width), 1)
-    keys = [cell] if cell else []
-    asks, docs = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) for df in (queries, corpus))
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    finer = F.least(F.lit(cores), F.ceil(F.col("_n") * corpus_width / MIN_BLOCK_VALUES))
-    doc_blocks = F.greatest(F.ceil(F.col("_n") / corpus_block), finer).cast("int").alias("_doc_blocks")
-    query_blocks = F.ceil(F.col("_n") / query_block).cast("int").alias("_query_blocks")
-    if cell:
-        # One row per cell.
-        counted = docs.select(cell, doc_blocks).join(asks.select(cell, query_blocks), cell)
-        sizes = F.broadcast(corpus.sparkSession.createDataFrame(counted.toArrow()))
-    else:
-        sizes = {**docs.select(doc_blocks).first().asDict(), **asks.select(query_blocks).first().asDict()}
-
-    def sized(df: DataFrame) -> DataFrame:
-        return df.join(sizes, cell) if cell else df.withColumns({c: F.lit(n) for c, n in sizes.items()})
-
-    def placed(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(1), F.col(other)))
-        return (sized(df).where(F.col(other) > 0)
-                .withColumn(mine, (F.pmod(F.xxhash64(key), F.col(own)) + 1).cast("int"))
-                .withColumn(theirs, every).drop("_doc_blocks", "_query_blocks"))
-
-    left = placed(queries, "query_id", "_query_blocks", "_doc_blocks", "_qb", "_cb")
-    right = placed(corpus, "doc_id", "_doc_blocks", "_query_blocks", "_cb", "_qb")
-
-    def block(asks: pa.Table, docs: pa.Table) -> pa.Table:
-        if asks.num_rows == 0 or docs.num_rows == 0:
-            return HIT_TABLE
-        return pa.Table.from_batches(list(_scan(iter(docs.to_batches(BATCH_ROWS)), make_scorer(asks), k)))
-
-    keys = [*keys, "_qb", "_cb"]
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, HIT), k)
-
-
-HIT_TABLE = pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()),
-                      "score": pa.array([], pa.float64())})
+    chunks = max(1, math.ceil(rows * (width + 2 * k) / chunk_values))
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
+    found: DataFrame | None = None
+    for c in range(chunks):
+        hits = materialize(search_broadcast(queries.where(chunk == c).toArrow(), corpus, k, make_scorer), "chunk")
+        found = hits if found is None else found.unionByName(hits)
+    return found

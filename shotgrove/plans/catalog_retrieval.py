@@ -26,7 +26,7 @@ def knn_exact(spark, folder):
 
 @query("knn_exact_blocks", with_parts("v") + ",\n" + sql_knn(64) + "\nSELECT query_id, rank, doc_id, score FROM knn")
 def knn_exact_blocks(spark, folder):
-    """The way taken when there are too many queries to broadcast."""
+    """The way taken when there are too many queries to broadcast at once."""
     return knn.knn_exact(_queries(spark, folder), vectors(spark, folder), 64, max_broadcast_values=0)
 
 
@@ -68,7 +68,7 @@ def knn_ivf(spark, folder):
 
 @query("knn_ivf_blocks", _SQL_IVF)
 def knn_ivf_blocks(spark, folder):
-    """The way taken when there are too many queries to broadcast."""
+    """The way taken when there are too many queries to broadcast at once."""
     return knn.knn_ivf(_queries(spark, folder), vectors(spark, folder), label_means(spark, folder), 16, 3,
                        max_broadcast_values=0)
 

@@ -41,8 +41,7 @@ def data():
 @pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_exact(spark, data, metric, limit, monkeypatch):
-    monkeypatch.setattr(topk, "CORPUS_BLOCK_VALUES", 600)
-    monkeypatch.setattr(topk, "QUERY_BLOCK_VALUES", 60)
+    monkeypatch.setattr(topk.search_chunks, "__defaults__", (1, 200))
     queries, corpus = data
     got = knn.knn_exact(vectors(spark, queries, "query_id"), vectors(spark, corpus, "doc_id").repartition(5), 7,
                         metric, limit)
@@ -69,7 +68,7 @@ def test_bounds_change_nothing(spark, data):
     docs = vectors(spark, corpus, "doc_id").repartition(6)
 
     def scorer(t):
-        return knn.VectorScorer(t, "ip")
+        return knn.VectorScorer(t, "ip", 6)
 
     assert len(topk._lower_bounds(table, docs, 7, scorer, 4)) == len(queries)
     bounded = topk.search_broadcast(table, docs, 7, scorer, bound_from=0, bound_share=4)
@@ -89,8 +88,7 @@ def test_bounds_shorten_the_lists(data):
 @pytest.mark.parametrize("limit", [0, 10**6])
 @pytest.mark.parametrize("nprobe", [1, 3, 8])
 def test_inverted_file(spark, data, limit, nprobe, monkeypatch):
-    monkeypatch.setattr(topk, "CORPUS_BLOCK_VALUES", 600)
-    monkeypatch.setattr(topk, "QUERY_BLOCK_VALUES", 60)
+    monkeypatch.setattr(topk.search_chunks, "__defaults__", (1, 400))
     queries, corpus = data
     centers = np.random.default_rng(5).normal(size=(8, 6))
     centroids = spark.createDataFrame([(10 * i, [float(x) for x in c]) for i, c in enumerate(centers)],
@@ -115,6 +113,49 @@ def test_stored_index(spark, data, tmp_path):
     assert knn.recall(near, knn.knn_exact(queries, corpus, 5)).first()["recall"] >= 0.6
 
 
+def test_the_corpus_stays_where_it_lies(spark, data, monkeypatch):
+    """Chunks of queries: no exchange but that of the short lists."""
+    plans = []
+    write = topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df, name: (plans.append(
+        df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    monkeypatch.setattr(topk.search_chunks, "__defaults__", (1, 150))
+    queries, corpus = (vectors(spark, d, key) for d, key in zip(data, ("query_id", "doc_id")))
+    got = knn.knn_exact(queries, corpus, 5, max_broadcast_values=0)
+    assert found(got) == brute(*data, 5, "ip") and len(plans) >= 4
+    for plan in plans:
+        assert plan.count("Exchange") == 1 and "hashpartitioning(query_id" in plan and "CoGroup" not in plan
+
+
+def test_folders_of_other_cells_are_not_read(spark, data, tmp_path):
+    queries, corpus = (vectors(spark, d, key) for d, key in zip(data, ("query_id", "doc_id")))
+    knn.write_index(corpus, knn.kmeans_centroids(corpus, 6, seed=1), str(tmp_path / "ix"))
+    stored, centroids = knn.open_index(spark, str(tmp_path / "ix"))
+    one = topk.materialize(knn.nearest_cells(queries.where("query_id = 3"), knn.load_cells(centroids), 1), "one")
+    rows = knn.probed_rows(stored, one)
+    assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString().lower()
+    assert {r["cell"] for r in rows.select("cell").distinct().collect()} == {one.first()["cell"]}
+
+
+AWKWARD = [(0, [1.0, 2.0]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [1.0]), (5, [1.0, 2.0, 3.0]), (6, []),
+           (7, [0.5, 0.5]), (None, [9.0, 9.0]), (8, [float("inf"), 1.0])]
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_rows_without_a_vector(spark, tmp_path, limit):
+    """NULL, NaN, NULL inside, other lengths and rows without id: no neighbours, and nobody's, on every path."""
+    corpus = spark.createDataFrame(AWKWARD, "doc_id bigint, emb array<float>")
+    queries = spark.createDataFrame([(i, v) for i, v in AWKWARD if v is None or len(v) < 3], "query_id bigint, emb array<float>")
+    centroids = spark.createDataFrame([(0, [1.0, 1.0]), (1, [-1.0, -1.0])], "cell int, emb array<double>")
+    knn.write_index(corpus, centroids, str(tmp_path / "ix"))
+    for got in (knn.knn_exact(queries, corpus, 9, max_broadcast_values=limit),
+                knn.knn_ivf(queries, corpus, centroids, 9, 2, max_broadcast_values=limit),
+                knn.search_index(queries, str(tmp_path / "ix"), 9, 2, max_broadcast_values=limit)):
+        rows = {(r["query_id"], r["doc_id"]) for r in got.collect()}
+        assert {p for p in rows if 8 not in p} == {(0, 0), (0, 7), (7, 0), (7, 7)}
+        assert {i for p in rows for i in p} <= {0, 7, 8}
+
+
 def texts(spark, data, key):
     return spark.createDataFrame(list(enumerate(data)), f"{key} bigint, text string")
 
