@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
+import json
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -34,8 +37,17 @@ def batch_queries(queries: DataFrame, order: str, size: int = QUERY_BATCH) -> Da
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, method: str, **options) -> DataFrame:
-    """(query_id, rank, doc_id, score) by the chosen method: "dense" compares `emb`, "sparse" `text`."""
+    """(query_id, rank, doc_id, score) by the chosen method: "dense" compares vectors, "sparse" words.
+
+    Where `emb` is missing on either side, "dense" makes the vectors of both from `text`, by the given `encoder` or one
+    fitted on the corpus.
+    """
     if method == "dense":
+        encoder = options.pop("encoder", None)
+        if "emb" not in queries.columns or "emb" not in corpus.columns:
+            encoder = encoder or fit_encoder(corpus)
+            queries, corpus = (encode_texts(df.select(key, "text"), encoder)
+                               for df, key in ((queries, "query_id"), (corpus, "doc_id")))
         if "centroids" in options:
             return knn.knn_ivf(queries, corpus, **options)
         return knn.knn_exact(queries, corpus, **options)
@@ -80,6 +92,19 @@ def parse_hits(raw: DataFrame, column: str = "raw", field: str = "contents") ->
     return raw.withColumn("text", F.get_json_object(column, f"$.{field}"))
 
 
+def _plain(option) -> object:
+    """An option as something that tells settings apart in every session.
+
+    Centroids count by their values, which are as few as an index has cells. Other tables belong into the version.
+    """
+    if isinstance(option, HashedEncoder):
+        return ["encoder", hashlib.md5(np.array(option.weights).tobytes()).hexdigest()]
+    if isinstance(option, DataFrame):
+        cells = knn.load_cells(option)
+        return ["cells", hashlib.md5(cells.numbers.astype(np.int64).tobytes() + cells.centers.tobytes()).hexdigest()]
+    return option
+
+
 class NeighborCache:
     """Neighbours kept in a table, so that every query is searched once for each setting.
 
@@ -94,8 +119,8 @@ class NeighborCache:
         self.spark, self.path, self.version = spark, path, version
 
     def _setting(self, method: str, options: dict) -> str:
-        parts = pickle.dumps((method, self.version, sorted(options.items())))
-        return f"{method}-{hashlib.md5(parts).hexdigest()}"
+        parts = json.dumps([method, self.version, sorted((name, _plain(v)) for name, v in options.items())])
+        return f"{method}-{hashlib.md5(parts.encode()).hexdigest()}"
 
     def read(self) -> DataFrame:
         try:
@@ -129,16 +154,61 @@ class NeighborCache:
                 .join(queries.select("query_id"), "query_id", "left_semi"))
 
 
-def fit_encoder(texts: DataFrame, dim: int = 256) -> PipelineModel:
-    """A text encoder fitted on `texts (text)`: hashed words, inverse document frequency, unit length."""
-    return Pipeline(stages=[
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features"),
-    ]).fit(texts.select(X.words(F.col("text")).alias("_words")))
+@dataclass(frozen=True)
+class HashedEncoder:
+    """Hashed words, inverse document frequency, unit length: `weights` has one number for each dimension.
 
+    A word's dimension is the first eight hexadecimal digits of its md5, modulo the number of dimensions.
+    """
 
-def encode_texts(texts: DataFrame, encoder: PipelineModel) -> DataFrame:
-    """Add `emb`, the vector of `text`."""
-    encoded = encoder.transform(texts.withColumn("_words", X.words(F.col("text"))))
-    return encoded.select(*texts.columns, vector_to_array("features", "float32").alias("emb"))
+    weights: tuple[float, ...]
+
+
+def _dimension_counts(words: pa.ListArray, dim: int) -> np.ndarray:
+    """Words of each row by dimension."""
+    encoded = words.flatten().dictionary_encode()
+    place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in encoded.dictionary.to_pylist()],
+                     dtype=np.int64)
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    row = np.repeat(np.arange(len(words)), lengths)
+    return np.bincount(row * dim + place[encoded.indices.to_numpy()], minlength=len(words) * dim).reshape(-1, dim)
+
+
+def _in_parts(words: pa.ListArray, dim: int) -> Iterator[np.ndarray]:
+    """The same, some rows at a time, so that the counts of a batch stay small."""
+    step = max(1, 1_000_000 // dim)
+    for start in range(0, len(words), step):
+        yield _dimension_counts(words.slice(start, step), dim)
+
+
+def fit_encoder(texts: DataFrame, dim: int = 256) -> HashedEncoder:
+    """A text encoder fitted on `texts (text)` in one pass; one row for each dimension reaches the driver."""
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = np.zeros(dim, dtype=np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for counts in _in_parts(batch.column("words"), dim):
+                held += (counts > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(np.append(held, rows))], names=["dim", "n"])
+
+    counted = texts.select(X.words(F.col("text")).alias("words")).mapInArrow(frequencies, "dim long, n long")
+    n = dict(tuple(r) for r in counted.groupBy("dim").agg(F.sum("n")).collect())
+    return HashedEncoder(tuple(math.log((n.get(dim, 0) + 1) / (n.get(d, 0) + 1)) for d in range(dim)))
+
+
+def encode_texts(texts: DataFrame, encoder: HashedEncoder) -> DataFrame:
+    """Add `emb`, the vector of `text`, without a shuffle. A text without words, or NULL, has only zeros."""
+    weights = np.array(encoder.weights)
+    dim = len(weights)
+
+    @F.arrow_udf("array<double>")
+    def vectors(words: pa.Array) -> pa.Array:
+        parts = []
+        for counts in _in_parts(words, dim):
+            rows = counts * weights
+            length = np.linalg.norm(rows, axis=1, keepdims=True)
+            parts.append(np.divide(rows, length, out=np.zeros_like(rows), where=length > 0).ravel())
+        values = np.concatenate(parts) if parts else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, dim), pa.int32()), pa.array(values))
+
+    return texts.withColumn("emb", vectors(X.words(F.col("text"))))

@@ -88,12 +88,46 @@ def knn_ivf_kmeans(spark, folder):
     return knn.recall(found, knn.knn_exact(queries, corpus, 16))
 
 
-@query("encode_queries")
+DIM = 256
+
+# Vectors of all texts as (kind, id, dim, x), from the words alone.
+_SQL_ENCODED = f"""texts AS (
+    SELECT 'document' AS kind, doc_id AS id, text FROM documents
+    UNION ALL SELECT 'query' AS kind, item_id AS id, text FROM benchmark),
+hashed AS (SELECT kind, id, CAST('0x' || left(md5(w), 8) AS BIGINT) % {DIM} AS dim FROM (
+    SELECT kind, id, unnest({SQL_WORDS.format('text')}) AS w FROM texts)),
+counted AS (SELECT kind, id, dim, COUNT(*) AS n FROM hashed GROUP BY kind, id, dim),
+weights AS (SELECT dim, ln(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) AS weight
+            FROM counted WHERE kind = 'document' GROUP BY dim),
+weighted AS (SELECT c.kind, c.id, c.dim, c.n * COALESCE(w.weight, ln((SELECT COUNT(*) FROM documents) + 1)) AS x
+             FROM counted c LEFT JOIN weights w ON w.dim = c.dim),
+encoded AS (SELECT kind, id, dim, x / sqrt(SUM(x * x) OVER (PARTITION BY kind, id)) AS x FROM weighted WHERE x > 0)"""
+
+
+@query("encode_queries", f"""
+    WITH {_SQL_ENCODED}
+    SELECT kind, id, dim::INTEGER AS dim, round(x, 6) AS x FROM encoded""")
 def encode_queries(spark, folder):
-    """Each text's vector from an encoder fitted on the documents."""
+    """The vectors of all documents and queries, from an encoder fitted on the documents; without the zeros."""
     asked, corpus = _texts(spark, folder)
-    return neighbors.encode_texts(asked, neighbors.fit_encoder(corpus)).select(
-        "query_id", joined(F.transform("emb", lambda x: F.format_number(x, 4))).alias("emb"))
+    encoder = neighbors.fit_encoder(corpus, DIM)
+    both = (corpus.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+            .unionByName(asked.select(F.lit("query").alias("kind"), F.col("query_id").alias("id"), "text")))
+    rows = neighbors.encode_texts(both, encoder).select("kind", "id", F.posexplode("emb").alias("dim", "x"))
+    return rows.where(F.col("x") > 0).select("kind", "id", "dim", rounded(F.col("x")).alias("x"))
+
+
+@query("dense_text", f"""
+    WITH {_SQL_ENCODED},
+    scored AS (SELECT q.id AS query_id, d.id AS doc_id, round(SUM(q.x * d.x), 6) AS score
+               FROM encoded q JOIN encoded d ON d.dim = q.dim AND d.kind = 'document' WHERE q.kind = 'query'
+               GROUP BY q.id, d.id),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+    SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10""")
+def dense_text(spark, folder):
+    """Texts are encoded and searched in one plan."""
+    asked, corpus = _texts(spark, folder)
+    return neighbors.retrieve(asked, corpus, "dense", k=10)
 
 
 _SQL_INDEX = f"""words AS (SELECT doc_id, unnest({SQL_WORDS.format('text')}) AS term FROM documents),

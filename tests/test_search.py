@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -304,10 +305,40 @@ def test_batches(spark):
 
 
 def test_encoder_gives_unit_vectors(spark):
-    corpus = texts(spark, ["a b c", "a d", "e"], "doc_id")
-    rows = neighbors.encode_texts(corpus, neighbors.fit_encoder(corpus, 32)).collect()
-    assert {len(r["emb"]) for r in rows} == {32}
-    assert all(sum(x * x for x in r["emb"]) == pytest.approx(1, abs=1e-5) for r in rows)
+    corpus = texts(spark, ["a b c", "a d", "e", "A a, a"], "doc_id")
+    encoder = neighbors.fit_encoder(corpus, 32)
+    rows = {r["doc_id"]: r["emb"] for r in neighbors.encode_texts(corpus, encoder).collect()}
+    assert {len(v) for v in rows.values()} == {32}
+    assert all(sum(x * x for x in v) == pytest.approx(1) for v in rows.values())
+    place = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32 for w in "abcde"}
+    assert rows[3][place["a"]] == pytest.approx(1) and encoder.weights[place["e"]] == pytest.approx(math.log(5 / 2))
+    none = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
+    assert [set(r["emb"]) for r in neighbors.encode_texts(none, encoder).collect()] == [{0.0}, {0.0}]
+    assert neighbors.fit_encoder(none.limit(0), 4).weights == (0, 0, 0, 0)
+
+
+def test_dense_retrieval_of_texts(spark):
+    corpus = texts(spark, ["red apples grow", "blue sky above", "apples and pears", "", "sky"], "doc_id")
+    asked = texts(spark, ["apples", "the sky"], "query_id")
+    got = neighbors.retrieve(asked, corpus, "dense", k=2).collect()
+    assert {r["doc_id"] for r in got if r["query_id"] == 0} == {0, 2} and {
+        r["doc_id"] for r in got if r["query_id"] == 1} >= {4}
+    plan = neighbors.retrieve(asked, corpus, "dense", k=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # texts are neither written nor moved
+
+
+def test_cache_with_centroids(spark, data, tmp_path):
+    """Settings with tables and encoders are told apart by their values, also in another session's order."""
+    queries, corpus = (vectors(spark, d, key) for d, key in zip(data, ("query_id", "doc_id")))
+    cache = neighbors.NeighborCache(spark, str(tmp_path / "cache"))
+    rows = [(i, [float(i), 1.0, 0.0, 0.0, 0.0, -1.0]) for i in range(3)]
+    centroids = spark.createDataFrame(rows, "cell int, emb array<double>")
+    again = spark.createDataFrame(rows[::-1], "cell int, emb array<double>")
+    first = found(cache.fetch(queries, corpus, "dense", k=3, centroids=centroids, nprobe=3))
+    assert first == brute(*data, 3, "ip")
+    assert cache.missing(queries, "dense", k=3, centroids=again, nprobe=3).count() == 0
+    assert cache.missing(queries, "dense", k=3, centroids=again, nprobe=2).count() == 40
+    assert cache.missing(queries, "dense", k=3, centroids=again.where("cell > 0"), nprobe=3).count() == 40
 
 
 def test_hits_as_json(spark):
