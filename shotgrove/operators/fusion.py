@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotgrove.operators.neighbors import batch_queries
 from shotgrove.operators.scoring import class_scores, log_softmax
 from shotgrove.operators.topk import small_table
+from shotgrove.session import materialize
+from shotgrove.tasks import QUERY_BATCH
 
 # Strategy names, clamp of the order parameters, temperature.
 STRATEGIES = ("add_cls", "mask_add_cls", "ordered_mask_add_cls",
@@ -238,3 +241,67 @@ def search_strategy(base: DataFrame, neighbors: DataFrame, candidates: list[str]
     # One row per candidate.
     first = F.row_number().over(Window.partitionBy().orderBy("loss", "candidate")) == 1
     return losses.withColumn("chosen", first.cast("int"))
+
+
+def _own_losses(centers: dict[str, np.ndarray], classes: list[int]) -> Callable[..., Column]:
+    """-log p of the right class, each row against its own candidate's class vectors; NULL for a class without any."""
+    place = {c: i for i, c in enumerate(classes)}
+
+    @F.arrow_udf("double")
+    def loss(candidate: pa.Array, gold: pa.Array, emb: pa.Array) -> pa.Array:
+        names = np.array(candidate.to_pylist(), dtype=object)
+        right = np.array([place.get(g, -1) for g in gold.to_pylist()], dtype=np.int64)
+        vectors = _dense(emb) if len(emb) else np.zeros((0, 1))
+        out = np.full(len(names), np.nan)
+        for name in set(names):
+            rows = np.flatnonzero((names == name) & (right >= 0))
+            z = vectors[rows] @ centers[name].T
+            z -= z.max(axis=1, keepdims=True, initial=-np.inf)
+            out[rows] = np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(rows)), right[rows]]
+        return pa.array(out, mask=np.isnan(out))
+
+    return loss
+
+
+def search_on_dev(base: DataFrame, neighbors: DataFrame, candidates: list[str], splits: DataFrame,
+                  p: FusionParameters = FusionParameters(), rate: float = 1.0, batch: int = QUERY_BATCH) -> DataFrame:
+    """(candidate, n_train, train_loss, n_dev, dev_loss, share, chosen): strategies weighed by dev batches.
+
+    `base (guid, gold, emb)` has the vectors, `splits (guid, split)` the train and dev draws of one seed; guids are
+    unique. Below, the fused train draws of each strategy give its own class means. Above, shares start equal, and every
+    dev batch multiplies them by exp(-rate x mean loss of the batch); in the end the largest share is chosen, by name on
+    ties. Dev rows of a class without train draws have no loss and do not count. Reads the drawn rows only.
+    """
+    drawn = materialize(base.join(splits.select("guid", "split"), "guid"), "drawn")
+    near = neighbors.join(drawn.select("guid"), "guid", "left_semi")
+    fused = materialize(fuse_each(drawn, near, candidates, p), "fused")
+    means = (fused.where(F.col("split") == "train").select("candidate", "gold", F.posexplode("emb").alias("dim", "x"))
+             .groupBy("candidate", "gold", "dim").agg(F.avg("x").alias("x")))
+    rows = _parameter_rows(means, ["candidate", "gold", "dim"]).to_pandas()  # candidates x classes x dimensions
+    classes = sorted(rows["gold"].unique().tolist())
+    centers = {name: part["x"].to_numpy().reshape(len(classes), -1) for name, part in rows.groupby("candidate")}
+    if not centers:
+        return base.sparkSession.createDataFrame([], _SEARCHED)
+    judged = fused.select("candidate", "guid", "split", _own_losses(centers, classes)("candidate", "gold", "emb").alias("loss"))
+    judged = materialize(judged, "losses").where(F.col("loss").isNotNull())
+    dev = judged.where((F.col("split") == "dev") & (F.col("candidate") == candidates[0])).select("guid")
+    steps = judged.join(batch_queries(dev, "guid", batch).select("guid", "batch_id"), "guid").groupBy(
+        "candidate", "batch_id").agg(F.avg("loss").alias("loss"))
+    moved = steps.groupBy("candidate").agg((-rate * F.sum("loss")).alias("_log"))
+
+    def of(split: str, value: Column) -> Column:
+        return F.when(F.col("split") == split, value)
+
+    totals = judged.groupBy("candidate").agg(
+        F.count(of("train", F.col("loss"))).alias("n_train"), F.avg(of("train", F.col("loss"))).alias("train_loss"),
+        F.count(of("dev", F.col("loss"))).alias("n_dev"), F.avg(of("dev", F.col("loss"))).alias("dev_loss"))
+    # One row per candidate from here on.
+    whole = Window.partitionBy()
+    weight = F.exp(F.coalesce("_log", F.lit(0.0)) - F.max(F.coalesce("_log", F.lit(0.0))).over(whole))
+    shared = totals.join(moved, "candidate", "left").withColumn("_weight", weight).withColumn(
+        "share", F.col("_weight") / F.sum("_weight").over(whole))
+    first = F.row_number().over(whole.orderBy(F.desc("share"), "candidate")) == 1
+    return shared.select("candidate", "n_train", "train_loss", "n_dev", "dev_loss", "share", first.cast("int").alias("chosen"))
+
+
+_SEARCHED = ("candidate string, n_train long, train_loss double, n_dev long, dev_loss double, share double, chosen int")

@@ -175,19 +175,36 @@ _CANDIDATES = ["identity", "mask_add_cls", "ordered_mask_add_cls"]
         FROM parts b JOIN pool_mask_add_cls p ON p.guid = b.vec_id AND p.dim = b.dim
         UNION ALL SELECT 'ordered_mask_add_cls', b.vec_id, b.dim, b.x + p.x
         FROM parts b JOIN pool_ordered_mask_add_cls p ON p.guid = b.vec_id AND p.dim = b.dim),
-    logits AS (SELECT f.candidate, f.guid, m.label, SUM(f.x * m.x) AS z
-               FROM fused f JOIN means m ON m.dim = f.dim GROUP BY f.candidate, f.guid, m.label),
+    draws AS (SELECT vec_id AS guid, label AS gold, row_number() OVER (
+        PARTITION BY label ORDER BY md5('13:vectors:' || vec_id), vec_id) AS draw FROM v),
+    drawn AS (SELECT guid, gold, CASE WHEN draw <= 16 THEN 'train' ELSE 'dev' END AS split FROM draws WHERE draw <= 32),
+    own AS (SELECT f.candidate, d.gold AS label, f.dim, AVG(f.x) AS x
+            FROM fused f JOIN drawn d ON d.guid = f.guid AND d.split = 'train' GROUP BY f.candidate, d.gold, f.dim),
+    logits AS (SELECT f.candidate, f.guid, m.label, SUM(f.x * m.x) AS z FROM fused f JOIN drawn d ON d.guid = f.guid
+               JOIN own m ON m.candidate = f.candidate AND m.dim = f.dim GROUP BY f.candidate, f.guid, m.label),
     logp AS (SELECT *, z - ln(SUM(exp(z)) OVER (PARTITION BY candidate, guid)) AS lp FROM logits),
-    losses AS (SELECT candidate, COUNT(*) AS n, round(AVG(-lp), 6) AS loss
-               FROM logp JOIN v ON v.vec_id = logp.guid AND v.label = logp.label GROUP BY candidate)
-    SELECT candidate, n, loss, (row_number() OVER (ORDER BY loss, candidate) = 1)::INTEGER AS chosen FROM losses""")
+    judged AS (SELECT l.candidate, d.split, l.guid, -l.lp AS loss
+               FROM logp l JOIN drawn d ON d.guid = l.guid AND d.gold = l.label),
+    batches AS (SELECT guid, floor((row_number() OVER (ORDER BY guid) - 1) / 32) AS batch FROM drawn WHERE split = 'dev'),
+    steps AS (SELECT j.candidate, b.batch, AVG(j.loss) AS loss FROM judged j JOIN batches b ON b.guid = j.guid
+              GROUP BY j.candidate, b.batch),
+    moved AS (SELECT candidate, exp(-SUM(loss)) AS weight FROM steps GROUP BY candidate),
+    totals AS (SELECT candidate, COUNT(*) FILTER (split = 'train') AS n_train, AVG(loss) FILTER (split = 'train') AS train_loss,
+                      COUNT(*) FILTER (split = 'dev') AS n_dev, AVG(loss) FILTER (split = 'dev') AS dev_loss
+               FROM judged GROUP BY candidate)
+    SELECT t.candidate, t.n_train, round(t.train_loss, 6) AS train_loss, t.n_dev, round(t.dev_loss, 6) AS dev_loss,
+           round(m.weight / SUM(m.weight) OVER (), 6) AS share,
+           (row_number() OVER (ORDER BY m.weight DESC, t.candidate) = 1)::INTEGER AS chosen
+    FROM totals t JOIN moved m ON m.candidate = t.candidate""")
 def search_fusion(spark, folder):
-    """The strategy with the least loss on the labelled vectors."""
+    """Class means from fused train draws, shares of the strategies from batches of dev draws."""
     base = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("guid"), F.col("label").alias("gold"), F.col("embedding").alias("emb"))
-    losses = U.search_strategy(base, _neighbors(spark, folder), _CANDIDATES, label_means(spark, folder),
-                               _parameters(spark, folder))
-    return losses.select("candidate", "n", rounded("loss").alias("loss"), "chosen")
+    splits = sampling.draw_splits(base.select(F.lit("vectors").alias("task"), "guid", F.col("gold").cast("string").alias(
+        "label")), 16, (13,))
+    losses = U.search_on_dev(base, _neighbors(spark, folder), _CANDIDATES, splits, _parameters(spark, folder))
+    return losses.select("candidate", "n_train", rounded("train_loss").alias("train_loss"), "n_dev",
+                         rounded("dev_loss").alias("dev_loss"), rounded("share").alias("share"), "chosen")
 
 
 def vector_scores(spark, folder):

@@ -130,3 +130,33 @@ def test_search_takes_the_least_loss(spark, frames, data, parameters):
         losses[n] = np.mean([np.log(np.exp(line).sum()) - line[g] for line, g in zip(z, gold)])
         assert got[n]["loss"] == pytest.approx(losses[n]) and got[n]["n"] == 4
     assert [n for n in names if got[n]["chosen"]] == [min(losses, key=losses.get)]
+
+
+def test_search_on_dev(spark, frames, data, parameters):
+    """Means of the fused train rows, losses of both splits, and shares moved batch by batch."""
+    base, near = data
+    gold, split = [0, 1, 0, 1], ["train", "train", "dev", "dev"]
+    guids = [r["guid"] for r in frames[0].orderBy("guid").collect()]
+    rows = spark.createDataFrame(list(zip(guids, gold, split)), "guid string, gold int, split string")
+    labelled = frames[0].join(rows.drop("split"), "guid")
+    names = ["identity", "add_cls", "ordered_mask_add_cls"]
+    got = {r["candidate"]: r for r in U.search_on_dev(
+        labelled, frames[1], names, rows.select("guid", "split"), parameters, rate=0.7, batch=1).collect()}
+    weight = {}
+    for n in names:
+        x = base + (0 if n == "identity" else pooled(near, n))
+        z = x @ x[:2].T  # one train row for each class
+        loss = [np.log(np.exp(line).sum()) - line[g] for line, g in zip(z, gold)]
+        assert got[n]["train_loss"] == pytest.approx(np.mean(loss[:2])) and got[n]["n_train"] == 2
+        assert got[n]["dev_loss"] == pytest.approx(np.mean(loss[2:])) and got[n]["n_dev"] == 2
+        share = 1.0
+        for step in loss[2:]:
+            share *= np.exp(-0.7 * step)
+        weight[n] = share
+    assert all(got[n]["share"] == pytest.approx(weight[n] / sum(weight.values())) for n in names)
+    assert [n for n in names if got[n]["chosen"]] == [max(weight, key=weight.get)]
+    other = rows.withColumn("gold", F.when(F.col("split") == "dev", 9).otherwise(F.col("gold")))
+    none = U.search_on_dev(frames[0].join(other.drop("split"), "guid"), frames[1], names, other.select("guid", "split"),
+                           parameters).collect()
+    assert all(r["n_dev"] == 0 and r["dev_loss"] is None and r["share"] == pytest.approx(1 / 3) for r in none)
+    assert U.search_on_dev(labelled, frames[1], names, rows.where("guid IS NULL").select("guid", "split")).count() == 0
