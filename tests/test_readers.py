@@ -78,6 +78,32 @@ def test_trailing_empty_field_counts_for_readers_but_not_for_sampling(spark):
     assert rows(one, L.raw_line_label("mrpc", F.lit(" 1\ta"))) == [("1",)]
 
 
+@pytest.mark.parametrize("size", ["64", "700", "100000"])
+def test_texts_with_line_breaks_are_read_by_many_tasks(spark, tmp_path, size):
+    """The same rows as one task that reads the whole file; records cross the ends of blocks, one of them several."""
+    texts = [f"text {i} " + ("line\nbreak, \"\"quoted\"\"\r\n\n" * (i % 4)) + "x" * (i % 50) for i in range(400)]
+    texts[200] = "first\n" + "many more lines\n" * 60 + "last"
+    body = "".join(f'{i % 3},"{t}"\r\n' if i % 7 else f"{i % 3},plain {i}\n" for i, t in enumerate(texts)) + "\n1,end"
+    write(tmp_path / "a.csv", body)
+    write(tmp_path / "b.csv", '2,"a second file"\n\n0,\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = files.read_csv_rows(spark, str(tmp_path))
+        got = sorted(rows(read, "line_no", "label", "text"))
+        lines = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert lines > 20 or size == "100000"
+    whole = []
+    for name in ("a", "b"):
+        one = spark.read.schema("label string, text string").options(quote='"', escape='"', multiLine=True).csv(
+            str(tmp_path / f"{name}.csv"))
+        whole += [tuple(r) for r in one.collect()]
+    assert got == [(i, *r) for i, r in enumerate(whole)] and len(got) == 403
+
+
 def test_quoted_csv(spark, tmp_path):
     write(tmp_path / "test.csv", '0,plain\n1,"comma, and ""quotes"""\n0,NA\n1,\n0,"two\nlines"\n')
     read = files.read_task(spark, str(tmp_path), "mr", "test").orderBy("guid")
