@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from shotgrove.operators.numbering import row_numbers
 from shotgrove.session import materialize
 from shotgrove.tasks import SPECIAL_TOKENS, UNK
 
-# Rows of the vocabulary head that is broadcast; ids follow frequency, so it holds every common token.
-HEAD_ROWS = 50_000
+# Rows of the vocabulary head that is broadcast (200 bytes each in a task); ids follow frequency, so it holds every
+# common token.
+HEAD_ROWS = 200_000
 
 
 def build_vocab(token_rows: DataFrame, column: str = "token") -> DataFrame:
@@ -24,57 +29,61 @@ def build_vocab(token_rows: DataFrame, column: str = "token") -> DataFrame:
         "token", "n", (F.col("_number") + (len(SPECIAL_TOKENS) - 1)).alias("token_id")))
 
 
-def _look_up(rows: DataFrame, vocab: DataFrame, key: str, value: str, head_rows: int) -> DataFrame:
-    """Add `value` of `vocab` for `key`.
-
-    Common entries come from a broadcast of at most `head_rows` rows. Only what they leave open takes part
-    in the shuffle join, so no hot token meets one task. Resolved rows get a spread-out key there.
-    """
-    head = F.broadcast(vocab.where(F.col("token_id") < head_rows)
-                       .select(F.col(key), F.col(value).alias("_head")))
-    first = rows.join(head, key, "left")
-    tail = vocab.where(F.col("token_id") >= head_rows)
-    if tail.isEmpty():
-        return first.withColumnRenamed("_head", value)
-    filler = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))
-    if key == "token":
-        open_key = F.when(F.col("_head").isNull(), F.col(key)).otherwise(
-            F.concat(F.lit("\u0000"), filler.cast("string")))
-    else:
-        open_key = F.when(F.col("_head").isNull(), F.col(key)).otherwise(-1 - filler)
-    second = tail.select(F.col(key).alias("_open"), F.col(value).alias("_tail"))
-    return (first.withColumn("_open", open_key).join(second, "_open", "left")
-            .select(*rows.columns, F.coalesce("_head", "_tail").alias(value)))
-
-
 def stored_vocab(vocab: DataFrame) -> DataFrame:
     """Write the vocabulary once; it is read several times below."""
     return materialize(vocab, "vocab")
 
 
+def _looked_up(rows: DataFrame, items: str, vocab: DataFrame, key: str, value: str, head_rows: int) -> DataFrame:
+    """`rows` with the list `_found`: `value` of `vocab` for each of `items`, NULL where there is none.
+
+    Common entries are looked up row by row in a broadcast of `head_rows` entries at most, so lists are neither
+    taken apart nor moved. Only items that the head leaves open are, and only where the vocabulary is larger.
+    """
+    spark = rows.sparkSession
+    kind = vocab.schema[value].dataType
+    out = pa.int64() if isinstance(kind, LongType) else pa.string()
+    head = vocab.where(F.col("token_id") < head_rows).select(key, value).toArrow()
+    shared = spark.sparkContext.broadcast(dict(zip(head[key].to_pylist(), head[value].to_pylist())))
+
+    @F.arrow_udf(ArrayType(kind))
+    def look_up(lists: pa.Array) -> pa.Array:
+        encoded = lists.flatten().dictionary_encode()
+        values = pa.array([shared.value.get(v) for v in encoded.dictionary.to_pylist()], out)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(encoded.indices))
+
+    found = rows.withColumn("_found", look_up(F.col(items)))
+    tail = vocab.where(F.col("token_id") >= head_rows).select(F.col(key).alias("_item"), F.col(value).alias("_tail"))
+    if tail.isEmpty():
+        return found
+    stored = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "looked-up")
+    open_ = stored.where(F.exists("_found", lambda v: v.isNull())).select("_row", F.explode(F.filter(
+        F.transform(F.arrays_zip(F.col(items).alias("item"), F.col("_found").alias("found")), lambda x, i: F.struct(
+            i.alias("pos"), x["item"].alias("item"), x["found"].isNull().alias("open"))), lambda x: x["open"])).alias("o"))
+    late = open_.select("_row", "o.pos", F.col("o.item").alias("_item")).join(tail, "_item").groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "_tail"))).alias("_late"))  # items of one row
+    whole = stored.join(late, "_row", "left").withColumn("_found", F.transform(
+        "_found", lambda v, i: F.coalesce(v, F.try_element_at("_late", i))))
+    return whole.drop("_row", "_late")
+
+
 def encode_ids(features: DataFrame, vocab: DataFrame, key: str = "guid", tokens: str = "tokens",
                head_rows: int = HEAD_ROWS) -> DataFrame:
     """(key, ids): token ids in token order; unknown tokens get the id of the unknown token, no tokens an empty list."""
-    rows = features.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
     unknown = F.lit(SPECIAL_TOKENS.index(UNK)).cast("bigint")
-    found = _look_up(rows, vocab, "token", "token_id", head_rows)
-    return _in_order(found.withColumn("token_id", F.coalesce("token_id", unknown)), key, F.col("token_id"), "ids")
+    found = _looked_up(features.select(key, tokens), tokens, vocab, "token", "token_id", head_rows)
+    ids = F.transform(F.coalesce("_found", F.array().cast("array<bigint>")), lambda v: F.coalesce(v, unknown))
+    return found.select(key, ids.alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame, key: str = "guid", ids: str = "ids",
                head_rows: int = HEAD_ROWS) -> DataFrame:
-    """(key, text): tokens of the ids, joined by a space."""
-    rows = encoded.select(key, F.posexplode_outer(ids).alias("pos", "token_id"))
-    found = _look_up(rows, vocab, "token_id", "token", head_rows)
-    ordered = _in_order(found, key, F.col("token"), "tokens")
-    return ordered.select(key, F.array_join("tokens", " ").alias("text"))
-
-
-def _in_order(rows: DataFrame, key: str, value: Column, out: str) -> DataFrame:
-    """Back to one row per key; a group is the tokens of one input row, a row without a position an empty one."""
-    placed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v"))))
-    gathered = rows.groupBy(key).agg(F.array_sort(placed).alias("_g"))
-    return gathered.select(key, F.transform("_g", lambda x: x["v"]).alias(out))
+    """(key, text): tokens of the ids, joined by a space; an id that is none adds nothing, no ids give an empty text."""
+    rows = encoded.select(key, F.col(ids).cast("array<bigint>").alias(ids))
+    found = _looked_up(rows, ids, vocab, "token_id", "token", head_rows)
+    return found.select(key, F.array_join(F.coalesce("_found", F.array().cast("array<string>")), " ").alias("text"))
 
 
 def span_query(sequences: DataFrame, begin: Column, end: Column, tokens: str = "tokens") -> DataFrame:
