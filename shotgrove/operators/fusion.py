@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotgrove.operators.neighbors import batch_queries
-from shotgrove.operators.scoring import class_scores, log_softmax
+from shotgrove.operators.scoring import log_softmax_lists, score_lists
 from shotgrove.operators.topk import small_table
 from shotgrove.session import materialize
 from shotgrove.tasks import QUERY_BATCH
@@ -235,7 +235,7 @@ def search_strategy(base: DataFrame, neighbors: DataFrame, candidates: list[str]
     All candidates share one pass; the one with the least loss is chosen, by name on ties.
     """
     fused = fuse_each(base, neighbors, candidates, p)
-    logp = log_softmax(class_scores(fused, centroids), ["candidate", "guid"])
+    logp = log_softmax_lists(score_lists(fused, centroids)).select("candidate", "gold", F.inline("scores"))
     losses = logp.where(F.col("label_id") == F.col("gold")).groupBy("candidate").agg(
         F.count(F.lit(1)).alias("n"), F.avg(-F.col("logp")).alias("loss"))
     # One row per candidate.

@@ -22,18 +22,30 @@ from shotgrove.session import materialize
 from shotgrove.tasks import QUERY_BATCH, TOP_K
 
 
+def _numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Add `out`, the place of each row from 0 by unique `keys`.
+
+    Only the keys are written and sorted; the places are joined back, so wide rows are neither written nor sorted.
+    NULL is a value like any other.
+    """
+    places = row_numbers(rows.select(*keys), [F.col(k) for k in keys], "_n").select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], (F.col("_n") - 1).alias(out))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return rows.join(places, same).select(*rows.columns, out)
+
+
 def number_queries(sentences: DataFrame) -> DataFrame:
-    """Add `query_id` to sentence rows (guid, sent_id, ...)."""
-    return (row_numbers(sentences, [F.col("guid"), F.col("sent_id")], "_n")
-            .withColumn("query_id", F.col("_n") - 1).drop("_n"))
+    """Add `query_id` to sentence rows (guid, sent_id, ...), which these two columns tell apart."""
+    return _numbered(sentences, ["guid", "sent_id"], "query_id")
 
 
 def batch_queries(queries: DataFrame, order: str, size: int = QUERY_BATCH) -> DataFrame:
     """Add `batch_id` and `pos`: consecutive batches of `size` rows in `order`, which has to be unique."""
-    numbered = row_numbers(queries, [F.col(order)], "_n")
-    return numbered.select(
-        *queries.columns, F.floor((F.col("_n") - 1) / size).cast("bigint").alias("batch_id"),
-        ((F.col("_n") - 1) % size).cast("int").alias("pos"))
+    numbered = _numbered(queries, [order], "_place")
+    return numbered.select(*queries.columns, F.floor(F.col("_place") / size).cast("bigint").alias("batch_id"),
+                           (F.col("_place") % size).cast("int").alias("pos"))
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, method: str, **options) -> DataFrame:

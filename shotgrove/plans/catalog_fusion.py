@@ -208,8 +208,12 @@ def search_fusion(spark, folder):
 
 
 def vector_scores(spark, folder):
-    """Inner products of every vector with the class means."""
-    return C.class_scores(_base(spark, folder), label_means(spark, folder))
+    """Inner products of every vector with the class means, as lists."""
+    return C.score_lists(_base(spark, folder), label_means(spark, folder))
+
+
+def _log_softmax(spark, folder):
+    return C.log_softmax_lists(vector_scores(spark, folder)).select("guid", F.inline("scores"))
 
 
 SQL_SCORES = SQL_MEANS + """,
@@ -221,7 +225,8 @@ logp AS (SELECT *, logit - ln(SUM(exp(logit)) OVER (PARTITION BY guid)) AS logp
 @query("class_scores", with_parts("v") + ",\n" + SQL_SCORES + """
     SELECT guid, label_id, round(logit, 6) + 0.0 AS logit FROM scores""")
 def class_scores(spark, folder):
-    return vector_scores(spark, folder).select("guid", "label_id", rounded("logit").alias("logit"))
+    scores = C.class_scores(_base(spark, folder), label_means(spark, folder))
+    return scores.select("guid", "label_id", rounded("logit").alias("logit"))
 
 
 @query("label_word_scores", f"""
@@ -246,21 +251,21 @@ def label_word_scores(spark, folder):
 @query("log_softmax", with_parts("v") + ",\n" + SQL_SCORES + """
     SELECT guid, label_id, round(logp, 6) AS logp FROM logp""")
 def log_softmax(spark, folder):
-    return C.log_softmax(vector_scores(spark, folder)).select("guid", "label_id", rounded("logp").alias("logp"))
+    return _log_softmax(spark, folder).select("guid", "label_id", rounded("logp").alias("logp"))
 
 
 @query("argmax_predict", with_parts("v") + ",\n" + SQL_SCORES + """
     SELECT guid, label_id AS pred FROM (
         SELECT *, row_number() OVER (PARTITION BY guid ORDER BY logit DESC, label_id) AS n FROM scores) WHERE n = 1""")
 def argmax_predict(spark, folder):
-    return C.argmax_predict(vector_scores(spark, folder))
+    return C.argmax_lists(vector_scores(spark, folder))
 
 
 @query("cross_entropy", with_parts("v") + ",\n" + SQL_SCORES + """
     SELECT COUNT(*) AS n, round(AVG(-logp), 6) AS loss FROM logp JOIN v ON v.vec_id = logp.guid AND v.label = logp.label_id""")
 def cross_entropy(spark, folder):
     gold = table(spark, folder, "embeddings").select(F.col("vec_id").alias("guid"), F.col("label").alias("label_id"))
-    return C.cross_entropy(C.log_softmax(vector_scores(spark, folder)), gold).select("n", rounded("loss").alias("loss"))
+    return C.cross_entropy(_log_softmax(spark, folder), gold).select("n", rounded("loss").alias("loss"))
 
 
 @query("kl_regression", """

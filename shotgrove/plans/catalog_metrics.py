@@ -159,7 +159,7 @@ def best_of_dev(spark, folder):
 def class_accuracy(spark, folder):
     """Accuracy of the nearest class mean, by class."""
     gold = table(spark, folder, "embeddings").select(F.col("vec_id").alias("guid"), "label")
-    preds = C.argmax_predict(vector_scores(spark, folder)).join(gold, "guid").withColumn("class", F.col("label"))
+    preds = C.argmax_lists(vector_scores(spark, folder)).join(gold, "guid").withColumn("class", F.col("label"))
     return V.accuracy(preds, ["class"]).select(F.col("class").alias("label"), "n", rounded("acc").alias("acc"))
 
 
