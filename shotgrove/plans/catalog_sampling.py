@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from shotgrove.operators import sampling as S
 from shotgrove.operators.numbering import row_numbers
-from shotgrove.plans.inputs import language_examples, priority_examples, quality_examples, with_parts
+from shotgrove.plans.inputs import labelled, language_examples, priority_examples, quality_examples, with_parts
 from shotgrove.plans.registry import query
+from shotgrove.session import new_table_path
+from shotgrove.sinks.builder import build_splits
+from shotgrove.sinks.splits import write_lines, write_split_csv
 
 _GRID = "(VALUES (13), (21), (42), (87), (100)) AS s(seed)"
 _RANKED = """ranked AS (
@@ -96,3 +99,52 @@ def split_leakage_check(spark, folder):
         return rows.agg(F.count(F.lit(1)).alias("n_leaked")).select(F.lit(mode).alias("mode"), "n_leaked")
 
     return counted(shots, "k-shot").unionByName(counted(full, "full-set"))
+
+
+def _one_line(text):
+    return F.translate(F.coalesce(text, F.lit("")), "\t\n\r", "   ")
+
+
+def _write_task_files(spark, folder, root):
+    """Documents as files of a tsv and a csv task: those that are not toxic to train on, the toxic ones beside them."""
+    rows = labelled(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic",
+                                          F.col("quality").cast("string").alias("label"))
+    header = spark.createDataFrame([("sentence\tlabel", -1)], "value string, line_no bigint")
+    for toxic, tsv, csv in ((0, "train", "train"), (1, "dev", "test")):
+        part = rows.where(F.col("toxic") == toxic)
+        lines = part.select(F.concat_ws("\t", _one_line(F.col("text")), "label").alias("value"), F.col("doc_id").alias("line_no"))
+        write_lines(header.unionByName(lines), f"{root}/sst-2/{tsv}.tsv")
+        # All under one class, so that the records are in order of their ids.
+        write_split_csv(part.select(F.col("label").alias("own"), "text", F.col("doc_id").alias("draw"), F.lit(0).alias("label")),
+                        f"{root}/cr", csv, "own")
+
+
+@query("kshot_files", f"""
+    WITH read AS (
+        SELECT l.toxic, CAST(l.quality AS VARCHAR) AS label, coalesce(d.text, '') AS raw,
+               translate(coalesce(d.text, ''), chr(9) || chr(10) || chr(13), '   ') AS line,
+               row_number() OVER (PARTITION BY l.toxic ORDER BY d.doc_id) AS n
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    sources AS (SELECT 'sst-2' AS task, toxic, CAST(n AS VARCHAR) AS guid, label, line AS text FROM read
+                UNION ALL SELECT 'cr', toxic, CAST(n - 1 AS VARCHAR), label, raw FROM read),
+    drawable AS (SELECT * FROM sources WHERE toxic = 0),
+    {_RANKED.format("drawable")}
+    SELECT r.task, r.seed, CASE WHEN r.draw <= 16 THEN 'train' ELSE 'dev' END AS file, r.label, d.text
+    FROM ranked r JOIN drawable d ON d.task = r.task AND d.guid = r.guid WHERE r.draw <= 32
+    UNION ALL SELECT e.task, s.seed, 'test' AS file, e.label, e.text FROM sources e CROSS JOIN {_GRID} WHERE e.toxic = 1
+    UNION ALL SELECT 'sst-2' AS task, s.seed, unnest(['train', 'dev', 'test']) AS file, 'label' AS label, 'sentence' AS text
+    FROM {_GRID}""")
+def kshot_files(spark, folder):
+    """Task files, split folders from them, and all lines of these read back, headers too."""
+    root = new_table_path(spark, "tasks")
+    _write_task_files(spark, folder, root)
+    out = new_table_path(spark, "kshot")
+    build_splits(spark, root, out, ("sst-2", "cr"))
+    lines = spark.read.text(f"{out}/k-shot/sst-2/*/*.tsv").select(
+        F.col("_metadata.file_path").alias("path"), F.lit("sst-2").alias("task"), F.split("value", "\t").alias("f"))
+    records = spark.read.schema("label string, text string").options(quote='"', escape='"', multiLine=True).csv(
+        f"{out}/k-shot/cr/*/*.csv").select(F.col("_metadata.file_path").alias("path"), F.lit("cr").alias("task"), "label", "text")
+    every = lines.select("path", "task", F.get("f", F.lit(1)).alias("label"), F.get("f", F.lit(0)).alias("text")).unionByName(records)
+    place = "/16-([0-9]+)/([a-z]+)[.]"
+    return every.select("task", F.regexp_extract("path", place, 1).cast("int").alias("seed"),
+                        F.regexp_extract("path", place, 2).alias("file"), "label", F.coalesce("text", F.lit("")).alias("text"))

@@ -9,6 +9,10 @@ from shotgrove.operators.numbering import row_numbers
 from shotgrove.tasks import task as lookup
 
 
+# How records are written: quotes are doubled inside quotes, blanks are kept.
+CSV_WRITTEN = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def setting_folder(root: str, mode: str, task: str, k: int, seed: int) -> str:
     return f"{root.rstrip('/')}/{mode}/{task}/{k}-{seed}"
 
@@ -46,12 +50,11 @@ def write_split_tsv(drawn: DataFrame, folder: str, task: str, split: str, header
     return path
 
 
-def write_split_csv(drawn: DataFrame, folder: str, split: str) -> str:
-    """Write one drawn split `(label, text, draw)` as csv in class order; returns the path."""
+def write_split_csv(drawn: DataFrame, folder: str, split: str, shown: str = "label") -> str:
+    """Write one drawn split `(label, text, draw)` as csv in class order, with the label in `shown`; returns the path."""
     path = f"{folder}/{split}.csv"
-    (drawn.repartitionByRange("label", "draw").sortWithinPartitions("label", "draw").select("label", "text")
-     .write.mode("overwrite").options(quote='"', escape='"', header=False, ignoreLeadingWhiteSpace=False,
-                                      ignoreTrailingWhiteSpace=False).csv(path))
+    (drawn.repartitionByRange("label", "draw").sortWithinPartitions("label", "draw").select(shown, "text")
+     .write.mode("overwrite").options(header=False, **CSV_WRITTEN).csv(path))
     return path
 
 
