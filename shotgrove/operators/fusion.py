@@ -39,6 +39,25 @@ class FusionParameters:
     projection: np.ndarray | None = None
 
 
+@dataclass(frozen=True)
+class LinearMap:
+    """weight x + bias; `weight` from in to out."""
+
+    weight: np.ndarray
+    bias: np.ndarray | None = None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        y = x @ self.weight.T
+        return y if self.bias is None else y + self.bias
+
+
+def _mixed_map(shares: dict[str, float], maps: dict[str, LinearMap]) -> LinearMap:
+    """A sum of linear maps is one linear map."""
+    weight = sum(share * maps[name].weight for name, share in shares.items())
+    biases = [share * maps[name].bias for name, share in shares.items() if maps[name].bias is not None]
+    return LinearMap(weight, sum(biases) if biases else None)
+
+
 def _parameter_rows(table: DataFrame, order: list[str]) -> pa.Table:
     rows = small_table(table, MAX_PARAMETERS)
     if rows is None:
@@ -135,8 +154,9 @@ def _run_once(rows: Callable[..., pa.Array]) -> Callable[..., Column]:
     return F.arrow_udf(rows, "array<double>").asNondeterministic()
 
 
-def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | None) -> Column:
+def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | LinearMap | None) -> Column:
     """Column of fused vectors. A name that ends in `_x` fuses before the linear map."""
+    linear = LinearMap(linear) if isinstance(linear, np.ndarray) else linear
     before = strategy.endswith("_x")
     name = strategy.removesuffix("_x")
     weights = _weights(name, p)
@@ -149,7 +169,7 @@ def _fused(strategy: str, p: FusionParameters, linear: np.ndarray | None) -> Col
             pooled = pooled @ projection.T
         if linear is None:
             return _lists(x + pooled)
-        return _lists((x + pooled) @ linear.T if before else x @ linear.T + pooled)
+        return _lists(linear(x + pooled) if before else linear(x) + pooled)
 
     return _run_once(fuse_rows)("_base", "_ranks", "_flat")
 
@@ -165,7 +185,7 @@ def gather(base: DataFrame, neighbors: DataFrame) -> DataFrame:
 
 
 def fuse(base: DataFrame, neighbors: DataFrame, strategy: str, p: FusionParameters = FusionParameters(),
-         linear: np.ndarray | None = None) -> DataFrame:
+         linear: np.ndarray | LinearMap | None = None) -> DataFrame:
     """`base (guid, emb, ...)` with `emb` fused with the vectors of `neighbors (guid, rank, emb)`."""
     gathered = gather(base, neighbors)
     kept = [c for c in base.columns if c != "emb"]
@@ -179,15 +199,24 @@ def mixture_weights(architecture: dict[str, float]) -> dict[str, float]:
 
 
 def fuse_mixture(base: DataFrame, neighbors: DataFrame, architecture: dict[str, float],
-                 p: FusionParameters = FusionParameters()) -> DataFrame:
-    """Weighted sum of all candidates. An unknown candidate adds nothing, "identity" adds the base."""
+                 p: FusionParameters = FusionParameters(), maps: dict[str, LinearMap] | None = None) -> DataFrame:
+    """Weighted sum of all candidates. An unknown candidate adds nothing, "identity" adds the base.
+
+    `maps` has a linear map for each candidate, which takes the base before the neighbours are added.
+    """
     shares = mixture_weights(architecture)
     known = {n: s for n, s in shares.items() if n in STRATEGIES}
-    kept_share = sum(s for n, s in shares.items() if n == IDENTITY or n in STRATEGIES)
+    mapped = {n: s for n, s in shares.items() if n == IDENTITY or n in STRATEGIES}
+    kept_share = sum(mapped.values())
+    one_map = _mixed_map(mapped, maps) if maps and mapped else None
+    width = len(next(iter(maps.values())).weight) if maps else None
 
     def mix(vectors: pa.Array, ranks: pa.Array, flat: pa.Array) -> pa.Array:
         x = _dense(vectors)
-        out = x * kept_share
+        if one_map is not None:
+            out = one_map(x)
+        else:
+            out = x * kept_share if width is None else np.zeros((len(x), width))
         for projected in (False, True):
             total = None
             for name, share in known.items():
@@ -207,14 +236,20 @@ def fuse_mixture(base: DataFrame, neighbors: DataFrame, architecture: dict[str,
 
 
 def fuse_select(base: DataFrame, neighbors: DataFrame, architecture: dict[str, float],
-                p: FusionParameters = FusionParameters()) -> DataFrame:
-    """Only the candidate with the largest weight (the first on ties); zeros if it is unknown."""
+                p: FusionParameters = FusionParameters(), maps: dict[str, LinearMap] | None = None) -> DataFrame:
+    """Only the candidate with the largest weight (the first on ties), with its own map; zeros if it is unknown."""
     chosen = max(architecture, key=architecture.get)
+    linear = maps.get(chosen) if maps else None
     if chosen == IDENTITY:
+        if linear is not None:
+            return base.withColumn("emb", _run_once(lambda emb: _lists(linear(_dense(emb))))("emb"))
         return base.withColumn("emb", F.col("emb").cast("array<double>"))
     if chosen not in STRATEGIES:
+        if maps:
+            width = len(next(iter(maps.values())).weight)
+            return base.withColumn("emb", F.array_repeat(F.lit(0.0), width))
         return base.withColumn("emb", F.transform("emb", lambda _: F.lit(0.0)))
-    return fuse(base, neighbors, chosen, p)
+    return fuse(base, neighbors, chosen, p, linear)
 
 
 def fuse_each(base: DataFrame, neighbors: DataFrame, candidates: list[str],

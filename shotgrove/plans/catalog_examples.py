@@ -14,7 +14,7 @@ from shotgrove.schema import QA_ARTICLES
 from shotgrove.session import new_table_path
 from shotgrove.sinks import splits
 from shotgrove.sources import corpus, files
-from shotgrove.tasks import registry_table
+from shotgrove.tasks import TASKS, registry_table
 
 
 def _one_line(text):
@@ -127,23 +127,40 @@ def scan_corpus(spark, folder):
     return corpus.open_corpus(spark, f"{folder}/documents.parquet").select("doc_id", "text", "n_chars")
 
 
-@query("task_registry", """
-    SELECT r.task, r.n_labels, r.mode, r.metric, COUNT(*) AS n_events
-    FROM events e JOIN (VALUES ('click', 'mrpc', 2, 'classification', 'acc_and_f1'),
-                               ('view', 'mnli', 3, 'classification', 'accuracy'),
-                               ('purchase', 'sts-b', 1, 'regression', 'pearson_spearman'),
-                               ('signup', 'cola', 2, 'classification', 'matthews'),
-                               ('error', 'trec', 6, 'classification', 'accuracy'))
-                       AS r(event_type, task, n_labels, mode, metric) ON e.event_type = r.event_type
-    GROUP BY ALL""")
+# Every task of the registry, by customer number.
+_SQL_REGISTRY = """registry(task, fmt, n_labels, mode, metric, median, lower_bound, upper_bound, max_length) AS (VALUES
+    ('mrpc', 'tsv', 2, 'classification', 'acc_and_f1', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 128),
+    ('mnli', 'tsv', 3, 'classification', 'accuracy', NULL, NULL, NULL, 256),
+    ('mnli-mm', 'tsv', NULL, 'classification', 'accuracy', NULL, NULL, NULL, 256),
+    ('cola', 'tsv', 2, 'classification', 'matthews', NULL, NULL, NULL, 128),
+    ('sst-2', 'tsv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('sts-b', 'tsv', 1, 'regression', 'pearson_spearman', 2.5, 0, 5, 128),
+    ('qqp', 'tsv', 2, 'classification', 'acc_and_f1', NULL, NULL, NULL, 128),
+    ('qnli', 'tsv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('rte', 'tsv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 256),
+    ('wnli', 'tsv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('snli', 'tsv', 3, 'classification', 'accuracy', NULL, NULL, NULL, 256),
+    ('mr', 'csv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('sst-5', 'csv', 5, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('subj', 'csv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('trec', 'csv', 6, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('cr', 'csv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('mpqa', 'csv', 2, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('xnli', 'tsv', 3, 'classification', 'accuracy', NULL, NULL, NULL, 128),
+    ('squadv1', 'json', NULL, 'generation', NULL, NULL, NULL, NULL, 128),
+    ('squadv2', 'json', NULL, 'generation', NULL, NULL, NULL, NULL, 128))"""
+
+
+@query("task_registry", f"""WITH {_SQL_REGISTRY},
+    places AS (SELECT *, row_number() OVER (ORDER BY task) - 1 AS place FROM registry)
+    SELECT p.* EXCLUDE (place), COUNT(*) AS n_customers
+    FROM customer c JOIN places p ON p.place = c.c_custkey % 20 GROUP BY ALL""")
 def task_registry(spark, folder):
-    names = {"click": "mrpc", "view": "mnli", "purchase": "sts-b", "signup": "cola", "error": "trec"}
-    task = F.lit(None).cast("string")
-    for event, name in names.items():
-        task = F.when(F.col("event_type") == event, name).otherwise(task)
-    counted = table(spark, folder, "events").groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n_events"))
-    return counted.join(F.broadcast(registry_table(spark)), "task").select(
-        "task", "n_labels", "mode", "metric", "n_events")
+    """Customers stand for examples; each belongs to one of the tasks by its number."""
+    names = F.array(*[F.lit(name) for name in sorted(TASKS)])
+    task = F.get(names, (F.col("c_custkey") % len(TASKS)).cast("int"))
+    counted = table(spark, folder, "customer").groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n_customers"))
+    return counted.join(F.broadcast(registry_table(spark)), "task")
 
 
 _DRAWN = """drawn AS (

@@ -165,6 +165,47 @@ def fuse_select(spark, folder):
                                  _parameters(spark, folder)))
 
 
+# Scale of the projection and offset in each candidate's linear map.
+_SCALES = {"identity": (1.0, None), "mask_add_cls": (0.5, 0.25), "ordered_mask_add_cls": (2.0, None),
+           "residual_add_cls": (-1.0, -0.5)}
+_SQL_MAPPED = _SQL_NEAR + """,
+    scales(name, scale, bias) AS (VALUES ('identity', 1.0, 0.0), ('mask_add_cls', 0.5, 0.25),
+                                         ('ordered_mask_add_cls', 2.0, 0.0), ('residual_add_cls', -1.0, -0.5)),
+    linear AS (SELECT s.name, b.vec_id AS guid, p.dim_out AS dim, SUM(b.x * p.w) * s.scale + s.bias AS x
+               FROM parts b JOIN projection p ON p.dim_in = b.dim CROSS JOIN scales s
+               GROUP BY s.name, s.scale, s.bias, b.vec_id, p.dim_out),
+    pools AS (SELECT 'mask_add_cls' AS name, * FROM pool_mask_add_cls
+              UNION ALL SELECT 'ordered_mask_add_cls', * FROM pool_ordered_mask_add_cls
+              UNION ALL SELECT 'residual_add_cls', * FROM pool_residual_add_cls)"""
+
+
+def _maps(p):
+    return {name: U.LinearMap(p.projection * scale, None if bias is None else np.full(len(p.projection), bias))
+            for name, (scale, bias) in _SCALES.items()}
+
+
+@query("fuse_mixture_mapped", _SQL_MAPPED + """,
+    arch(name, a) AS (VALUES ('identity', 0.1), ('mask_add_cls', 0.4), ('ordered_mask_add_cls', 0.7),
+                             ('residual_add_cls', 0.2), ('other', 0.3)),
+    shares AS (SELECT name, exp(a::DOUBLE) / SUM(exp(a::DOUBLE)) OVER () AS s FROM arch)
+    SELECT l.guid, l.dim::INTEGER AS dim, round(SUM(s.s * (l.x + coalesce(p.x, 0))), 6) + 0.0 AS value
+    FROM linear l JOIN shares s ON s.name = l.name LEFT JOIN pools p ON p.name = l.name AND p.guid = l.guid AND p.dim = l.dim
+    GROUP BY l.guid, l.dim""")
+def fuse_mixture_mapped(spark, folder):
+    """Every candidate with a linear map of its own."""
+    p = _parameters(spark, folder, True)
+    return _values(U.fuse_mixture(_base(spark, folder), _neighbors(spark, folder), _ARCHITECTURE, p, _maps(p)))
+
+
+@query("fuse_select_mapped", _SQL_MAPPED + """
+    SELECT l.guid, l.dim::INTEGER AS dim, round(l.x + p.x, 6) + 0.0 AS value
+    FROM linear l JOIN pools p ON p.name = l.name AND p.guid = l.guid AND p.dim = l.dim
+    WHERE l.name = 'ordered_mask_add_cls'""")
+def fuse_select_mapped(spark, folder):
+    p = _parameters(spark, folder, True)
+    return _values(U.fuse_select(_base(spark, folder), _neighbors(spark, folder), _ARCHITECTURE, p, _maps(p)))
+
+
 _CANDIDATES = ["identity", "mask_add_cls", "ordered_mask_add_cls"]
 
 
@@ -294,6 +335,24 @@ def train_classifier(spark, folder):
     return C.argmax_predict(scores, ["guid", "gold"])
 
 
+@query("classifier_grid")
+def classifier_grid(spark, folder):
+    """Predictions of classifiers of all seeds, on the vectors alone and fused with their neighbours', fitted in one job."""
+    rows = table(spark, folder, "embeddings").select(
+        F.lit("topic").alias("task"), F.col("vec_id").alias("guid"), F.col("label").alias("gold"), F.col("embedding").alias("emb"))
+    kept = rows.select("guid", "gold", F.col("emb").cast("array<double>").alias("emb"))
+    fused = U.fuse(kept, _neighbors(spark, folder), "add_cls")
+    every = materialize(kept.withColumn("variant", F.lit("plain")).unionByName(
+        fused.withColumn("variant", F.lit("neighbors"))), "variants")
+    drawn = materialize(sampling.draw_splits(rows.select(
+        "task", "guid", F.col("gold").cast("string").alias("label"))).where(F.col("split") == "train"), "draws")
+    train = every.join(drawn.select("seed", "guid"), "guid").withColumn("label_id", F.col("gold"))
+    classes = C.train_grid(train.select("variant", "seed", "guid", "label_id", "emb"), ["variant", "seed"])
+    preds = C.grid_predictions(every, classes, "variant", "seed")
+    return preds.join(drawn.select("seed", "guid"), ["seed", "guid"], "left_anti").select(
+        "variant", "seed", "guid", "gold", "pred")
+
+
 @query("score_udf", with_parts("v") + """
     SELECT vec_id AS guid, unnest([0, 1])::INTEGER AS label_id, unnest([round(e[1], 6), round(list_sum(e), 6)]) + 0.0 AS logit
     FROM v""")

@@ -163,10 +163,17 @@ def class_accuracy(spark, folder):
     return V.accuracy(preds, ["class"]).select(F.col("class").alias("label"), "n", rounded("acc").alias("acc"))
 
 
-@query("run_throughput")
+@query("run_throughput", """
+    SELECT 'documents' AS run, COUNT(*) AS n_rows, 1 AS n_steps, SUM(len(string_split(text, ' ')))::BIGINT AS n_tokens,
+           true AS rates_fit
+    FROM documents""")
 def run_throughput(spark, folder):
-    """Rows, words and rates of one pass over the documents."""
+    """Rows and words of one pass over the documents, and whether the rates are these by the seconds."""
     begun = time.time()
     rows, words = table(spark, folder, "documents").agg(
         F.count(F.lit(1)), F.sum(F.size(F.split("text", " ")))).first()
-    return V.throughput(spark, "documents", rows, words, 1, time.time() - begun)
+    figures = V.throughput(spark, "documents", rows, words, 1, time.time() - begun)
+    fit = (F.abs(F.col("rows_per_second") * F.col("seconds") - F.col("n_rows")) < 1e-3) & (
+        F.abs(F.col("tokens_per_second") * F.col("seconds") - F.col("n_tokens")) < 1e-3) & (
+        F.abs(F.col("steps_per_second") * F.col("seconds") - 1) < 1e-3)
+    return figures.select("run", "n_rows", F.col("n_steps").cast("int").alias("n_steps"), "n_tokens", fit.alias("rates_fit"))

@@ -109,6 +109,25 @@ def test_selection(frames, data, parameters, architecture, chosen):
     assert np.allclose(rows(U.fuse_select(*frames, architecture, parameters)), want)
 
 
+def test_every_candidate_has_its_own_map(frames, data, parameters):
+    base, near = data
+    rng = np.random.default_rng(8)
+    out = DIM  # pooled vectors are added after the map
+    maps = {n: U.LinearMap(rng.normal(size=(out, DIM)), rng.normal(size=out) if i % 2 else None)
+            for i, n in enumerate(ARCHITECTURE)}
+
+    def one(name):
+        return maps[name](base) + (0 if name == "identity" else pooled(near, name))
+
+    shares = U.mixture_weights(ARCHITECTURE)
+    want = sum(s * one(n) for n, s in shares.items() if n != "odd")
+    assert np.allclose(rows(U.fuse_mixture(*frames, ARCHITECTURE, parameters, maps)), want)
+    assert np.allclose(rows(U.fuse_mixture(*frames, {"odd": 0.}, parameters, maps)), 0)
+    for name in ("identity", "add_cls", "mask_residual_add_cls"):
+        assert np.allclose(rows(U.fuse_select(*frames, {name: 1., "odd": 0.}, parameters, maps)), one(name))
+    assert np.allclose(rows(U.fuse_select(*frames, {"odd": 1.}, parameters, maps)), 0)
+
+
 def test_pairs_are_folded_rank_by_rank(spark):
     near = spark.createDataFrame([("p", 0, 1, [1., 2.]), ("p", 1, 1, [3., 6.]), ("p", 0, 2, [5., 5.]), ("s", 0, 1, [1., 1.])],
                                  "guid string, sent_id int, rank int, emb array<float>")
