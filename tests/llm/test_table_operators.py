@@ -332,7 +332,7 @@ def test_language_model(spark, docs, head):
             for i in range(120)]
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     frame = frame.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)))
-    trained = lm_scoring.learn(frame.where(~F.col("held_out")).select("text"), head, steps=400)
+    trained = lm_scoring.learn(frame.where(~F.col("held_out")).select("text"), head, passes=12)
     got = lm_scoring.score(frame.select("doc_id", "held_out", "text"), trained).toPandas()
     every = [(r.doc_id, r.held_out, [*words(r.text), None]) for r in frame.collect()]
     count = collections.Counter(w for _, held, line in every if not held for w in line)
@@ -346,7 +346,91 @@ def test_language_model(spark, docs, head):
     held = got[got.held_out & (got.doc_id >= 100)]
     assert held.score.sum() > held.base_score.sum()
     # The probabilities of all classes after any two add up to one.
-    assert np.allclose((10.0 ** trained.model.table().astype(float)).sum(axis=1), 1, atol=1e-4)
-    nothing = lm_scoring.learn(frame.limit(0).select("text"), steps=5)
+    model, counts, n = trained.model, trained.counts, trained.counts.end + 1
+    sums = [sum(np.exp(model.logits(np.full(n, c), np.full(n, one), np.arange(n)) - trained.normalisers[one, :n])
+                for c in range(n)) for one in (0, n // 2, n)]
+    assert np.allclose(sums, 1, atol=1e-3)
+    # The score of every text, token by token.
+    endings = {w: int(e) for line in every for w in line[2] if w for e in lm_scoring.word_ends([w])}
+    ranked = sorted((w for w in count if w and count[w] >= trained.least),
+                    key=lambda w: (-count[w], int(lm_scoring.word_hashes([w])[0].view(np.int64)[0])))
+    own = {w: i for i, w in enumerate(ranked[:counts.own])}
+
+    def class_of(word):
+        return counts.end if word is None else own.get(word, counts.own + endings[word] % counts.shared)
+
+    in_class = collections.Counter()
+    for w, c in count.items():
+        in_class[class_of(w)] += c
+    unseen = (sum(c == 1 for c in count.values()) + 0.5) / (total + 1)
+
+    def log_class(c, one, two):
+        before = model.context[one] @ model.positions[0] + model.context[two] @ model.positions[1]
+        logits = (model.target @ before + model.bias).astype(float)
+        return logits[c] - np.log(np.exp(logits).sum())
+
+    brute = collections.defaultdict(list)
+    for i, _, line in every:
+        one = two = counts.start
+        value = 0.0
+        for w in line:
+            c = class_of(w)
+            value += (math.log10(1 - unseen) + log_class(c, one, two) / math.log(10) + math.log10(count[w] / in_class[c])
+                      if count[w] else math.log10(unseen))
+            one, two = c, one
+        brute[-1 if i is None else i].append(value)
+    scores = collections.defaultdict(list)
+    for r in got.itertuples():
+        scores[-1 if math.isnan(r.doc_id) else int(r.doc_id)].append(r.score)
+    assert scores.keys() == brute.keys()
+    for key, values in brute.items():
+        assert np.allclose(sorted(scores[key]), sorted(values), rtol=1e-4, atol=1e-3)
+    nothing = lm_scoring.learn(frame.limit(0).select("text"), passes=2)
     assert lm_scoring.score(frame.select("doc_id", "held_out", "text"), nothing).where("n_known = 0").count() == len(every)
     assert lm_scoring.score(frame.limit(0), trained).count() == 0
+
+
+def chained(n, seed):
+    """Texts whose next word follows from the two before, mostly."""
+    rng = random.Random(seed)
+    for i in range(n):
+        line = ["w1", "w2"]
+        while len(line) < 50:
+            a, b = (int(w[1:]) for w in line[-2:])
+            line.append(f"w{(a * 7 + b * 3) % 40 if rng.random() < 0.8 else rng.randrange(40)}")
+        yield seed * 100_000 + i, " ".join(line)
+
+
+def test_language_model_learns_more_from_more_texts(spark):
+    """Held-out texts are better foretold by a larger corpus, and one model comes from any partitioning."""
+    held = spark.createDataFrame([(i, True, t) for i, t in chained(60, 1)], "doc_id long, held_out boolean, text string")
+    every = spark.createDataFrame(list(chained(1200, 2)), "doc_id long, text string")
+
+    def total(texts):
+        return lm_scoring.score(held, lm_scoring.learn(texts)).agg(F.sum("score")).first()[0]
+
+    few, many = total(every.where("doc_id < 200040").select("text")), total(every.select("text"))
+    assert many > few
+    assert total(every.repartition(7).select("text")) == pytest.approx(many, rel=1e-6)
+
+
+def test_language_model_in_many_shards(spark):
+    """The mean over shards takes every triple in, and the order of files does not matter."""
+    texts = spark.createDataFrame(list(chained(300, 3)), "doc_id long, text string").select("text")
+    vocabulary = lm_scoring.materialize(lm_scoring.count_words(texts), "v")
+    counts, _ = lm_scoring.gather(vocabulary, texts.count())
+    shared = spark.sparkContext.broadcast(counts)
+    triples = lm_scoring.count_triples(texts, shared)
+    assert triples.agg(F.sum("n")).first()[0] == counts.tokens
+    one, parts = (lm_scoring.train(triples, counts, 4, shard_triples=size) for size in (1 << 20, 500))
+    start, _ = lm_scoring.first_model(counts)
+    rows = triples.toPandas()
+    base = counts.start + 1
+    word, before, second = (rows.triple // base ** k % base for k in range(3))
+
+    def loss(model):
+        norm = np.stack([model.normaliser(c) for c in range(base)])
+        logits = model.logits(word.to_numpy(), before.to_numpy(), second.to_numpy())
+        return -np.average(logits - norm[before, second], weights=rows.n)
+
+    assert loss(one) < loss(start) and loss(parts) < loss(start)
