@@ -46,14 +46,21 @@ def plain_tokens(examples: DataFrame) -> DataFrame:
     return _with_tokens(examples, [F.array(F.lit(CLS)), first, second], [0, 0, 1])
 
 
-def fix_length(df: DataFrame, max_length: int, truncate_head: bool = False, segments: bool = True,
+def fix_length(df: DataFrame, max_length: int | None, truncate_head: bool = False, segments: bool = True,
                prompt: bool = True) -> DataFrame:
     """Pad or cut `_tokens` to `max_length` and add the masks.
 
     The tail is cut by default; cutting the head keeps the last tokens and puts cls in front. `mask_pos`
     is the first mask token, -1 where it was cut off. `segments=False` leaves segment ids out, for
-    encoders that have none.
+    encoders that have none. Without a `max_length` every row keeps its own length.
     """
+    if max_length is None:
+        out = df.select(
+            *[c for c in df.columns if c not in ("_tokens", "_segments")], F.col("_tokens").alias("tokens"),
+            F.array_repeat(F.lit(1), F.size("_tokens")).alias("attention_mask"),
+            *([F.col("_segments").alias("segment_ids")] if segments else []),
+            F.size("_tokens").alias("n_tokens"), F.lit(False).alias("truncated"))
+        return out.withColumn("mask_pos", F.array_position("tokens", MASK).cast("int") - 1) if prompt else out
     n, longest = F.size("_tokens"), F.lit(max_length)
 
     def fixed(name: str, first: Column, filler: Column) -> Column:

@@ -7,7 +7,7 @@ from shotgrove.operators import encoding as N
 from shotgrove.operators import knn, neighbors, vocab
 from shotgrove.plans.catalog_examples import SQL_VOCAB, document_vocab
 from shotgrove.plans.inputs import (
-    SQL_TOKENS, passages, quality_examples, turn_examples, vectors, with_parts)
+    SQL_TOKENS, quality_examples, turn_examples, vectors, with_parts)
 from shotgrove.plans.registry import joined, query, rounded, table
 from shotgrove.tasks import task
 
@@ -69,14 +69,15 @@ _RETRIEVED = "*cls**ret_0*_*sent_0*_It_was*mask*.*sep+*"
 @query("render_retrieval", with_parts("v") + ",\n" + sql_knn(3) + """,
     texts AS (SELECT k.query_id, string_agg(d.text, ' ' ORDER BY k.rank DESC) AS passages
               FROM knn k JOIN documents d ON d.doc_id = k.doc_id GROUP BY k.query_id)
-    SELECT d.doc_id, '<s>' || COALESCE(t.passages, '') || ' ' || d.text || ' It was<mask>.</s>' AS prompt
-    FROM documents d JOIN v ON v.vec_id = d.doc_id LEFT JOIN texts t ON t.query_id = d.doc_id""")
+    SELECT d.doc_id, '<s>' || COALESCE(t.passages, '') || ' ' || COALESCE(d.text, '') || ' It was<mask>.</s>' AS prompt
+    FROM documents d LEFT JOIN texts t ON t.query_id = d.doc_id""")
 def render_retrieval(spark, folder):
-    corpus = passages(spark, folder)
+    """All documents; those without a vector have no passages."""
+    corpus = table(spark, folder, "documents").select("doc_id", "text")
     queries = vectors(spark, folder, "query_id").select(
         "query_id", F.col("query_id").alias("guid"), F.lit(0).alias("sent_id"), "emb")
     hits = knn.knn_exact(queries, vectors(spark, folder), 3)
-    texts = neighbors.texts_by_sentence(neighbors.neighbor_rows(queries, hits, corpus.select("doc_id", "text")))
+    texts = neighbors.texts_by_sentence(neighbors.neighbor_rows(queries, hits, corpus))
     examples = corpus.select("doc_id", F.lit("quality").alias("task"), F.col("text").alias("text_a"),
                              F.lit(None).cast("string").alias("text_b"))
     known = examples.join(texts, F.col("doc_id") == F.col("guid"), "left")

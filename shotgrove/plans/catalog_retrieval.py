@@ -91,7 +91,7 @@ def knn_ivf_kmeans(spark, folder):
 DIM = 256
 
 # Vectors of all texts as (kind, id, dim, x), from the words alone.
-_SQL_ENCODED = f"""texts AS (
+SQL_ENCODED = f"""texts AS (
     SELECT 'document' AS kind, doc_id AS id, text FROM documents
     UNION ALL SELECT 'query' AS kind, item_id AS id, text FROM benchmark),
 hashed AS (SELECT kind, id, CAST('0x' || left(md5(w), 8) AS BIGINT) % {DIM} AS dim FROM (
@@ -105,7 +105,7 @@ encoded AS (SELECT kind, id, dim, x / sqrt(SUM(x * x) OVER (PARTITION BY kind, i
 
 
 @query("encode_queries", f"""
-    WITH {_SQL_ENCODED}
+    WITH {SQL_ENCODED}
     SELECT kind, id, dim::INTEGER AS dim, round(x, 6) AS x FROM encoded""")
 def encode_queries(spark, folder):
     """The vectors of all documents and queries, from an encoder fitted on the documents; without the zeros."""
@@ -118,7 +118,7 @@ def encode_queries(spark, folder):
 
 
 @query("dense_text", f"""
-    WITH {_SQL_ENCODED},
+    WITH {SQL_ENCODED},
     scored AS (SELECT q.id AS query_id, d.id AS doc_id, round(SUM(q.x * d.x), 6) AS score
                FROM encoded q JOIN encoded d ON d.dim = q.dim AND d.kind = 'document' WHERE q.kind = 'query'
                GROUP BY q.id, d.id),
