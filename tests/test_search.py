@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -348,3 +349,34 @@ def test_hits_as_json(spark):
 
 def test_empty_table_has_no_vectors():
     assert knn.matrix(pa.chunked_array([], pa.list_(pa.float32()))).shape[0] == 0
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_a_task_holds_small_blocks_of_scores(metric):
+    """Large batches of rows, copies among them: the same hits, in blocks, and lists sent some queries at a time."""
+    rng = np.random.default_rng(11)
+    corpus, asked = rng.normal(size=(20_000, 8)), rng.normal(size=(1_500, 8))
+    corpus[::5] = corpus[0]
+
+    def rows(key, data):
+        return pa.table({key: np.arange(len(data)), "emb": pa.array(list(data))})
+
+    queries, batch = rows("query_id", asked), rows("doc_id", corpus).to_batches()
+    tracemalloc.start()
+    sent = list(topk._scan(iter(batch), knn.VectorScorer(queries, metric, 8), 6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
+    got = {}
+    for q, d, s in (x for b in sent for x in zip(*(b.column(i).to_pylist() for i in range(3)))):
+        got.setdefault(q, []).append((-s, d))
+    for q in range(0, 1_500, 100):
+        scores = knn.similarity(asked[q:q + 1], corpus, metric)[0]
+        assert sorted(got[q]) == sorted(zip((-scores).tolist(), range(20_000)))[:6]
+
+
+def test_long_lists_are_sent_in_parts():
+    best = topk.RunningBest(30_000, 64)
+    best.scores[:], best.ids[:] = 1.0, 0
+    sent = list(best.to_batches(np.arange(30_000)))
+    assert sum(b.num_rows for b in sent) == 30_000 * 64 and max(b.num_rows for b in sent) <= 500_000
