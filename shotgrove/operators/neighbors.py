@@ -76,8 +76,11 @@ def neighbor_rows(queries: DataFrame, hits: DataFrame, corpus: DataFrame) -> Dat
     skew on one side only, which adaptive execution splits. A hit whose document is not in `corpus` keeps its
     rank, with NULL in the corpus columns.
     """
-    return (materialize(hits, "hits").join(corpus, "doc_id", "left")
-            .join(queries.select("query_id", "guid", "sent_id"), "query_id").drop("query_id"))
+    # Short rows meet first: texts and vectors, which a hit repeats, move no further than to their hits.
+    asked = materialize(hits, "hits").join(queries.select("query_id", "guid", "sent_id"), "query_id").drop("query_id")
+    return asked.join(corpus, "doc_id", "left").select(
+        "doc_id", *[c for c in hits.columns if c not in ("query_id", "doc_id")],
+        *[c for c in corpus.columns if c != "doc_id"], "guid", "sent_id")
 
 
 def attach_neighbors(neighbors: DataFrame, value: str = "text", out: str = "neighbor_texts") -> DataFrame:
@@ -91,8 +94,12 @@ def attach_neighbors(neighbors: DataFrame, value: str = "text", out: str = "neig
 
 
 def texts_by_sentence(neighbors: DataFrame) -> DataFrame:
-    """(guid, retrieved): one list of passages, best first, for each sentence."""
-    per_sentence = neighbors.groupBy("guid", "sent_id").agg(
+    """(guid, retrieved): one list of passages, best first, for each sentence.
+
+    Texts move once, to their example; its sentences, two at most, are told apart there.
+    """
+    held = neighbors.select("guid", "sent_id", "rank", "text").repartition("guid")
+    per_sentence = held.groupBy("guid", "sent_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_n"))
     return (per_sentence.groupBy("guid").agg(F.array_sort(F.collect_list(F.struct(
         "sent_id", F.col("_n.text").alias("texts")))).alias("_s"))

@@ -380,3 +380,16 @@ def test_long_lists_are_sent_in_parts():
     best.scores[:], best.ids[:] = 1.0, 0
     sent = list(best.to_batches(np.arange(30_000)))
     assert sum(b.num_rows for b in sent) == 30_000 * 64 and max(b.num_rows for b in sent) <= 500_000
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+
+
+def test_texts_of_neighbours_move_once(spark):
+    rows = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 1, None), (2, 0, 1, "c")],
+                                 "guid int, sent_id int, rank int, text string")
+    shown = neighbors.texts_by_sentence(rows)
+    assert sorted(tuple(r) for r in shown.collect()) == [(1, [["a", "b"], [None]]), (2, [["c"]])]
+    assert len(exchanges(shown)) == 1
