@@ -11,6 +11,7 @@ looked up but for the documents that other terms have brought up.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,9 +28,15 @@ K1, B = 0.9, 0.4
 # Postings of a block, about; buckets of a stored index.
 BLOCK_POSTINGS, BUCKETS = 4096, 64
 
+# Postings of one bucket that a task puts into blocks, about.
+TASK_POSTINGS = 2_000_000
+
 # Postings that all queries together may read without bounds, and rare postings from which a query takes its bound.
 PLAIN_POSTINGS, BOUND_POSTINGS = 20_000_000, 20_000
 
+# Documents of a query, for each of the k asked for, whose whole scores give its bound.
+BOUND_DOCUMENTS = 10
+
 # Rows of a few short columns that a join may broadcast (100 bytes each, about).
 BROADCAST_ROWS = 200_000
 
@@ -107,17 +114,19 @@ class LexicalIndex:
 def blocks_of(posted: DataFrame, avgdl: float, buckets: int = BUCKETS, size: int = BLOCK_POSTINGS) -> DataFrame:
     """Blocks of written `posted (doc_id, dl, term, tf)`.
 
-    Frequencies are joined to the postings of frequent terms only, of which there are few.
+    Frequencies are joined to the postings of frequent terms only, of which there are few. Postings move once: to the
+    task of a share of their bucket, with as many shares as a bucket needs.
     """
     counts = materialize(document_frequency(posted).where(F.col("df") > size).select(
         "term", F.ceil(F.col("df") / size).cast("int").alias("parts")), "frequent")
     sized = posted.join(_few(counts), "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    grouped = sized.withColumn("part", _part("doc_id", "parts")).groupBy("term", "parts", "part").agg(
+    shares = math.ceil(max(posted.count(), 1) / (buckets * TASK_POSTINGS))
+    placed = sized.withColumn("part", _part("doc_id", "parts")).withColumn("bucket", _bucket("term", buckets)).withColumn(
+        "share", F.pmod(F.xxhash64("part", "term"), F.lit(shares)).cast("int"))
+    grouped = placed.repartition("bucket", "share").groupBy("bucket", "share", "term", "parts", "part").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("posted"),
         F.max(_saturation(F.col("tf"), F.col("dl"), avgdl)).alias("top"))
-    found = grouped.select(_bucket("term", buckets).alias("bucket"), "term", "part", "parts",
-                           F.size("posted").alias("held"), "top", "posted")
-    return found
+    return grouped.select("bucket", "term", "part", "parts", F.size("posted").alias("held"), "top", "posted")
 
 
 def _totals(documents: DataFrame) -> tuple[int, int]:
@@ -144,11 +153,11 @@ def asked_postings(corpus: DataFrame, terms: DataFrame) -> tuple[DataFrame, int,
 
 def write_index(corpus: DataFrame, path: str, buckets: int = BUCKETS, block_postings: int = BLOCK_POSTINGS) -> None:
     """Store an index that many searches share."""
-    documents = document_rows(spread(corpus.select("doc_id", "text")))
-    n_docs, n_words = _totals(documents)
-    posted = materialize(postings(documents), "postings")
+    n_docs, n_words = _totals(document_rows(spread(corpus.select("doc_id", "text"))))
+    # Texts move, not their words, of which there are many more bytes.
+    posted = materialize(postings(document_rows(corpus.select("doc_id", "text").repartition("doc_id"))), "postings")
     blocks = blocks_of(posted, n_words / max(n_docs, 1), buckets, block_postings)
-    (blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite")
+    (blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite")
      .partitionBy("bucket").parquet(f"{path}/blocks"))
     corpus.sparkSession.createDataFrame([(n_docs, n_words, buckets)], "n_docs long, n_words long, buckets int").write.mode(
         "overwrite").parquet(f"{path}/totals")
@@ -171,11 +180,24 @@ def asked_blocks(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     return index.blocks.join(_few(terms).where(F.col("bucket") >= 0), ["bucket", "term"])
 
 
+def _held(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """(term, doc_id, share): each posting of the terms of `wanted (bucket, term, ...)`, once for all queries."""
+    terms = materialize(wanted.select("bucket", "term").distinct(), "held-terms")
+    return _shares(index, asked_blocks(index, terms))
+
+
+def _shares(index: LexicalIndex, blocks: DataFrame) -> DataFrame:
+    return blocks.select("term", F.explode("posted").alias("p")).select(
+        "term", F.col("p.doc_id").alias("doc_id"), _saturation(F.col("p.tf"), F.col("p.dl"), index.avgdl).alias("share"))
+
+
 def _scored(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) over written `wanted (query_id, bucket, term, weight)`."""
-    met = asked_blocks(index, wanted).select("query_id", "weight", F.explode("posted").alias("p"))
-    share = F.col("weight") * _saturation(F.col("p.tf"), F.col("p.dl"), index.avgdl)
-    return met.select("query_id", F.col("p.doc_id").alias("doc_id"), share.alias("share")).groupBy(
+    """(query_id, doc_id, score) over written `wanted (query_id, bucket, term, weight)`.
+
+    Postings move before they meet queries, so that a document's sums are made where it lies.
+    """
+    met = _held(index, wanted).repartition("doc_id").join(_few(wanted.select("query_id", "term", "weight")), "term")
+    return met.select("query_id", "doc_id", (F.col("weight") * F.col("share")).alias("share")).groupBy(
         "query_id", "doc_id").agg(F.sum("share").alias("score"))
 
 
@@ -191,14 +213,41 @@ def weighted_terms(asked: DataFrame, index: LexicalIndex) -> DataFrame:
                          (F.col("weight") * F.col("top")).alias("bound"))
 
 
+def _completed(index: LexicalIndex, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Written `pairs (query_id, doc_id, score)` with what `terms (query_id, bucket, term, weight, parts)` add to the scores.
+
+    For few pairs, only the blocks that may hold them are read. For many, which every block holds some of, each posting
+    of the terms moves once to the pairs of its document.
+    """
+    terms = materialize(terms, "others")
+    pairs = pairs.select("query_id", "doc_id", "score")
+    if pairs.count() <= BROADCAST_ROWS:
+        looked = materialize(pairs.drop("score").join(_few(terms), "query_id").select(
+            "query_id", "doc_id", "bucket", "term", "weight", _part("doc_id", "parts").alias("part")), "lookups")
+        places = materialize(looked.select("bucket", "term", "part").distinct(), "places")
+        blocks = index.blocks.join(_few(places).where(F.col("bucket") >= 0), ["bucket", "term", "part"])
+        more = looked.join(_shares(index, blocks), ["term", "doc_id"]).select(
+            "query_id", "doc_id", (F.col("weight") * F.col("share")).alias("score"))
+        return pairs.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    both = _held(index, terms).unionByName(pairs, allowMissingColumns=True).repartition("doc_id")
+    asked = _few(terms.select("term", F.col("query_id").alias("_asked"), "weight"))
+    met = both.join(asked, "term", "left").select(
+        F.coalesce("query_id", "_asked").alias("query_id"), "doc_id", F.col("query_id").isNotNull().alias("open"),
+        F.coalesce("score", F.col("weight") * F.col("share")).alias("score"))
+    return met.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.max("open").alias("open")).where(
+        "open").drop("open")
+
+
 def _by_bounds(index: LexicalIndex, weighted: DataFrame, k: int, bound_postings: int) -> DataFrame:
     """The scores of all documents that may be among the best k."""
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("df").over(rarest), F.lit(0))
-    rare = materialize(weighted.withColumn("_before", before).where(
-        (F.col("_before") == 0) | (F.col("_before") + F.col("df") <= bound_postings)).drop("_before"), "rare")
-    # A part of the terms gives no more than the whole, so the k-th best so far is a lower bound.
-    last = topk.ranked(_scored(index, rare), k).where(F.col("rank") == k).select(
+    split = materialize(weighted.withColumn("_before", before).withColumn(
+        "_rare", (F.col("_before") < k) | (F.col("_before") + F.col("df") <= bound_postings)).drop("_before"), "rare")
+    # The whole scores of the documents that are best by rare terms: the k-th best of all documents is no lower.
+    tried = materialize(topk.ranked(_scored(index, split.where("_rare")), BOUND_DOCUMENTS * k), "tried")
+    others = split.where("NOT _rare").select("query_id", "bucket", "term", "weight", "parts")
+    last = topk.ranked(_completed(index, tried, others), k).where(F.col("rank") == k).select(
         "query_id", (F.col("score") - _ROOM).alias("floor"))
     least = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -211,17 +260,9 @@ def _by_bounds(index: LexicalIndex, weighted: DataFrame, k: int, bound_postings:
     open_ = found.join(_few(materialize(rest, "rest")), "query_id", "left")
     open_ = materialize(open_.where(F.col("rest").isNull() | (F.col("score") + F.col("rest") >= F.col("floor"))).select(
         "query_id", "doc_id", "score"), "open")
-    # The other terms, for these documents only, in the blocks that may hold them.
+    # The other terms, for these documents only.
     others = judged.where("NOT decides").select("query_id", "bucket", "term", "weight", "parts")
-    looked = materialize(open_.select("query_id", "doc_id").join(_few(materialize(others, "others")), "query_id").select(
-        "query_id", "doc_id", "bucket", "term", "weight", _part("doc_id", "parts").alias("part")), "lookups")
-    places = materialize(looked.select("bucket", "term", "part").distinct(), "places")
-    blocks = index.blocks.join(_few(places).where(F.col("bucket") >= 0), ["bucket", "term", "part"])
-    held = blocks.select("term", F.explode("posted").alias("p")).select(
-        "term", F.col("p.doc_id").alias("doc_id"), _saturation(F.col("p.tf"), F.col("p.dl"), index.avgdl).alias("share"))
-    more = looked.join(held, ["term", "doc_id"]).select(
-        "query_id", "doc_id", (F.col("weight") * F.col("share")).alias("score"))
-    return open_.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    return _completed(index, open_, others)
 
 
 def _inverse_frequency(df: Column, n_docs: int) -> Column:

@@ -387,6 +387,29 @@ def exchanges(df):
     return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
 
 
+def test_postings_move_once(spark, prose, tmp_path):
+    """To their share of a bucket when an index is built, and to their document, once for all queries, when it is read."""
+    docs = texts(spark, prose[1], "doc_id")
+    posted = topk.materialize(bm25.postings(bm25.document_rows(docs)), "posted")
+    moved = exchanges(bm25.blocks_of(posted, 5.0, 8, 20))
+    assert len(moved) == 1 and "bucket" in moved[0]
+    bm25.write_index(docs, str(tmp_path / "ix"), buckets=8, block_postings=20)
+    index = bm25.open_index(spark, str(tmp_path / "ix"))
+    asked = bm25.query_terms(bm25.document_rows(texts(spark, prose[0], "doc_id")).select(
+        F.col("doc_id").alias("query_id"), F.col("terms").alias("words")))
+    weighted = topk.materialize(bm25.weighted_terms(topk.materialize(asked, "asked"), index), "weighted")
+    moved = exchanges(bm25._scored(index, weighted.select("query_id", "bucket", "term", "weight")))
+    assert len(moved) == 1 and "query_id" not in moved[0].split("ENSURE")[0].split("REPARTITION")[0]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_bounds_with_few_and_many_open_documents(spark, prose, few, monkeypatch):
+    asked, docs = prose
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", few)
+    got = bm25.bm25_topk(texts(spark, asked, "query_id"), texts(spark, docs, "doc_id"), 6, plain_postings=0, bound_postings=5)
+    assert found(got) == brute_bm25(asked, docs, 6)
+
+
 def test_texts_of_neighbours_move_once(spark):
     rows = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 1, None), (2, 0, 1, "c")],
                                  "guid int, sent_id int, rank int, text string")
