@@ -5,8 +5,8 @@ with the documents of one hash class, so that no term gathers in one row or task
 occurrence of its term can add to a score. Blocks are stored by term bucket and are sorted by term.
 
 A search reads the buckets of the asked terms only. A long list of postings is cut short without losing a hit: a bound
-for the k-th best score of each query comes from its rare terms; terms that together cannot reach that bound are not
-looked up but for the documents that other terms have brought up.
+for the k-th best score of each query comes from the whole scores of the documents that are best by its rare terms; terms
+that together cannot reach that bound count only for the documents that other terms have brought up.
 """
 
 from __future__ import annotations
