@@ -48,6 +48,9 @@ COMMON_DOCUMENTS, COMMON_SHINGLES = 6, 500_000
 
 # Rows of a tile's block, and band edges: sizes grow by 1 / 0.8.
 BLOCK_ROWS = 500
+
+# Tiles go to so many times the usual number of partitions, as their rows are wide and each task sorts its own.
+TILE_PARTITIONS = 4
 BAND = math.log(100 / PERCENT)
 MIN_BITS, MAX_BITS = 64, 1 << 15
 
@@ -117,7 +120,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.concatenate(parts)
         del parts
         values.sort()
-        first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
         count = np.diff(first, append=len(values))
         first, count = first[count >= 2], count[count >= 2]
         yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(count)], names=["shingle", "n"])
@@ -282,8 +285,8 @@ def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     doc, comp, n, own, first = (table.column(c).to_numpy() for c in ("node", "component", "n", "own", "first"))
     words = band_bits(band) // 64
     bits = np.zeros((len(doc), words), dtype=np.uint64)
-    for i, value in enumerate(table.column("bits").to_pylist()):
-        bits[i] = _folded(value, words)  # a guest's may be wider
+    for i, value in enumerate(table.column("bits")):
+        bits[i] = _folded(value.as_buffer(), words)  # a guest's may be wider
     lists = table.column("lowest").combine_chunks()
     lowest = np.zeros((len(doc), LOWEST), dtype=np.int64)
     lengths = lists.value_lengths().to_numpy()
@@ -346,7 +349,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tile_pairs(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = tile_rows(sets, labels, block_rows)
-    ordered = rows.repartition(*_TILE_ORDER).sortWithinPartitions(*_TILE_ORDER, "n", "node")
+    partitions = TILE_PARTITIONS * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(partitions, *_TILE_ORDER).sortWithinPartitions(*_TILE_ORDER, "n", "node")
     return ordered.mapInArrow(_compared, "a long, b long").distinct()
 
 

@@ -20,6 +20,9 @@ _JOIN = np.uint64(0xD6E8FEB86659FD93)
 # Bytes of text that are hashed at once; a longer text is a group of its own.
 GROUP_BYTES = 1 << 20
 
+# The same for sets of shingles, whose tasks run beside large sorts and joins.
+SET_BYTES = 1 << 18
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     values = np.full(n, base, dtype=np.uint64)
@@ -36,7 +39,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, GROUP_BYTES + (GROUP_BYTES >> 2))
+            size = n + (n >> 2)
             cls.up, cls.down = _powers(_BASE, size), _powers(_INVERSE, size)
         return cls.up[:n], cls.down[:n]
 
@@ -74,12 +77,12 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return mixed(value + np.uint64(size))
 
 
-def groups(values: list, size_of) -> Iterator[tuple[int, int]]:
-    """Ranges of `values` of about GROUP_BYTES."""
+def groups(values: list, size_of, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of `values` of about `size` bytes."""
     begin = total = 0
     for i, value in enumerate(values):
         total += size_of(value)
-        if total >= GROUP_BYTES:
+        if total >= size:
             yield begin, i + 1
             begin, total = i + 1, 0
     if begin < len(values):
@@ -90,7 +93,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 8 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 8 * SET_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `size` bytes of text, so that what is worked out for one part stays small."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     part = np.cumsum(lengths, dtype=np.int64) // size
@@ -103,7 +106,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 8 * GRO
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For every text the sorted distinct shingle hashes (int64)."""
     texts = text_bytes(column)
-    for a, b in groups(texts, len):
+    for a, b in groups(texts, len, SET_BYTES):
         hashes, begins = word_hashes(texts[a:b])
         for first, last in zip(begins[:-1], begins[1:]):
             yield np.unique(shingles(hashes[first:last]).view(np.int64))

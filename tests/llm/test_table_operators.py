@@ -4,9 +4,11 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,23 @@ def test_tiles_alone_lose_no_link(spark):
     assert pairs == want
 
 
+def test_sets_are_made_in_little_memory():
+    """A worker hashes a quarter of a megabyte of text at once; copies of a batch are counted in place."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 300)) for _ in range(3000)]
+    texts += texts[:40]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3040)), "text": texts, "digest": [0] * 3040})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in jaccard_join._described(iter([batch]), np.zeros(0, dtype=np.int64)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    counted = pa.Table.from_batches(jaccard_join._counted(iter([batch])))
+    peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert rows == 3040 and counted.num_rows >= 40 * 296
+    assert peak < 40_000_000
+
+
 def test_jaccard_awkward_rows(spark, docs):
     got = jaccard_join.linked(docs).collect()
     assert len(got) == docs.count()
