@@ -1,4 +1,8 @@
+import tracemalloc
+from unittest import mock
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +183,23 @@ def test_search_on_dev(spark, frames, data, parameters):
                            parameters).collect()
     assert all(r["n_dev"] == 0 and r["dev_loss"] is None and r["share"] == pytest.approx(1 / 3) for r in none)
     assert U.search_on_dev(labelled, frames[1], names, rows.where("guid IS NULL").select("guid", "split")).count() == 0
+
+
+def test_fusion_holds_few_rows_at_once(monkeypatch):
+    """A batch of 10,000 rows with ten neighbours each is widened to double precision some rows at a time."""
+    functions = []
+    monkeypatch.setattr(U.F, "arrow_udf", lambda rows, kind: functions.append(rows) or mock.MagicMock())
+    weights = np.arange(1, 641).reshape(10, 64) / 640
+    U._fused("ordered_mask_add_cls", U.FusionParameters(ordered=weights), None)
+    n = 10_000
+    rng = np.random.default_rng(5)
+    base, near = rng.normal(size=(n, 64)).astype(np.float32), rng.normal(size=(n, 640)).astype(np.float32)
+    near_lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 640), pa.array(near.ravel()))
+    columns = (pa.array(list(base)), pa.array([list(range(1, 11))] * n, pa.list_(pa.int32())), near_lists)
+    tracemalloc.start()
+    fused = functions[0](*columns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    want = base + (near.reshape(n, 10, 64) * weights).mean(axis=1)
+    assert np.allclose(fused.flatten().to_numpy().reshape(n, 64), want)

@@ -416,3 +416,24 @@ def test_texts_of_neighbours_move_once(spark):
     shown = neighbors.texts_by_sentence(rows)
     assert len(exchanges(shown)) == 1
     assert sorted(tuple(r) for r in shown.collect()) == [(1, [["a", "b"], [None]]), (2, [["c"]])]
+
+
+@pytest.mark.parametrize("k", [16, 64])
+def test_a_task_holds_little_for_a_whole_chunk(k):
+    """As many queries as a chunk may have, with vectors of 64 numbers: their vectors, lists and blocks stay small."""
+    rng = np.random.default_rng(13)
+    corpus = rng.normal(size=(20_000, 64))
+    asked = rng.normal(size=(topk.CHUNK_VALUES // (64 + 2 * k), 64))
+    queries = pa.table({"query_id": np.arange(len(asked)), "emb": pa.array(list(asked))})
+    batches = pa.table({"doc_id": np.arange(len(corpus)), "emb": pa.array(list(corpus))}).to_batches()
+    tracemalloc.start()
+    first = {}
+    for batch in topk._scan(iter(batches), knn.VectorScorer(queries, "ip", 64), k):
+        if not first:
+            first = batch.slice(0, k).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 65_000_000
+    scores = knn.similarity(asked[:1], corpus, "ip")[0]
+    best = sorted(zip((-scores).tolist(), range(len(corpus))))[:k]
+    assert first["query_id"] == [0] * k and sorted(zip((-s for s in first["score"]), first["doc_id"])) == best
