@@ -9,7 +9,8 @@ Two documents link when the distinct five-word shingles of their texts have a Ja
    shingles come last, and documents that share fewer with any other are left out. Documents of different components that share such a shingle meet in the tile of that shingle
    and of a size band (sizes within 1.25 of each other; large tiles are cut into blocks that meet two by two). There
    bit counts of hashed bitmaps bound the overlap from above. The lowest shingles have tiles as well: a pair that
-   shares some of them is taken from the tile of the lowest one alone. Pairs that can reach 0.8 go to
+   shares some of them is taken from the tile of the lowest one alone. A set is in many tiles, so its rows there hold a
+   folded bitmap; the whole ones judge the pairs that pass. Pairs that can reach 0.8 go to
 4. exact intersection of the sorted shingle arrays. Links make components.
 
 No link between different texts is lost: the tiles hold every pair of documents that steps 1 and 2 left in different
@@ -49,8 +50,9 @@ COMMON_DOCUMENTS, COMMON_SHINGLES = 6, 500_000
 # Rows of a tile's block, and band edges: sizes grow by 1 / 0.8.
 BLOCK_ROWS = 500
 
-# Tiles go to so many times the usual number of partitions, as their rows are wide and each task sorts its own.
-TILE_PARTITIONS = 4
+# Tiles go to so many times the usual number of partitions, as each task sorts its own rows. Bitmaps are folded so many
+# times for them.
+TILE_PARTITIONS, TILE_FOLDS = 2, 4
 BAND = math.log(100 / PERCENT)
 MIN_BITS, MAX_BITS = 64, 1 << 15
 
@@ -79,6 +81,11 @@ def band_bits(band: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(3 * math.exp(band * BAND)))))
 
 
+def tile_bits(band: int) -> int:
+    """Width of the folded bitmaps in a band's tiles; sets without common shingles mostly still stay below the limit."""
+    return max(MIN_BITS, band_bits(band) // TILE_FOLDS)
+
+
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
     marks = np.zeros(bits, dtype=np.uint8)
     marks[(values.view(np.uint64) >> np.uint64(17)) & np.uint64(bits - 1)] = 1
@@ -199,6 +206,14 @@ def _folded(value: bytes, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(value, dtype=np.uint64).reshape(-1, words), axis=0)
 
 
+def _tile_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [tile_bits(band_of(n)) // 64 for n in batch.column("n").to_pylist()]
+        folded = [_folded(bits.as_buffer(), w).tobytes() for bits, w in zip(batch.column("bits"), words)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("lowest"), pa.array(folded, pa.binary())],
+                                         names=["node", "lowest", "bits"])
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
@@ -259,7 +274,8 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
     needed = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / PER_COMMON)
     enough = met.where("first").groupBy("node", "n").agg(F.count("*").alias("shared")).where(
         F.col("shared") >= needed)
-    met = only_ids(met, materialize(enough.select("node"), "enough"), "node")
+    enough = materialize(enough.select("node"), "enough")
+    met = only_ids(met, enough, "node")
     guests = F.explode(F.array("own", F.col("own") - 1)).alias("band")
     placed = materialize(met.select("node", "component", "n", "own", "shingle", "first", guests), "placed")
     counts = placed.groupBy("band", "shingle").agg(
@@ -273,7 +289,8 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
         "_meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("band", "shingle", F.least("_mine", "_meets").alias("block"),
                           F.greatest("_mine", "_meets").alias("other"), "node", "component", "n", "own", "first")
-    marks = sets.select("node", "lowest", "bits")
+    marks = only_ids(sets.select("node", "n", "lowest", "bits"), enough, "node").mapInArrow(
+        _tile_marks, "node long, lowest array<long>, bits binary")
     return keyed.join(marks, "node").select(
         *_TILE_ORDER, "node", "component", "n", "own", "first", "lowest", "bits")
 
@@ -283,7 +300,7 @@ def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     band = table.column("band")[0].as_py()
     keys = [table.column(c).to_numpy() for c in _TILE_ORDER[1:]]
     doc, comp, n, own, first = (table.column(c).to_numpy() for c in ("node", "component", "n", "own", "first"))
-    words = band_bits(band) // 64
+    words = tile_bits(band) // 64
     bits = np.zeros((len(doc), words), dtype=np.uint64)
     for i, value in enumerate(table.column("bits")):
         bits[i] = _folded(value.as_buffer(), words)  # a guest's may be wider
@@ -306,7 +323,7 @@ def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         good = (comp[here] != comp[there]) & ((own[here] == band) | (own[there] == band))
         good &= 100 * np.minimum(n[here], n[there]) >= PERCENT * np.maximum(n[here], n[there])
         i, j = here[good], there[good]
-        size = max(1, GATHERED_WORDS // words)
+        size = max(1, GATHERED_WORDS // max(words, LOWEST))
         for s in range(0, len(i), size):
             x, y = i[s:s + size], j[s:s + size]
             keep = similar(overlap_bound(n[x], n[y], bits[x], bits[y]), n[x], n[y])
@@ -351,7 +368,9 @@ def tile_pairs(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
     rows = tile_rows(sets, labels, block_rows)
     partitions = TILE_PARTITIONS * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(partitions, *_TILE_ORDER).sortWithinPartitions(*_TILE_ORDER, "n", "node")
-    return ordered.mapInArrow(_compared, "a long, b long").distinct()
+    met = materialize(ordered.mapInArrow(_compared, "a long, b long").distinct(), "met-pairs")
+    asked = materialize(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met-nodes")
+    return bounded(met, only_ids(sets, asked, "node"))
 
 
 def one_row_of_each(sets: DataFrame, classes: DataFrame) -> DataFrame:

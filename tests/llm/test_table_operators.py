@@ -81,6 +81,28 @@ def test_tiles_alone_lose_no_link(spark):
     assert pairs == want
 
 
+def test_tile_rows_are_narrow(spark):
+    """Rows of a tile hold a folded bitmap; the pairs they give are judged by the whole ones."""
+    rng = random.Random(11)
+    parts = [[f"p{i}x{rng.randrange(10 ** 6)}" for _ in range(60)] for i in range(6)]
+    texts = []
+    for i in range(24):  # two of six parts are shared with others: far from similar, but met in tiles
+        own = [f"d{i}x{j}" for j in range(300)]
+        texts.append((i, " ".join(own[:150] + parts[i % 6] + own[150:] + parts[(i + 1) % 6])))
+    texts.append((24, texts[0][1] + " more"))
+    sets = jaccard_join.materialize(jaccard_join.describe(spark.createDataFrame(texts, "doc_id long, text string")), "sets")
+    own = sets.select(F.col("h").alias("node"), "n", "lowest", "prefix", "bits")
+    nobody = spark.createDataFrame([], "node long, component long")
+    rows = jaccard_join.tile_rows(own, nobody).collect()
+    whole = {r.node: r for r in own.collect()}
+    assert rows
+    for r in rows:
+        value, words = whole[r.node].bits, len(r.bits) // 8
+        assert len(r.bits) == len(value) // 4 and r.bits == jaccard_join._folded(value, words).tobytes()
+    of = {r.h: r.doc_id for r in sets.collect()}
+    assert [{of[r.a], of[r.b]} for r in jaccard_join.tile_pairs(own, nobody).collect()] == [{0, 24}]
+
+
 def test_sets_are_made_in_little_memory():
     """A worker hashes a quarter of a megabyte of text at once; copies of a batch are counted in place."""
     rng = np.random.default_rng(3)
