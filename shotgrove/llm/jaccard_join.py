@@ -6,9 +6,11 @@ Two documents link when the distinct five-word shingles of their texts have a Ja
 2. Stars: documents that share one of their lowest shingle hashes are compared with the smallest document that shares
    it. This joins groups of near copies without pairs inside the group.
 3. Tiles: a similar pair shares a twentieth of its shingles among the first quarter in any common order. Here common
-   shingles come last, and documents that share fewer with any other are left out. Documents of different components that share such a shingle meet in the tile of that shingle
-   and of a size band (sizes within 1.25 of each other; large tiles are cut into blocks that meet two by two). There
-   bit counts of hashed bitmaps bound the overlap from above. The lowest shingles have tiles as well: a pair that
+   shingles come last, and documents that share fewer with any other are left out. Documents of different components
+   that share such a shingle meet in the tile of that shingle and of a size band (sizes within 1.25 of each other; large
+   tiles are cut into blocks that meet two by two). There hashed bitmaps bound the overlap from above: a bit says
+   whether an odd number of shingles fall on it, so every bit in which two sets differ takes a shingle that only one of
+   them has, and what they share, however much, hides no difference. The lowest shingles have tiles as well: a pair that
    shares some of them is taken from the tile of the lowest one alone. A set is in many tiles, so its rows there hold a
    folded bitmap; the whole ones judge the pairs that pass. Pairs that can reach 0.8 go to
 4. exact intersection of the sorted shingle arrays. Links make components.
@@ -51,10 +53,11 @@ COMMON_DOCUMENTS, COMMON_SHINGLES = 6, 500_000
 BLOCK_ROWS = 500
 
 # Tiles go to so many times the usual number of partitions, as each task sorts its own rows. Bitmaps are folded so many
-# times for them.
+# times for them, but not below MIN_TILE_BITS.
 TILE_PARTITIONS, TILE_FOLDS = 2, 4
 BAND = math.log(100 / PERCENT)
 MIN_BITS, MAX_BITS = 64, 1 << 15
+MIN_TILE_BITS = 256
 
 # Words of bitmaps, of eight bytes each, that are gathered for one side of the pairs compared at once.
 GATHERED_WORDS = 1 << 19
@@ -82,14 +85,14 @@ def band_bits(band: int) -> int:
 
 
 def tile_bits(band: int) -> int:
-    """Width of the folded bitmaps in a band's tiles; sets without common shingles mostly still stay below the limit."""
-    return max(MIN_BITS, band_bits(band) // TILE_FOLDS)
+    """Width of the folded bitmaps in a band's tiles. Those of small sets are folded less, as they differ in few bits."""
+    return max(min(MIN_TILE_BITS, band_bits(band)), band_bits(band) // TILE_FOLDS)
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
-    marks = np.zeros(bits, dtype=np.uint8)
-    marks[(values.view(np.uint64) >> np.uint64(17)) & np.uint64(bits - 1)] = 1
-    return np.packbits(marks, bitorder="little")
+    """A bit is set if an odd number of the values fall on it."""
+    places = (values.view(np.uint64) >> np.uint64(17)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
 _SET_ARROW = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("h", pa.int64()),
@@ -196,14 +199,16 @@ def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFram
 
 
 def overlap_bound(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """No more shingles can be common: those whose bit the other bitmap lacks are not. One row of words each."""
-    return np.minimum(n - _POPCOUNT(x & ~y).sum(axis=1, dtype=np.int64),
-                      m - _POPCOUNT(y & ~x).sum(axis=1, dtype=np.int64))
+    """No more shingles can be common. One row of words each.
+
+    Common shingles change both bitmaps alike, so each bit in which these differ needs a shingle that is not common.
+    """
+    return (n + m - _POPCOUNT(x ^ y).sum(axis=1, dtype=np.int64)) // 2
 
 
 def _folded(value: bytes, words: int) -> np.ndarray:
     """A bitmap in a smaller width."""
-    return np.bitwise_or.reduce(np.frombuffer(value, dtype=np.uint64).reshape(-1, words), axis=0)
+    return np.bitwise_xor.reduce(np.frombuffer(value, dtype=np.uint64).reshape(-1, words), axis=0)
 
 
 def _tile_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +256,10 @@ _TILE_ORDER = ["band", "shingle", "block", "other"]
 
 
 def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows (band, shingle, block, other, node, component, n, bits) of all tiles with several components.
+    """Rows (band, shingle, block, other, node, component, n, mine, bits) of all tiles with several components.
 
     A document is in the tile of its band, and as a guest in the next smaller band's. Blocks of a large tile meet two
-    by two: a row of block i lies in the tiles (i, j) and (j, i) with the smaller number first.
+    by two: a row of block i (`mine`) lies in the tiles (i, j) and (j, i) with the smaller number first.
     """
     labelled = sets.join(labels.withColumnRenamed("node", "_labelled"), F.col("node") == F.col("_labelled"), "left").select(
         "node", "n", "lowest", "prefix", F.coalesce("component", "node").alias("component"))
@@ -288,18 +293,21 @@ def tile_rows(sets: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS)
     spread = inside.withColumn("_mine", mine).withColumn(
         "_meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("band", "shingle", F.least("_mine", "_meets").alias("block"),
-                          F.greatest("_mine", "_meets").alias("other"), "node", "component", "n", "own", "first")
+                          F.greatest("_mine", "_meets").alias("other"), "node", "component", "n", "own", "first",
+                          F.col("_mine").alias("mine"))
     marks = only_ids(sets.select("node", "n", "lowest", "bits"), enough, "node").mapInArrow(
         _tile_marks, "node long, lowest array<long>, bits binary")
     return keyed.join(marks, "node").select(
-        *_TILE_ORDER, "node", "component", "n", "own", "first", "lowest", "bits")
+        *_TILE_ORDER, "node", "component", "n", "own", "first", "mine", "lowest", "bits")
 
 
 def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one band's rows, in tile order, that may be similar."""
     band = table.column("band")[0].as_py()
     keys = [table.column(c).to_numpy() for c in _TILE_ORDER[1:]]
-    doc, comp, n, own, first = (table.column(c).to_numpy() for c in ("node", "component", "n", "own", "first"))
+    doc, comp, n, own, first, mine = (
+        table.column(c).to_numpy() for c in ("node", "component", "n", "own", "first", "mine"))
+    crossed = keys[1] != keys[2]
     words = tile_bits(band) // 64
     bits = np.zeros((len(doc), words), dtype=np.uint64)
     for i, value in enumerate(table.column("bits")):
@@ -319,8 +327,9 @@ def _tile_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(here):
             return
         there = here + step
-        # Two guests meet in the tile of their own band.
+        # Two guests meet in the tile of their own band, and two rows of one block where it is alone.
         good = (comp[here] != comp[there]) & ((own[here] == band) | (own[there] == band))
+        good &= ~crossed[here] | (mine[here] != mine[there])
         good &= 100 * np.minimum(n[here], n[there]) >= PERCENT * np.maximum(n[here], n[there])
         i, j = here[good], there[good]
         size = max(1, GATHERED_WORDS // max(words, LOWEST))

@@ -103,6 +103,50 @@ def test_tile_rows_are_narrow(spark):
     assert [{of[r.a], of[r.b]} for r in jaccard_join.tile_pairs(own, nobody).collect()] == [{0, 24}]
 
 
+def test_copies_that_are_not_similar_are_told_apart_in_tiles(spark):
+    """Copies of one text, each with changes of its own, so that two of them share two thirds: few pairs of them
+    leave a tile, although all meet there."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        at = set(rng.sample(range(0, 150, 5), 3))
+        rows.append((i, " ".join(f"d{i}x{k}" if k in at else w for k, w in enumerate(base))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard_join.materialize(jaccard_join.describe(frame), "sets")
+    own = sets.select(F.col("h").alias("node"), "n", "lowest", "prefix", "bits")
+    held = {i: set(shingles(t)) for i, t in rows}
+    of = {r.h: r.doc_id for r in sets.collect()}
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2)
+            if 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+    tiles = jaccard_join.tile_rows(own, spark.createDataFrame([], "node long, component long"))
+    ordered = tiles.repartition(2, *jaccard_join._TILE_ORDER).sortWithinPartitions(*jaccard_join._TILE_ORDER, "n", "node")
+    met = {tuple(sorted((of[r.a], of[r.b])))
+           for r in ordered.mapInArrow(jaccard_join._compared, "a long, b long").collect()}
+    assert want <= met
+    assert len(met) < 60 * 59 / 2 / 10
+
+
+@pytest.mark.parametrize("bits", [64, 256, 2048])
+def test_bitmaps_bound_the_overlap(bits):
+    """Never below the overlap, at any width and folded, and the overlap itself where no two values share a bit that only
+    one set has, however many both have."""
+    rng = np.random.default_rng(bits)
+    for size in (1, 7, 90, 700):
+        shared, x, y = (rng.integers(-2 ** 63, 2 ** 63 - 1, k) for k in (size, size // 3, size // 2))
+        x, y = np.union1d(shared, x), np.union1d(shared, y)
+        marks = [jaccard_join.bitmap(v, bits) for v in (x, y)]
+        overlap, n, m = len(np.intersect1d(x, y)), np.array([len(x)]), np.array([len(y)])
+        for words in {1, bits // 64}:
+            a, b = (jaccard_join._folded(v.tobytes(), words)[None] for v in marks)
+            assert jaccard_join.overlap_bound(n, m, a, b)[0] >= overlap
+    shared, few = rng.integers(2 ** 40, 2 ** 60, 5 * bits), np.arange(40, dtype=np.int64) << 17
+    sets = [np.union1d(shared, v) for v in (few[:30], few[10:])]
+    a, b = (jaccard_join.bitmap(v, bits).view(np.uint64)[None] for v in sets)
+    size = len(sets[0])
+    assert jaccard_join.overlap_bound(np.array([size]), np.array([size]), a, b)[0] == size - 10
+
+
 def test_sets_are_made_in_little_memory():
     """A worker hashes a quarter of a megabyte of text at once; copies of a batch are counted in place."""
     rng = np.random.default_rng(3)
