@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from shotgrove.llm.common import free_name, hinted, only_ids, read, without_ids
 from shotgrove.llm.graph import components
 from shotgrove.llm.shingle_sets import set_id, shingle_sets, text_slices
-from shotgrove.session import materialize
+from shotgrove.session import batches_of, materialize
 
 PERCENT = 80
 _POPCOUNT = np.bitwise_count
@@ -59,6 +59,9 @@ BAND = math.log(100 / PERCENT)
 MIN_BITS, MAX_BITS = 64, 1 << 15
 MIN_TILE_BITS = 256
 
+# Batches of rows that hold texts, or the shingles of two sets, go to Python in so many bytes.
+BATCH_BYTES = 4 << 20
+
 # Words of bitmaps, of eight bytes each, that are gathered for one side of the pairs compared at once.
 GATHERED_WORDS = 1 << 19
 
@@ -403,16 +406,18 @@ def one_row_of_each(sets: DataFrame, classes: DataFrame) -> DataFrame:
 def set_components(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): `rows (doc_id, digest, n, h)` of all texts, `classes (n, h, first, members)` of equal sets
     with the smallest document, and links (a, b) between the sets h that are similar, enough for all components."""
-    sets = materialize(describe(texts), "sets")
-    rows = sets.select("doc_id", "digest", "n", "h")
-    classes = materialize(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h").agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("members")), "classes")
-    holders = classes.select(F.col("h").alias("node"), "first")
-    own = materialize(one_row_of_each(sets, classes), "nodes")
-    stars = materialize(bounded(star_pairs(own), own), "stars")
-    links = materialize(verified(stars, texts, holders), "star-links")
-    more = materialize(tile_pairs(own, components(links)), "candidates")
-    return rows, classes, links.union(materialize(verified(more, texts, holders), "tile-links"))
+    described = describe(texts)
+    with batches_of(texts.sparkSession, BATCH_BYTES):
+        sets = materialize(described, "sets")
+        rows = sets.select("doc_id", "digest", "n", "h")
+        classes = materialize(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h").agg(
+            F.min("doc_id").alias("first"), F.count("*").alias("members")), "classes")
+        holders = classes.select(F.col("h").alias("node"), "first")
+        own = materialize(one_row_of_each(sets, classes), "nodes")
+        stars = materialize(bounded(star_pairs(own), own), "stars")
+        links = materialize(verified(stars, texts, holders), "star-links")
+        more = materialize(tile_pairs(own, components(links)), "candidates")
+        return rows, classes, links.union(materialize(verified(more, texts, holders), "tile-links"))
 
 
 def _texts(documents: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import collections
 import itertools
 import math
+import os
 import random
 import tracemalloc
+import uuid
 import zlib
 
 import numpy as np
@@ -147,6 +149,29 @@ def test_bitmaps_bound_the_overlap(bits):
     assert jaccard_join.overlap_bound(np.array([size]), np.array([size]), a, b)[0] == size - 10
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch, tmp_path):
+    """Texts, and the shingles of pairs, go to Python in a few megabytes at once, not in ten thousand rows."""
+    seen = str(tmp_path)
+    described = jaccard_join._described
+
+    def noted(batches, common):
+        def kept():
+            for batch in batches:
+                with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(batch.nbytes))
+                yield batch
+        yield from described(kept(), common)
+
+    monkeypatch.setattr(jaccard_join, "_described", noted)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    rows = spark.range(6000).coalesce(1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 400) AS text")
+    jaccard_join.set_components(jaccard_join._texts(rows))
+    sizes = [int(open(f"{seen}/{name}").read()) for name in os.listdir(seen)]
+    assert sum(sizes) > 10_000_000 and max(sizes) < 6_000_000
+    assert spark.conf.get(setting) == before
+
+
 def test_sets_are_made_in_little_memory():
     """A worker hashes a quarter of a megabyte of text at once; copies of a batch are counted in place."""
     rng = np.random.default_rng(3)
