@@ -437,3 +437,22 @@ def test_a_task_holds_little_for_a_whole_chunk(k):
     scores = knn.similarity(asked[:1], corpus, "ip")[0]
     best = sorted(zip((-scores).tolist(), range(len(corpus))))[:k]
     assert first["query_id"] == [0] * k and sorted(zip((-s for s in first["score"]), first["doc_id"])) == best
+
+
+def test_masks_are_read_as_numpy_reads_them():
+    rng = np.random.default_rng(3)
+    for shape, share in (((256, 4096), 0.001), ((7, 13), 0.5), ((3, 5), 0), ((2, 8), 1), ((4, 1), 0.5), ((0, 5), 0), ((5, 0), 0)):
+        mask = rng.random(shape) < share
+        assert [a.tolist() for a in knn._where(mask)] == [a.tolist() for a in np.nonzero(mask)]
+
+
+def test_passes_have_few_tasks(spark, monkeypatch):
+    """Each task of a pass sends its own lists, so their number must not grow with the parts of the corpus."""
+    data = np.random.default_rng(5).normal(size=(300, 4))
+    queries, corpus = vectors(spark, data[:40], "query_id"), vectors(spark, data, "doc_id").repartition(60)
+    seen, search = [], topk.search_broadcast
+    monkeypatch.setattr(topk, "search_broadcast", lambda asked, rows, *more: (
+        seen.append(rows.rdd.getNumPartitions()), search(asked, rows, *more))[1])
+    hits = knn.knn_exact(queries, corpus, 3, max_broadcast_values=1)
+    assert found(hits) == brute(data[:40], data, 3, "ip")
+    assert seen and max(seen) <= topk.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 60
